@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.scans import Scan, bucketed_scan
+from spanloom.session import settle
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,7 +27,19 @@ def millis(s: Column | str) -> Column:
     return F.round(column * 1000.0).cast("bigint")
 
 
+_SEGS: dict[tuple[str, str], DataFrame] = {}
+
+
 def seg(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns with their place in time, derived once per application and written to the
+    checkpoint folder; spread over the cores because the tables below explode it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SEGS:
+        _SEGS[key] = settle(_seg(spark, folder).repartition(spark.sparkContext.defaultParallelism, "item_id", "turn"))
+    return _SEGS[key]
+
+
+def _seg(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select(
         F.col("conv_id").alias("item_id"), "turn", F.col("role").alias("speaker"), "text",
         F.split(F.trim("text"), r"\s+").alias("tokens"),

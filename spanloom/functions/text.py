@@ -40,6 +40,7 @@ SPELLINGS = {"colour": "color", "neighbourhood": "neighborhood", "grey": "gray"}
 
 _NUMBERISH = r"(?U)\d|(?:^|\s)(?:" + "|".join(sorted(spoken.ROLES)) + r")(?:\s|$)"
 _NON_ASCII = r"[^\x00-\x7F]"
+_REWRITABLE = r"(?U)'|\b(?:" + "|".join(p.strip("\\b") for p, _ in REWRITES if "'" not in p) + r")\b"
 _ASCII_SYMBOLS = r"[\p{M}\p{S}\p{P}&&[^.%$¢€£]]"
 
 
@@ -91,21 +92,12 @@ def basic_normalize(column: Column | str, remove_diacritics: bool = False) -> Co
     text = F.regexp_replace(F.lower(_col(column)), r"[<\[][^>\]]*[>\]]", "")
     text = F.regexp_replace(text, r"\(([^)]+?)\)", "")
     foreign = text.rlike(_NON_ASCII)
-    kept = "[\\p{M}\\p{S}\\p{P}]"
     arrow = spoken.folded_all if remove_diacritics else spoken.composed
-    cleaned = F.when(foreign, arrow(F.when(foreign, text))).otherwise(F.regexp_replace(text, kept, " "))
+    plain = F.regexp_replace(text, r"[\p{M}\p{S}\p{P}]", " ")
+    cleaned = F.when(foreign, arrow(F.when(foreign, text))).otherwise(plain)
     return F.regexp_replace(F.lower(cleaned), r"(?U)\s+", " ")
 
 
-def standardize_numbers(column: Column | str) -> Column:
-    """Symbols folded and spoken numbers written as digits."""
-    text = _col(column)
-    plain = F.regexp_replace(text, _ASCII_SYMBOLS, " ")
-    needs = text.rlike(_NON_ASCII) | plain.rlike(_NUMBERISH)
-    collapsed = F.array_join(_words(plain), " ")
-    return F.when(needs, spoken.folded_numbers(F.when(needs, text))).otherwise(collapsed)
-
-
 def standardize_spellings(column: Column | str, mapping: Mapping[str, str] | None = None) -> Column:
     words = _words(_col(column))
     mapping = SPELLINGS if mapping is None else mapping
@@ -122,13 +114,28 @@ def final_symbols(column: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize(column: Column | str, spellings: Mapping[str, str] | None = None) -> Column:
-    text = join_digits(expand_contractions(drop_asides(column)))
-    return final_symbols(standardize_spellings(standardize_numbers(text), spellings))
-
-
-def tokenize_norm(column: Column | str, spellings: Mapping[str, str] | None = None) -> Column:
-    return _words(normalize(column, spellings))
+def normalized(df: DataFrame, column: str, out: str, spellings: Mapping[str, str] | None = None) -> DataFrame:
+    """`df` with `out`, the normal form of `column`.
+
+    Each step is a column of its own: a column read more than once is computed once, and the 49
+    rewrites run only on texts that hold an apostrophe or one of their words.
+    """
+    first, rewritten, plain, needs, spoken_form = (f"__{out}{i}" for i in range(5))
+    df = df.withColumn(first, drop_asides(column))
+    df = df.withColumn(
+        rewritten,
+        join_digits(F.when(F.col(first).rlike(_REWRITABLE), expand_contractions(first)).otherwise(F.col(first))),
+    )
+    df = df.withColumn(plain, F.regexp_replace(rewritten, _ASCII_SYMBOLS, " "))
+    df = df.withColumn(needs, F.col(rewritten).rlike(_NON_ASCII) | F.col(plain).rlike(_NUMBERISH))
+    df = df.withColumn(spoken_form, spoken.folded_numbers(F.when(F.col(needs), F.col(rewritten))))
+    chosen = F.when(F.col(needs), F.col(spoken_form)).otherwise(F.col(plain))
+    df = df.withColumn(out, final_symbols(standardize_spellings(chosen, spellings)))
+    return df.drop(first, rewritten, plain, needs, spoken_form)
+
+
+def with_norm_tokens(df: DataFrame, column: str, out: str, spellings: Mapping[str, str] | None = None) -> DataFrame:
+    return normalized(df, column, out, spellings).withColumn(out, _words(F.col(out)))
 
 
 def respell(df: DataFrame, column: str, table: DataFrame, row_id: list[str]) -> DataFrame:

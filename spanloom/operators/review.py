@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.config import ReviewSettings
-from spanloom.functions.text import normalize
+from spanloom.functions.text import normalized
 from spanloom.operators.intervals import (
     complement,
     overlap_join,
@@ -15,6 +15,7 @@ from spanloom.operators.intervals import (
     union_spans,
 )
 from spanloom.operators.scans import Scan, bucketed_scan, numbered, time_bucket
+from spanloom.session import settle
 
 # Word times come from decimal seconds; length and border tests carry this tolerance.
 TOLERANCE = 1e-9
@@ -91,7 +92,7 @@ def border_words(spans: DataFrame, published: DataFrame, detector: DataFrame) ->
         .select(*keys, "span_start", "span_end", F.explode(F.sequence("first", "last")).alias("at"))
     )
     found = wanted.join(placed.where(F.col("flag") == 0).select(*keys, "at", "text"), [*keys, "at"])
-    found = found.withColumn("norm", normalize("text"))
+    found = normalized(found, "text", "norm")
 
     def side(source: str, which: str, name: str) -> Column:
         here = F.when((F.col("source") == source) & (F.col("side") == which), F.struct("at", "norm"))
@@ -147,7 +148,7 @@ def candidate_spans(published: DataFrame, detector: DataFrame, items: DataFrame,
     pairs = overlap_join(spans, detector.select("item_id", "seq", "start", "end", "text"), ("item_id",), ("span_start", "span_end"), ("start", "end"))
     word = F.struct("start", "end", "seq", "text", "norm")
     filled = (
-        pairs.withColumn("norm", normalize("text"))
+        normalized(pairs, "text", "norm")
         .groupBy(*SPAN)
         .agg(F.array_sort(F.collect_list(word)).alias("words"))
         .where(F.size("words") >= settings.min_detector_words)
@@ -159,13 +160,15 @@ def candidate_spans(published: DataFrame, detector: DataFrame, items: DataFrame,
 
 def build_review(published: DataFrame, detector: DataFrame, items: DataFrame, settings: ReviewSettings = ReviewSettings()) -> DataFrame:
     """Marks (item_id, mark, start, end, span_start, span_end, detector_words, detector_text)."""
-    spans = candidate_spans(published, detector, items, settings)
+    # Few rows next to the words, read twice below.
+    spans = settle(candidate_spans(published, detector, items, settings))
     borders = border_words(spans.select(*SPAN, "n"), published, detector)
     empty = F.array().cast("array<string>")
     full = spans.join(borders, SPAN, "left").withColumns(
         {c: F.coalesce(c, empty) for c in ("before", "after", "d_before", "d_after")}
     )
-    kept = echoes_removed(full).where(F.size("words") >= settings.min_detector_words)
+    # Settled before the filter: pushed down, the filter would repeat the echo test many times over.
+    kept = settle(echoes_removed(full)).where(F.size("words") >= settings.min_detector_words)
     pieces = F.filter(F.transform("words", lambda w: F.regexp_replace(w["text"], r"(?U)^\s+|\s+$", "")), lambda t: t != "")
     marks = kept.join(items.select("item_id", "audio_s"), "item_id").select(
         "item_id",
@@ -235,8 +238,6 @@ def evaluate_review(marks: DataFrame, published: DataFrame, reference: DataFrame
 def review_scores(published: DataFrame, detector: DataFrame, reference: DataFrame, items: DataFrame, settings: ReviewSettings = ReviewSettings()) -> DataFrame:
     """Marks scored against the reference. `items` carries word_times (annotated, spread, none);
     without timed words only the marks and the plain sum of their windows are known."""
-    from spanloom.session import settle
-
     marks = settle(build_review(published, detector, items, settings))
     timed = reference.where(F.col("start").isNotNull() & F.col("end").isNotNull()).join(
         items.where(F.col("word_times") != "none").select("item_id"), "item_id", "left_semi"
