@@ -157,4 +157,5 @@ regions AS (
 
 def with_cte(body: str, more: str = "") -> str:
     """The query `body` over the derived tables, with further common tables `more`."""
-    return f"WITH RECURSIVE {CTE}{',' + more if more else ''}\n{body}"
+    glue = "" if body.startswith(",") else "\n"
+    return f"WITH RECURSIVE {CTE}{',' + more if more else ''}{glue}{body}"

@@ -185,3 +185,19 @@ def complement(
         .where(F.col("__in") & (F.col("end") > F.col("start")))
         .drop("__in")
     )
+
+
+def hypothesis_gaps(ref: DataFrame, hyp: DataFrame, min_gap: float = 2.0) -> DataFrame:
+    """Stretches without hypothesis words inside the joint extent of both sides."""
+    if min_gap < 0:
+        raise ValueError("min_gap must be non-negative")
+    both = ref.select("item_id", "start", "end").unionByName(hyp.select("item_id", "start", "end"))
+    extents = both.groupBy("item_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    return complement(hyp, extents).where(F.col("end") - F.col("start") >= min_gap)
+
+
+def words_in_gaps(ref: DataFrame, hyp: DataFrame, min_gap: float = 2.0) -> DataFrame:
+    """Per item, the reference words whose middle lies in a hypothesis gap, edges included."""
+    gaps = hypothesis_gaps(ref, hyp, min_gap)
+    middle = (F.col("start") + F.col("end")) / 2.0
+    return point_join(ref, gaps, middle, ("start", "end"), how="left_semi", closed=True).groupBy("item_id").agg(F.count("*").alias("words"))

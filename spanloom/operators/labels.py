@@ -246,14 +246,17 @@ def renumber(turns: DataFrame) -> DataFrame:
     return turns.join(names, ["item_id", "label"]).withColumn("label", F.col("__new")).drop("__new")
 
 
-def embedding_clips(turns: DataFrame, max_seconds: float = 30.0) -> DataFrame:
-    """The longest turns of every label until max_seconds are used, the last one clipped."""
-    long = turns.withColumn("length", F.col("end") - F.col("start")).where(F.col("length") > 0).withColumn("rank", -F.col("length"))
+def embedding_clips(turns: DataFrame, max_seconds: float = 30.0, rate: int = 16000) -> DataFrame:
+    """The longest turns of every label until max_seconds are used, the last one clipped; the
+    budget is kept in whole samples."""
+    first, last = (F.bround(F.col(c) * rate).cast("bigint") for c in ("start", "end"))
+    long = turns.withColumns({"first": first, "length": last - first}).where(F.col("length") > 0).withColumn("rank", -F.col("length"))
     used = bucketed_scan(
-        long, ["item_id", "label"], F.floor(F.col("rank")).cast("bigint"), ["rank", "start", "end"], [Scan("used", "sum_before", F.col("length"))]
+        long, ["item_id", "label"], F.floor(F.col("rank") / rate).cast("bigint"), ["rank", "start", "end"], [Scan("used", "sum_before", F.col("length"))]
     )
-    left = max_seconds - F.col("used")
-    return used.where(left > 0).select("item_id", "label", "start", (F.col("start") + F.least("length", left)).alias("end"))
+    left = F.lit(int(max_seconds * rate)).cast("bigint") - F.col("used")
+    end = (F.col("first") + F.least("length", left)).cast("double") / float(rate)
+    return used.where(left > 0).select("item_id", "label", "start", end.alias("end"))
 
 
 def fold_small_labels(turns: DataFrame, vectors: DataFrame, min_seconds: float = 3.0) -> DataFrame:
