@@ -283,13 +283,13 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY p.item_id, p.collar ORDER BY t DESC, k, c) = 1),
 mapping AS (SELECT b.item_id, b.collar, r.label AS ref, nullif(b.c[r.i], '') AS hyp FROM best b JOIN rl r USING (item_id)),
 per AS (
-  SELECT s.item_id, s.collar, s.e - s.s AS d,
-    (SELECT count(*) FROM ra WHERE ra.item_id = s.item_id AND ra.collar = s.collar AND ra.s = s.s) AS nr,
-    (SELECT count(*) FROM ha WHERE ha.item_id = s.item_id AND ha.collar = s.collar AND ha.s = s.s) AS nh,
+  SELECT z.item_id, z.collar, z.e - z.s AS d,
+    (SELECT count(*) FROM ra WHERE ra.item_id = z.item_id AND ra.collar = z.collar AND ra.s = z.s) AS nr,
+    (SELECT count(*) FROM ha WHERE ha.item_id = z.item_id AND ha.collar = z.collar AND ha.s = z.s) AS nh,
     (SELECT count(*) FROM ra JOIN mapping g ON g.item_id = ra.item_id AND g.collar = ra.collar AND g.ref = ra.label
        JOIN ha ON ha.item_id = ra.item_id AND ha.collar = ra.collar AND ha.s = ra.s AND ha.label = g.hyp
-     WHERE ra.item_id = s.item_id AND ra.collar = s.collar AND ra.s = s.s) AS nc
-  FROM scored s),
+     WHERE ra.item_id = z.item_id AND ra.collar = z.collar AND ra.s = z.s) AS nc
+  FROM scored z),
 sums AS (
   SELECT item_id, collar, sum(d * nr) AS ref_ms, sum(d * greatest(nr - nh, 0)) AS miss, sum(d * greatest(nh - nr, 0)) AS fa,
     sum(d * (least(nr, nh) - nc)) AS conf FROM per GROUP BY ALL),
