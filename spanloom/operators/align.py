@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from spanloom.functions.text import tokenize_raw, with_norm_tokens
-from spanloom.operators.scans import bucketed_scan, Scan
+from spanloom.operators.scans import Scan, bucketed_scan
+from spanloom.session import spread
 
 DIAGONAL, DELETE, INSERT = 0, 1, 2
 FAR = np.int32(1 << 29)
@@ -179,7 +180,7 @@ def edit_ops(pairs: DataFrame, keys: Sequence[str] = ("item_id", "variant"), anc
         ", op_seq long, kind string, ref_at long, hyp_at long, ref_token string, hyp_token string, chunk long"
     )
     easy = (F.size("ref") == 0) | (F.size("hyp") == 0) | (F.col("ref") == F.col("hyp"))
-    hard = pairs.where(~easy).select(*keys, "ref", "hyp").mapInPandas(_ops_kernel(keys, anchor_run), schema)
+    hard = spread(pairs.where(~easy).select(*keys, "ref", "hyp"), *keys).mapInPandas(_ops_kernel(keys, anchor_run), schema)
     alone = F.when(F.size("ref") == 0, "ins").when(F.size("hyp") == 0, "del").otherwise("equal")
     longer = F.when(F.size("ref") == 0, F.col("hyp")).otherwise(F.col("ref"))
     steps = pairs.where(easy).select(*keys, F.size("ref").alias("n"), alone.alias("kind"), F.posexplode(longer).alias("at", "token"))

@@ -82,7 +82,8 @@ def border_words(spans: DataFrame, published: DataFrame, detector: DataFrame) ->
     both = rows.unionByName(asks, allowMissingColumns=True)
     keys = ["item_id", "source", "side"]
     at = Scan("at", "sum_before", F.when(F.col("flag") == 0, 1).otherwise(0))
-    placed = bucketed_scan(both, keys, time_bucket("t"), ["t", "flag", "u", "seq"], [at])
+    # Read as words and as probes by the join below.
+    placed = settle(bucketed_scan(both, keys, time_bucket("t"), ["t", "flag", "u", "seq"], [at]))
     first = F.when(F.col("side") == "b", F.greatest(F.col("at") - F.col("n"), F.lit(0))).otherwise(F.col("at"))
     last = F.when(F.col("side") == "b", F.col("at") - 1).otherwise(F.col("at") + F.col("n") - 1)
     wanted = (

@@ -55,3 +55,11 @@ def settle(df: DataFrame) -> DataFrame:
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spanloom-")
         )
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over as many tasks as a shuffle has, however few bytes it is: for rows that are small
+    to move and dear to compute."""
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)
