@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.cues import LISTENER
 from spanloom.operators.documents import APPLIED, LINE, MARK, RESOLUTION, recount
+from spanloom.operators.intervals import point_join
 from spanloom.operators.labels import line_text
+from spanloom.operators.scans import as_of
 
 NEAR = 1e-6
 
@@ -210,6 +212,24 @@ def _before(a: Column, b: Column) -> Column:
     return (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["end"] < b["end"]))
 
 
+def infer_speakers(marks: DataFrame, lines: DataFrame) -> DataFrame:
+    """(item_id, mark, speaker): whose voice a gap most plausibly holds, over flat tables: the line
+    around the gap, else the speaker of both neighbouring lines, else NULL. `lines` are engine
+    lines with (item_id, line, start, end, speaker)."""
+    asks = marks.select("item_id", "mark", "span_start", "span_end")
+    around = point_join(asks, lines.select("item_id", "line", "start", "end", "speaker"), F.col("span_start"), ("start", "end"))
+    inside = around.where((F.col("start") < F.col("span_start") - NEAR) & (F.col("end") > F.col("span_end") + NEAR))
+    holder = inside.groupBy("item_id", "mark").agg(F.min(F.struct("line", "speaker"))["speaker"].alias("held"), F.lit(True).alias("is_held"))
+    who = F.struct("speaker")
+    by_end = lines.groupBy("item_id", "end").agg(F.min(F.struct("line", "speaker"))["speaker"].alias("speaker"))
+    by_start = lines.groupBy("item_id", "start").agg(F.min(F.struct("line", "speaker"))["speaker"].alias("speaker"))
+    sided = as_of(asks.withColumn("t", F.col("span_start") + NEAR), by_end, ["item_id"], "t", "end", who, "before")
+    sided = as_of(sided.withColumn("t", NEAR - F.col("span_end")), by_start.withColumn("r", -F.col("start")), ["item_id"], "t", "r", who, "after")
+    common = F.when(F.col("before.speaker") == F.col("after.speaker"), F.col("before.speaker"))
+    joined = sided.join(holder, ["item_id", "mark"], "left")
+    return joined.select("item_id", "mark", F.when(F.col("is_held"), F.col("held")).otherwise(common).alias("speaker"))
+
+
 def valid_sessions(sessions: DataFrame, marks: DataFrame, check_times: bool = False) -> DataFrame:
     """Session entries (item_id, mark, status, note, speaker[, start, end]) of items whose session
     has one entry per mark, and, when asked, at the marks' times within a millisecond; unknown

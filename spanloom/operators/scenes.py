@@ -156,24 +156,22 @@ def merge_scenes(scenes: DataFrame, settings: SceneSettings = SceneSettings()) -
     keys = ["item_id", "__run"]
     reach = settle(bucketed_scan(runs, keys, time_bucket("start"), order, [Scan("__reach", "max_before", F.col("end"))]))
     opens = F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + settings.join_s)
-    marked = reach.withColumn("__open", F.when(opens, F.col("__n")))
+    marked = reach.withColumn("__open", F.when(opens, F.struct("__n", "start")))
     placed = bucketed_scan(marked, keys, time_bucket("start"), order, [Scan("__earlier", "last_before", F.col("__open"))])
-    part = F.struct("start", "end", "label", "probability")
-    groups = placed.withColumn("__group", F.coalesce("__open", "__earlier")).groupBy("item_id", "__group").agg(
-        F.first("kind").alias("kind"), F.array_sort(F.collect_list(part)).alias("parts")
-    )
-
-    def longer(acc: Column, x: Column) -> Column:
-        keep = acc["end"] - acc["start"] >= x["end"] - x["start"]
-        return F.struct(
-            acc["start"].alias("start"), F.greatest(acc["end"], x["end"]).alias("end"),
-            F.when(keep, acc["label"]).otherwise(x["label"]).alias("label"),
-            F.greatest(acc["probability"], x["probability"]).alias("probability"),
+    # A part's label counts when it is longer than all that was merged before it; the last such
+    # part names the scene, so no list of parts is ever held.
+    merged_so_far = F.col("__reach") - F.col("__earlier.start")
+    names = F.col("__open").isNotNull() | (F.col("end") - F.col("start") > merged_so_far)
+    return (
+        placed.withColumn("__group", F.coalesce("__open", "__earlier"))
+        .groupBy("item_id", "__group")
+        .agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.first("kind").alias("kind"),
+            F.max(F.when(names, F.struct(*order, F.col("label").alias("named"))))["named"].alias("label"),
+            F.max("probability").alias("probability"),
         )
-
-    rest = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
-    merged = groups.withColumn("m", F.aggregate(rest, F.element_at("parts", 1), longer))
-    return merged.select("item_id", "m.start", "m.end", "kind", "m.label", "m.probability")
+        .drop("__group")
+    )
 
 
 def words_outside(words: DataFrame, scenes: DataFrame) -> DataFrame:

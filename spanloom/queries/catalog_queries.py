@@ -358,6 +358,86 @@ def m3(spark, d):
     )
 
 
+@R.add(
+    "B4_infer_speaker",
+    with_cte(
+        """SELECT m.item_id, m.mark, CASE WHEN h.speaker IS NOT NULL THEN h.speaker WHEN b.speaker = a.speaker THEN b.speaker END AS speaker
+FROM marks m
+LEFT JOIN LATERAL (SELECT speaker FROM lines l WHERE l.item_id = m.item_id AND l.s < m.span_s AND l.e > m.span_e ORDER BY l.s, l.e LIMIT 1) h ON true
+LEFT JOIN LATERAL (SELECT speaker FROM lines l WHERE l.item_id = m.item_id AND l.e <= m.span_s ORDER BY l.e DESC, l.s LIMIT 1) b ON true
+LEFT JOIN LATERAL (SELECT speaker FROM lines l WHERE l.item_id = m.item_id AND l.s >= m.span_e ORDER BY l.s, l.e LIMIT 1) a ON true""",
+        LINES + "," + MARKS.lstrip(),
+    ),
+)
+def b4(spark, d):
+    lines = settle(lb.build_lines(lb.label_words(fx.published(spark, d), fx.turns(spark, d))))
+    marks = settle(rv.build_review(fx.published(spark, d), fx.detector(spark, d), fx.items(spark, d)))
+    return ed.infer_speakers(marks, lines.withColumnRenamed("line_key", "line"))
+
+
+def session_rows(spark, d):
+    """One entry per turn, as if turns were marks; some recordings lack one, some have odd times."""
+    marks = fx.turns(spark, d).select("item_id", F.col("seq").cast("int").alias("mark"), "start", "end")
+    k = F.col("item_id") % 5
+    status = F.element_at(F.array(*[F.lit(x) for x in ("text", "nothing", "open", "strange")]), (F.col("mark") % 4 + 1).cast("int"))
+    entries = marks.where(~((k == 0) & (F.col("mark") == 2))).withColumns(
+        {"start": F.when(k == 1, F.col("start") + 0.5).otherwise(F.col("start")), "status": status, "note": F.lit("n"), "speaker": F.lit(None).cast("string")}
+    )
+    return marks, entries
+
+
+@R.add(
+    "S4_valid_sessions",
+    with_cte(
+        """SELECT item_id, turn AS mark, CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'nothing' ELSE 'open' END AS status FROM turns t
+WHERE item_id % 5 <> 1 AND NOT (item_id % 5 = 0 AND EXISTS (SELECT 1 FROM turns x WHERE x.item_id = t.item_id AND x.turn = 2))"""
+    ),
+)
+def s4(spark, d):
+    marks, entries = session_rows(spark, d)
+    return ed.valid_sessions(entries, marks, check_times=True).select("item_id", "mark", "status")
+
+
+@R.add(
+    "R6_mark_resolution",
+    with_cte(
+        """SELECT item_id, turn AS mark, turn % 2 = 1 AS recorded, CASE WHEN turn % 2 = 1 THEN 'text' WHEN turn % 4 = 0 THEN 'text' END AS status FROM turns"""
+    ),
+)
+def r6(spark, d):
+    marks, entries = session_rows(spark, d)
+    session = marks.withColumns({"status": F.when(F.col("mark") % 4 == 0, "text").otherwise("open"), "note": F.lit("n")})
+    own = marks.withColumns({"status": F.when(F.col("mark") % 2 == 1, "text").otherwise("open"), "note": F.lit("own")})
+    return rv.mark_resolution(own, session).select("item_id", "mark", "recorded", "status")
+
+
+@R.add(
+    "T13_scene_wording",
+    r"""SELECT event_id, CASE WHEN w < 60 THEN w || ' s' WHEN w % 60 > 0 THEN (w // 60) || ' min ' || (w % 60) || ' s' ELSE (w // 60) || ' min' END AS length,
+  CASE kind WHEN 'silence' THEN '[silence]' WHEN 'music' THEN '[music]' WHEN 'noise' THEN '[background noise]' ELSE '[sound: ' || event_type || ']' END AS tag
+FROM (SELECT event_id, event_type, round_even(value * 3.0::DOUBLE, 0)::BIGINT AS w, ['silence', 'music', 'noise', 'sound'][event_id % 4 + 1] AS kind FROM events)""",
+)
+def t13(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("silence", "music", "noise", "sound")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", wd.format_seconds(F.col("value") * 3.0).alias("length"), wd.scene_tag(kind, F.col("event_type")).alias("tag"))
+
+
+@R.add("L6_transcript_entries")
+def l6(spark, d):
+    docs = documents(spark, d)
+    return cu.transcript_entries(dc.lines_of(docs), dc.scenes_of(docs), dc.marks_of(docs)).select("item_id", F.round("start", 4).alias("start"), "rank", "entry", "label", "text")
+
+
+@R.add("M1_strip_listener")
+def m1(spark, d):
+    """Stripping what was applied gives the lines there were: nothing differs."""
+    docs = documents(spark, d)
+    applied = settle(ed.apply_resolutions(docs, decisions(docs)))
+    text = F.array_join(F.transform("lines", lambda l: l["text"]), "|")
+    before = docs.select("item_id", text.alias("before"))
+    return ed.strip_listener(applied).select("item_id", text.alias("after")).join(before, "item_id").select("item_id", (F.col("before") == F.col("after")).alias("same"))
+
+
 @R.add("V1_build_cues")
 def v1(spark, d):
     docs = documents(spark, d)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom import fixtures as fx
@@ -15,6 +14,7 @@ from spanloom.operators import review as rv
 from spanloom.operators import scenes as sc
 from spanloom.operators import series as se
 from spanloom.operators import timeline as tl
+from spanloom.operators.scans import as_of, numbered
 from spanloom.queries import Registry
 from spanloom.queries.review_queries import SILENT
 from spanloom.session import settle
@@ -504,10 +504,65 @@ n AS (SELECT item_id, side, max(idx) + 1 AS n FROM s GROUP BY ALL), m AS (SELECT
 SELECT item_id, idx + m - n AS idx, greatest(-32768, least(32767, sum(value)))::BIGINT AS value FROM s JOIN n USING (item_id, side) JOIN m USING (item_id) GROUP BY item_id, idx + m - n""",
 )
 def x3(spark, d):
-    side = (F.col("event_id") % 2).alias("side")
-    idx = F.row_number().over(Window.partitionBy("user_id", F.col("event_id") % 2).orderBy("ts", "event_id")) - 1
-    s = table(spark, d, "events").select(F.col("user_id").alias("item_id"), side, idx.alias("idx"), F.round(F.col("value") * 400).alias("value"))
-    return se.mix_channels(s.where("side = 0"), s.where("side = 1")).withColumn("value", F.col("value").cast("bigint"))
+    events = table(spark, d, "events").select(
+        F.col("user_id").alias("item_id"), (F.col("event_id") % 2).alias("side"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id",
+        F.round(F.col("value") * 400).alias("value"),
+    )
+    s = settle(numbered(events, ["item_id", "side"], F.floor(F.col("us") / 86400000000), ["us", "event_id"], "idx"))
+    a, b = (s.where(F.col("side") == k).select("item_id", "idx", "value") for k in (0, 1))
+    return se.mix_channels(a, b).withColumn("value", F.col("value").cast("bigint"))
+
+
+@R.add(
+    "X4_cut_window",
+    """SELECT item_id, idx - 3 AS idx, value FROM (SELECT user_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events) WHERE idx >= 3 AND idx < 12""",
+)
+def x4(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
+    s = numbered(events, ["item_id"], F.floor(F.col("us") / 86400000000), ["us", "event_id"], "idx")
+    return se.cut_window(s.select("item_id", "idx", "value"), 1, 3.0, 12.0)
+
+
+@R.add(
+    "F2_without_segments",
+    with_cte("SELECT s.item_id, s.turn AS seg FROM seg s WHERE NOT EXISTS (SELECT 1 FROM seg r WHERE r.item_id = s.item_id AND r.start_ms = s.start_ms AND r.dur = s.dur AND r.text = s.text AND r.turn % 4 = 1)"),
+)
+def f2(spark, d):
+    segments = fx.ref_segments(spark, d)
+    return sc.without_segments(segments, segments.where("seg % 4 = 1")).select("item_id", "seg")
+
+
+@R.add("A3_distinct_labels", with_cte("SELECT item_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM turns GROUP BY item_id"))
+def a3(spark, d):
+    return tl.labels_of(fx.turns(spark, d)).select("item_id", F.array_join("labels", ",").alias("labels"))
+
+
+@R.add("A7_pooled_word_errors")
+def a7(spark, d):
+    pairs, _, _, ops = scored(spark, d, "raw")
+    return al.pooled_word_errors(al.word_errors(pairs, ops), ["variant"]).withColumn("wer", F.round("wer", 6))
+
+
+LETTERS = "àâäçèéêëîïôöùûüßñ"
+PLAIN = "q" * len(LETTERS)
+
+
+def _rewritten() -> str:
+    """The rewriting stages in DuckDB, on texts whose accented letters are mapped to a plain one
+    first, because its word borders are ASCII ones."""
+    text = f"translate(lower(text), '{LETTERS}', '{PLAIN}')"
+    steps = [(r"[<\[][^>\]]*[>\]]", ""), (r"\(([^)]+?)\)", ""), (r"\b(" + "|".join(tx.FILLERS) + r")\b", ""), (r"\s+'", "'")]
+    steps += list(tx.REWRITES) + [(r"(\d),(\d)", r"\1\2"), (r"\.([^0-9]|$)", r" \1")]
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{new.replace(chr(39), chr(39) * 2)}', 'g')"
+    return text
+
+
+@R.add("T4_rewrites", f"SELECT doc_id, md5({_rewritten()}) AS digest FROM documents")
+def t4(spark, d):
+    docs = table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id").select("doc_id", tx.drop_asides("text").alias("t"))
+    out = docs.select("doc_id", tx.join_digits(tx.expand_contractions("t")).alias("t"))
+    return out.select("doc_id", F.md5(F.translate("t", LETTERS, PLAIN).cast("binary")).alias("digest"))
 
 
 # ---- more interval operators ----------------------------------------------------------------
@@ -578,8 +633,6 @@ def j16(spark, d):
     with_cte("SELECT w.item_id, w.seq, (SELECT arg_max(t.turn, (t.s, t.e)) FROM turns t WHERE t.item_id = w.item_id AND t.s <= w.s) AS turn FROM published w"),
 )
 def j13(spark, d):
-    from spanloom.operators.scans import as_of
-
     words = fx.published(spark, d).select("item_id", "seq", "start")
     return as_of(words, fx.turns(spark, d), ["item_id"], "start", "start", F.col("seq"), "turn", tie=F.col("end")).select("item_id", "seq", "turn")
 

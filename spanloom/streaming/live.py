@@ -12,7 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.config import ReviewSettings
 from spanloom.operators.catalog import MAX_JOIN_GAP_S, upsert_history
+from spanloom.operators.intervals import overlap_join
 from spanloom.operators.review import build_review
+from spanloom.operators.scans import as_of, numbered, time_bucket
+from spanloom.session import settle
 
 # ---- fixed values: the stages of a run and their share of the progress figure -------------------
 STAGES = (
@@ -109,14 +112,10 @@ def final_marks(words: DataFrame, closed: DataFrame, settings: ReviewSettings =
     published, detector = (words.where(F.col("source") == s) for s in ("publisher", "detector"))
     seen = published.groupBy("item_id").agg(F.max("end").alias("seen_s"))
     items = seen.join(closed, "item_id", "full_outer").select("item_id", F.coalesce("audio_s", "seen_s").alias("audio_s"), F.col("audio_s").isNotNull().alias("closed"))
-    marks = build_review(published, detector, items.select("item_id", "audio_s"), settings)
+    marks = settle(build_review(published, detector, items.select("item_id", "audio_s"), settings))
     # The n-th word after the gap must be there, n the words inside; passing by the count of all
     # words inside the span is enough because the echo test reads no more than that.
     inside = words.where(F.col("source") == "detector").select("item_id", F.col("start").alias("d_start"), F.col("end").alias("d_end"))
-    from spanloom.operators.intervals import overlap_join
-    from spanloom.operators.labels import as_of
-    from spanloom.operators.scans import numbered, time_bucket
-
     counted = overlap_join(marks.select("item_id", "mark", "span_start", "span_end"), inside, left_span=("span_start", "span_end"), right_span=("d_start", "d_end"))
     n = counted.groupBy("item_id", "mark").agg(F.count("*").alias("n"))
     totals = words.groupBy("item_id", "source").agg(F.count("*").alias("total"))
