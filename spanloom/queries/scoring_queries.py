@@ -543,8 +543,8 @@ def a7(spark, d):
     return al.pooled_word_errors(al.word_errors(pairs, ops), ["variant"]).withColumn("wer", F.round("wer", 6))
 
 
-LETTERS = "àâäçèéêëîïôöùûüßñ"
-PLAIN = "q" * len(LETTERS)
+LETTERS = "àáâãäåçèéêëìíîïðñòóôõöøùúûüýÿßœæ"
+PLAIN = "z" * len(LETTERS)
 
 
 def _rewritten() -> str:
