@@ -280,7 +280,18 @@ def f3(spark, d):
 
 
 # ---- documents, renderings, edits ---------------------------------------------------------------------
+_DOCUMENTS: dict[tuple[str, str], object] = {}
+
+
 def documents(spark, d):
+    """The documents the renderings and edits below start from, built once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _DOCUMENTS:
+        _DOCUMENTS[key] = built_documents(spark, d)
+    return _DOCUMENTS[key]
+
+
+def built_documents(spark, d):
     lines = settle(lb.build_lines(lb.label_words(fx.published(spark, d), fx.turns(spark, d))))
     marks = settle(rv.build_review(fx.published(spark, d), fx.detector(spark, d), fx.items(spark, d)))
     scenes = settle(scene_pass(spark, d)[0])
@@ -310,7 +321,7 @@ def decisions(docs):
     ),
 )
 def k2(spark, d):
-    docs = documents(spark, d)
+    docs = built_documents(spark, d)
     text = F.array_join(F.transform("lines", lambda l: l["text"]), " ")
     return docs.select("item_id", F.size("lines").alias("n_lines"), F.size("marks").alias("n_marks"), F.size("speakers").alias("n_speakers"), F.md5(text.cast("binary")).alias("digest"))
 

@@ -135,12 +135,42 @@ def benchmark_pairs(spark, d):
     return rows.withColumns({"hyp": hyp, "variant": F.lit("spoiled")}).repartition(spark.sparkContext.defaultParallelism, "item_id")
 
 
-@R.add("Q1_token_distance")
+# The whole edit table, row by row, and the walk back from its last cell.
+TABLE = r"""
+toks AS (
+  SELECT item_id, list_filter(string_split_regex(replace(regexp_replace(replace(translate(lower(text), '’‘_', ''''' '), '''', chr(1)), '\p{P}', '', 'g'), chr(1), ''''),
+    '\s+'), lambda x: x <> '') AS ref FROM benchmark),
+pairs AS (
+  SELECT item_id, ref, list_transform(list_filter(range(1, len(ref) + 1), lambda p: (item_id * 31 + (p - 1) // 5) % 7 <> 0),
+    lambda p: CASE WHEN (item_id + p - 1) % 29 = 0 THEN ref[p] || 'x' ELSE ref[p] END) AS hyp FROM toks),
+dp AS (
+  SELECT item_id, 0::BIGINT AS i, range(0, len(hyp) + 1) AS costs, ref, hyp FROM pairs
+  UNION ALL
+  SELECT item_id, i + 1, list_reduce(
+    list_concat([[i + 1]], list_transform(range(1, len(hyp) + 1), lambda j: [least(costs[j] + (ref[i + 1] <> hyp[j])::BIGINT, costs[j + 1] + 1)])),
+    lambda a, x: list_append(a, least(x[1], a[len(a)] + 1))), ref, hyp
+  FROM dp WHERE i < len(ref)),
+walk AS (
+  SELECT item_id, len(ref)::BIGINT AS i, len(hyp)::BIGINT AS j, 0 AS step, ''::VARCHAR AS kind, 0::BIGINT AS ri, 0::BIGINT AS hj FROM pairs
+  UNION ALL
+  SELECT item_id, CASE WHEN kind = 'ins' THEN i ELSE i - 1 END, CASE WHEN kind = 'del' THEN j ELSE j - 1 END, step + 1, kind, i, j FROM (
+    SELECT w.item_id, w.i, w.j, w.step, CASE
+        WHEN w.i > 0 AND w.j > 0 AND r.costs[w.j + 1] = p.costs[w.j] + (r.ref[w.i] <> r.hyp[w.j])::BIGINT THEN CASE WHEN r.ref[w.i] = r.hyp[w.j] THEN 'equal' ELSE 'sub' END
+        WHEN w.i > 0 AND r.costs[w.j + 1] = p.costs[w.j + 1] + 1 THEN 'del' ELSE 'ins' END AS kind
+    FROM walk w JOIN dp r ON r.item_id = w.item_id AND r.i = w.i LEFT JOIN dp p ON p.item_id = w.item_id AND p.i = w.i - 1
+    WHERE w.i > 0 OR w.j > 0))"""
+
+
+@R.add("Q1_token_distance", f"WITH RECURSIVE {TABLE} SELECT item_id, costs[len(costs)] AS distance FROM dp WHERE i = len(ref)")
 def q1(spark, d):
     return benchmark_pairs(spark, d).select("item_id", al.token_distance().alias("distance"))
 
 
-@R.add("Q2_edit_ops")
+@R.add(
+    "Q2_edit_ops",
+    f"""WITH RECURSIVE {TABLE} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY step DESC) - 1 AS op_seq, kind,
+  CASE WHEN kind <> 'ins' THEN ri - 1 END AS ref_at, CASE WHEN kind <> 'del' THEN hj - 1 END AS hyp_at FROM walk WHERE step > 0""",
+)
 def q2(spark, d):
     return al.edit_ops(benchmark_pairs(spark, d)).select("item_id", "op_seq", "kind", "ref_at", "hyp_at")
 
@@ -324,7 +354,17 @@ def d5(spark, d):
     )
 
 
-@R.add("D8_diarization_scores")
+@R.add(
+    "D8_diarization_scores",
+    with_cte(
+        """, one AS (SELECT item_id, collar, round((miss + fa + conf) / ref_ms::DOUBLE, 6) AS der, round(jer, 6) AS jer FROM sums JOIN jers USING (item_id, collar)),
+n AS (SELECT item_id, count(DISTINCT label) AS found FROM turns WHERE e > s GROUP BY item_id)
+SELECT i.item_id, coalesce(n.found, 0) AS labels_found, CASE WHEN n.found > 0 THEN a.der END AS der_025, CASE WHEN n.found > 0 THEN b.der END AS der_0,
+  CASE WHEN n.found > 0 THEN a.jer END AS jer
+FROM items i LEFT JOIN n USING (item_id) LEFT JOIN one a ON a.item_id = i.item_id AND a.collar = 250 LEFT JOIN one b ON b.item_id = i.item_id AND b.collar = 0""",
+        DER,
+    ),
+)
 def d8(spark, d):
     scores = tl.diarization_scores(fx.ref_segments(spark, d), fx.turns(spark, d), fx.items(spark, d))
     return scores.select("item_id", "labels_found", F.round("der_025", 6).alias("der_025"), F.round("der_0", 6).alias("der_0"), F.round("jer", 6).alias("jer"))
