@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,17 +43,24 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder, so that several consumers read it instead of
-    computing it again and a lost executor costs only the tasks after this point.
-
-    The folder is the session's `spark.checkpoint.dir`, which a cluster points at shared
-    storage; only a session without one (tests, a laptop) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`, which a cluster points at shared storage; only a
+    session without one (tests, a laptop) gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the checkpoint folder, for tables a stream writes."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` once to the checkpoint folder, so that several consumers read it instead of
+    computing it again and a lost executor costs only the tasks after this point."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -135,7 +135,7 @@ def incremental_marks(feed: DataFrame, folder: str, checkpoint: str, settings: R
     own folder, so a replay overwrites itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _batches(spark, f"{folder}/words", batch_id)
+        earlier = batches(spark, f"{folder}/words", batch_id)
         words = batch.where(F.col("kind") == "word").select(*WORD_COLUMNS)
         if earlier is not None:
             mark = earlier.groupBy("item_id", "source").agg(F.max("start").alias("__seen"))
@@ -145,10 +145,10 @@ def incremental_marks(feed: DataFrame, folder: str, checkpoint: str, settings: R
             words = words.where(~late)
         words.select(*WORD_COLUMNS).write.mode("overwrite").parquet(f"{folder}/words/b={batch_id}")
         batch.where(F.col("kind") == "close").select("item_id", "audio_s").write.mode("overwrite").parquet(f"{folder}/closed/b={batch_id}")
-        closed = _batches(spark, f"{folder}/closed", batch_id + 1)
-        kept = _batches(spark, f"{folder}/words", batch_id + 1).join(batch.select("item_id").distinct(), "item_id", "left_semi")
+        closed = batches(spark, f"{folder}/closed", batch_id + 1)
+        kept = batches(spark, f"{folder}/words", batch_id + 1).join(batch.select("item_id").distinct(), "item_id", "left_semi")
         fresh = final_marks(kept, closed, settings)
-        written = _batches(spark, f"{folder}/marks", batch_id)
+        written = batches(spark, f"{folder}/marks", batch_id)
         if written is not None:
             fresh = fresh.join(written.select("item_id", "span_start"), ["item_id", "span_start"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{folder}/marks/b={batch_id}")
@@ -156,7 +156,7 @@ def incremental_marks(feed: DataFrame, folder: str, checkpoint: str, settings: R
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _batches(spark, folder: str, before: int) -> DataFrame | None:
+def batches(spark, folder: str, before: int) -> DataFrame | None:
     """The rows of all batches older than `before`."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
