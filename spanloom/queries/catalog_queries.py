@@ -233,7 +233,12 @@ def e2(spark, d):
     return words.select("item_id", "seg", "pos", "text", F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"))
 
 
-@R.add("E3_group_words")
+@R.add(
+    "E3_group_words",
+    with_cte(
+        "SELECT item_id, turn AS seg, pos * 2 AS seq, text, s AS start_ms, s + CASE WHEN length(text) > 3 THEN 260 ELSE 160 END AS end_ms FROM ref_words WHERE text <> ''"
+    ),
+)
 def e3(spark, d):
     words = fx.ref_words(spark, d)
     halves = F.array(F.struct(F.lit(0).alias("h"), F.concat(F.lit(" "), F.substring("text", 1, 3)).alias("token")), F.struct(F.lit(1).alias("h"), F.expr("substring(text, 4)").alias("token")))
@@ -359,6 +364,23 @@ def t16(spark, d):
     return dc.gap_context(marks, fx.published(spark, d))
 
 
+@R.add(
+    "M3_review_applied",
+    with_cte(
+        """SELECT i.item_id, count(m.mark) FILTER (m.mark % 3 = 0) AS text, count(m.mark) FILTER (m.mark % 3 = 1) AS nothing, count(m.mark) FILTER (m.mark % 3 = 2) AS open,
+  2 * count(m.mark) FILTER (m.mark % 3 = 0) AS listener_words, coalesce(any_value(p.words), 0) + 2 * count(m.mark) FILTER (m.mark % 3 = 0) AS words
+FROM items i LEFT JOIN marks m USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS words FROM published GROUP BY item_id) p USING (item_id) GROUP BY i.item_id""",
+        MARKS,
+    ),
+)
+def m3_counts(spark, d):
+    """Counters of the applied review, and all words of the revised documents: none lost."""
+    docs = documents(spark, d)
+    out = settle(ed.apply_resolutions(docs, decisions(docs)))
+    words = F.aggregate("lines", F.lit(0), lambda n, l: n + F.size(l["words"]))
+    return out.select("item_id", "review_applied.text", "review_applied.nothing", "review_applied.open", "review_applied.listener_words", words.alias("words"))
+
+
 @R.add("M3_apply_resolutions")
 def m3(spark, d):
     docs = documents(spark, d)
@@ -439,7 +461,7 @@ def l6(spark, d):
     return cu.transcript_entries(dc.lines_of(docs), dc.scenes_of(docs), dc.marks_of(docs)).select("item_id", F.round("start", 4).alias("start"), "rank", "entry", "label", "text")
 
 
-@R.add("M1_strip_listener")
+@R.add("M1_strip_listener", with_cte("SELECT item_id, true AS same FROM items"))
 def m1(spark, d):
     """Stripping what was applied gives the lines there were: nothing differs."""
     docs = documents(spark, d)

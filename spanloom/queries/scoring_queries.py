@@ -80,7 +80,21 @@ def summarise(spark, d):
     return lb.named_speakers(lb.summarise_speakers(lines_of(spark, d))).select("item_id", "speaker", "words", millis("seconds").alias("ms"), "place", "name")
 
 
-@R.add("B2_smooth_labels")
+@R.add(
+    "B2_smooth_labels",
+    with_cte(
+        """, n0 AS (SELECT item_id, seq // 1000000 AS turn, seq, s, e, CASE WHEN (seq % 1000000 + seq // 1000000) % 7 = 3 THEN 'spk_flicker' ELSE label END AS label FROM labelled),
+r0 AS (SELECT *, row_number() OVER w = 1 OR lag(label) OVER w IS DISTINCT FROM label AS st FROM n0 WINDOW w AS (PARTITION BY item_id, turn ORDER BY s, e, seq)),
+r1 AS (SELECT *, sum(st::INT) OVER (PARTITION BY item_id, turn ORDER BY s, e, seq ROWS UNBOUNDED PRECEDING) AS run FROM r0),
+runs AS (SELECT item_id, turn, run, any_value(label) AS label, count(*) AS n, min(s) AS s, max(e) AS e FROM r1 GROUP BY ALL),
+r2 AS (SELECT *, lag(label) OVER w AS pl, lead(label) OVER w AS nl, count(*) OVER (PARTITION BY item_id, turn) AS c FROM runs WINDOW w AS (PARTITION BY item_id, turn ORDER BY run)),
+r3 AS (SELECT *, run > 1 AND run < c AND pl IS NOT DISTINCT FROM nl AND n < 2 AND e - s < 600 AS cand FROM r2),
+r4 AS (SELECT *, max(CASE WHEN NOT cand THEN run END) OVER (PARTITION BY item_id, turn ORDER BY run) AS anchor FROM r3)
+SELECT r1.item_id, seq, CASE WHEN cand AND (r4.run - anchor) % 2 = 1 THEN pl ELSE r1.label END AS label, cand AND (r4.run - anchor) % 2 = 1 AS relabelled
+FROM r1 JOIN r4 USING (item_id, turn, run)""",
+        LABELLED,
+    ),
+)
 def smooth(spark, d):
     labelled = lb.label_words(fx.published(spark, d), fx.turns(spark, d))
     # One word in seven gets another voice, so that there is flicker to absorb.
