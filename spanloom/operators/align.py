@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType
 
 from spanloom.functions.text import tokenize_raw, with_norm_tokens
 from spanloom.operators.scans import Scan, bucketed_scan
-from spanloom.session import spread
+from spanloom.session import settle, spread
 
 DIAGONAL, DELETE, INSERT = 0, 1, 2
 FAR = np.int32(1 << 29)
@@ -301,7 +301,8 @@ def word_pairs(reference: DataFrame, words: DataFrame, tokenisation: str) -> tup
     def tokens(df: DataFrame) -> DataFrame:
         if tokenisation == "raw":
             return df.withColumn("tokens", tokenize_raw("text"))
-        return with_norm_tokens(df, "text", "tokens")
+        # Settled: the numbering reads the tokens twice, and normalising is the dear part.
+        return settle(with_norm_tokens(df, "text", "tokens"))
 
     order = ["start", "end", "seq"]
     ref = positioned_tokens(tokens(reference), order, "tokens", "ref_at")
