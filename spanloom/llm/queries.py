@@ -5,12 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, language, lengths, lines, pieces, simhash
-from spanloom.llm.common import table
+from spanloom.llm import exact, fingerprints, language, lengths, lines, mixing, neighbours, pieces, simhash, tokenids
+from spanloom.llm.common import settled, table
+from spanloom.session import scratch
 from spanloom.queries import Registry
 
 R = Registry()
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -23,6 +26,34 @@ def sentencepiece(spark, d):
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.length("decoded").cast("bigint").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@R.add("op2_fingerprints")
+def document_fingerprints(spark, d):
+    """Each text, and the text whose second half is replaced by the next document's beginning."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    docs = neighbours.with_next(docs, "doc_id", ["text", "_row"], ["text", "_row"])
+    size, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    docs = docs.withColumn("_edited", F.concat(F.substring("text", F.lit(1), size - half), F.substring("_next_text", F.lit(1), half)))
+    about = F.struct("doc_id", size.cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("sha"), F.col("_next__row").alias("next"))
+    both = F.array(F.struct(F.lit(0).alias("edited"), F.col("text").alias("text"), about.alias("about")), F.struct(F.lit(1).alias("edited"), F.col("_edited").alias("text"), F.lit(None).cast(docs.select(about.alias("a")).schema["a"].dataType).alias("about")))
+    texts = docs.select("_bucket", "_row", F.explode(both).alias("_v")).select("_bucket", "_row", F.col("_v.edited").alias("_is_edited"), F.col("_v.about").alias("_about"), F.col("_v.text").alias("_text"))
+    # Partitioned by _bucket, which is part of the keys: texts are not shuffled again.
+    signed = fingerprints.signatures(texts, "_text", ["_bucket", "_row", "_is_edited", "_about"])
+    signed = settled(signed.select("_row", "_is_edited", "_about", "_signature"), "fingerprints")
+    own = signed.filter("_is_edited = 0").select("_row", "_about", F.col("_signature").alias("_own"))
+    edited = signed.filter("_is_edited = 1").select("_row", F.col("_signature").alias("_other"))
+    after = own.select(F.col("_row").alias("_next"), F.col("_own").alias("_after"))
+    rows = own.join(edited, "_row").withColumn("_next", F.col("_about.next")).join(after, "_next")
+    return rows.select(
+        F.col("_about.doc_id").alias("doc_id"),
+        F.col("_about.n_chars").alias("n_chars"),
+        F.col("_about.sha").alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("_own")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("_other")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("_own"), F.col("_other")).alias("near_edited"),
+        fingerprints.likeness(F.col("_own"), F.col("_after")).alias("near_next"),
+    )
+
+
 @R.add(
     "op3_exact_dedup",
     r"""
@@ -39,12 +70,64 @@ def language_id(spark, d):
     return language.language_id(table(spark, d, "documents"))
 
 
+@R.add("op5_token_ids")
+def token_ids(spark, d):
+    """Written and read back."""
+    path = scratch(spark, "token-ids")
+    tokenids.write_token_ids(table(spark, d, "documents"), TOKENIZER, path, END_ID)
+    return tokenids.read_documents(spark, path)
+
+
 @R.add("op7_token_counts")
 def token_counts(spark, d):
     counted = lengths.token_lengths(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
     return lengths.length_histogram(counted)
 
 
+# The mix: a tree of domain, language and source, the domain given by the source's number.
+TREE = ("domain", "lang", "source")
+DOMAINS = ("web", "books", "code", "reference")
+MIX_WEIGHTS = {"domain": {"web": 4, "books": 3, "code": 2, "reference": 1}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 2}}
+MIX_BUDGET, MIX_EPOCHS, MIX_SEED = (3, 5), 3, 17
+
+
+def with_domain(docs):
+    number = F.try_element_at(F.array(*map(F.lit, DOMAINS)), F.pmod(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int"), F.lit(4)) + 1)
+    return docs.withColumn("domain", F.coalesce(number, F.lit("other")))
+
+
+@R.add(
+    "op8_mixing",
+    r"""
+    WITH d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+        coalesce((['web', 'books', 'code', 'reference'])[CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS INT) + 1], 'other') AS domain FROM documents),
+    leaf AS (SELECT domain, lang, source, sum(n) AS t, CAST(sum(n) * 3 AS DOUBLE) AS c,
+        CAST(CASE domain WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'code' THEN 2 ELSE 1 END AS DOUBLE) AS wd,
+        CAST(CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS DOUBLE) AS wl,
+        CAST(CASE source WHEN 'src0' THEN 2 ELSE 1 END AS DOUBLE) AS ws FROM d GROUP BY ALL),
+    d0 AS (SELECT domain, sum(c) AS c, max(wd) AS w FROM leaf GROUP BY domain),
+    d1 AS (SELECT *, (SELECT CAST(least((sum(t) * 3) // 5, sum(t) * 3) AS DOUBLE) FROM leaf) AS g FROM d0),
+    d2 AS (SELECT *, (g - coalesce(sum(c) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv FROM d1
+        WINDOW b AS (ORDER BY c / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    d3 AS (SELECT domain, least(c, w * max(lv) OVER ()) AS g FROM d2),
+    l0 AS (SELECT domain, lang, sum(c) AS c, max(wl) AS w FROM leaf GROUP BY domain, lang),
+    l2 AS (SELECT l0.*, (g - coalesce(sum(c) OVER b, 0)) / (sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER b, 0)) AS lv FROM l0 JOIN d3 USING (domain)
+        WINDOW b AS (PARTITION BY domain ORDER BY c / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l3 AS (SELECT domain, lang, least(c, w * max(lv) OVER (PARTITION BY domain)) AS g FROM l2),
+    s2 AS (SELECT leaf.*, (g - coalesce(sum(c) OVER b, 0)) / (sum(ws) OVER (PARTITION BY domain, lang) - coalesce(sum(ws) OVER b, 0)) AS lv
+        FROM leaf JOIN l3 USING (domain, lang)
+        WINDOW b AS (PARTITION BY domain, lang ORDER BY c / ws, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s3 AS (SELECT domain, lang, source, CAST(t AS BIGINT) AS t, CAST(floor(least(c, ws * max(lv) OVER (PARTITION BY domain, lang))) AS BIGINT) AS a FROM s2),
+    o AS (SELECT doc_id, domain, lang, source, n, a // t AS epochs, a % t AS r, md5('17:' || (a // t + 1) || ':' || doc_id) AS k FROM d JOIN s3 USING (domain, lang, source)),
+    p AS (SELECT *, greatest(0, least(n, r - coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM o)
+    SELECT doc_id, domain, lang, source, n AS n_tokens, epochs, CAST(take AS BIGINT) AS prefix_tokens, CAST(epochs * n + take AS BIGINT) AS drawn_tokens FROM p
+    WHERE epochs * n + take > 0""",
+)
+def mixing_sources(spark, d):
+    docs = with_domain(table(spark, d, "documents")).withColumn("n_tokens", mixing.words(F.col("text")))
+    return mixing.mix(docs, TREE, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
+
+
 @R.add(
     "op9_line_dedup",
     r"""
