@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, fingerprints, language, lengths, lines, mixing, neighbours, pieces, simhash, tokenids
+from spanloom.llm import exact, fingerprints, language, lengths, lines, mixing, neighbours, pieces, repeats, simhash, tokenids
 from spanloom.llm.common import settled, table
 from spanloom.session import scratch
 from spanloom.queries import Registry
@@ -78,6 +78,11 @@ def token_ids(spark, d):
     return tokenids.read_documents(spark, path)
 
 
+@R.add("op6_repeats")
+def repeated_passages(spark, d):
+    return repeats.remove_repeats(table(spark, d, "documents")).drop("kept")
+
+
 @R.add("op7_token_counts")
 def token_counts(spark, d):
     counted = lengths.token_lengths(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
