@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import batch_of, pieces, ready, strings
 
@@ -144,8 +145,8 @@ def _predict(automata):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = automata.value
         names = list(languages)
-        schema = pa.schema([("_row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrases_per_byte", pa.float64())])
         for batch in pieces(batches, "text"):
+            schema = pa.schema([batch.schema.field(1), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrases_per_byte", pa.float64())])
             texts = strings(batch, "text")
             bytes_ = [plain(t) for t in texts]
             sizes = np.array([max(1, len(b)) for b in bytes_], dtype=np.float64)
@@ -171,7 +172,8 @@ def _predict(automata):
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """One row per row of `docs` (_row, text): _row, lang_pred, score, phrases_per_byte.
+    """One row per row of `docs` (text, and _row, a value of any type that is passed on): _row,
+    lang_pred, score, phrases_per_byte.
 
     lang_pred is the language with the fewest phrases per byte (of equals, the first by name), `und`
     for null, empty and letterless texts or without any sample. score is 1 minus the winner's share
@@ -180,7 +182,9 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     spark = ready(docs.sparkSession)
     # Bounded: TABLE_BYTES over all languages.
     automata = spark.sparkContext.broadcast({lang: (made.symbols, made.step) for lang, made in ((lang, SuffixAutomaton(sample)) for lang, sample in samples.items())})
-    return docs.select("text", "_row").mapInArrow(_predict(automata), "_row bigint, lang_pred string, score double, phrases_per_byte double")
+    docs = docs.select("text", "_row")
+    schema = T.StructType([docs.schema["_row"], *(T.StructField(n, t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("phrases_per_byte", T.DoubleType())))])
+    return docs.mapInArrow(_predict(automata), schema)
 
 
 def language_id(docs: DataFrame, labelled: DataFrame | None = None, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.common import batch_of, pieces, ready, settled, strings
 
@@ -248,8 +249,8 @@ def _screen(packed: list[tuple[int, bytes]] | None, shards: int, min_chars: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_shard = None if packed is None else {shard: CuckooFilter.unpack(data) for shard, data in packed}
-        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("text", pa.string()), ("kept_sha256", pa.string()), ("_keys", pa.list_(pa.binary()))])
         for batch in pieces(batches, "text"):
+            schema = pa.schema([batch.schema.field(0), ("n_lines", pa.int64()), ("text", pa.string()), ("kept_sha256", pa.string()), ("_keys", pa.list_(pa.binary()))])
             texts = strings(batch, "text")
             lines = [text.split("\n") for text in texts]
             found = [sorted({key for line in doc if (key := line_key(line, min_chars))}) for doc in lines]
@@ -264,7 +265,7 @@ def _screen(packed: list[tuple[int, bytes]] | None, shards: int, min_chars: int)
                 found = [[key for key in doc if next(flags)] for doc in found]
             yield batch_of(
                 schema,
-                batch.column(0).to_pylist(),
+                batch.column(0),
                 [len(doc) for doc in lines],
                 [text if keys else None for text, keys in zip(texts, found)],
                 [None if keys else _sha(text) for text, keys in zip(texts, found)],
@@ -274,30 +275,31 @@ def _screen(packed: list[tuple[int, bytes]] | None, shards: int, min_chars: int)
     return run
 
 
-def _drop(min_chars: int, texts_too: bool):
+def _drop(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
         for batch in pieces(batches, "text"):
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, n_lines, text, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            schema = pa.schema([batch.schema.field(0), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+            out: list[list] = [[], [], [], []]
+            for n_lines, text, gone in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
                 gone = set(gone or ())
                 kept = [line for line in text.split("\n") if not gone or line_key(line, min_chars) not in gone]
                 text = "\n".join(kept)
-                for column, value in zip(out, (doc_id, n_lines, n_lines - len(kept), _sha(text), text if texts_too else None)):
+                for column, value in zip(out, (n_lines, n_lines - len(kept), _sha(text), text)):
                     column.append(value)
-            yield batch_of(schema, *out)
+            yield batch_of(schema, batch.column(0), *out)
 
     return run
 
 
-def line_dedup(docs: DataFrame, held: DataFrame | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, held: DataFrame | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bytes: int = FILTER_BYTES, keep: bool = False) -> DataFrame:
     """Drop lines that many documents share, but for the largest doc_id that holds them.
 
     `docs`: doc_id, text (null is one empty line). `held`: the reference table that decides, by
-    default that of `docs`. One row per row of `docs`: doc_id, n_lines, n_dropped, kept_sha256 and
-    `text`, what stays, which is null where nothing was dropped. Lines are compared without blanks at
-    their ends and with A-Z in lower case; only lines of `min_chars` code points or more count. Rows
-    that repeat one doc_id are one document and are treated alike. An empty table gives no rows.
+    default that of `docs`. One row per row of `docs`: `_doc` (a struct of the row's doc_id, or
+    with `keep` of all its columns), n_lines, n_dropped, kept_sha256 and `text`, what stays, which is
+    null where nothing was dropped. Lines are compared without blanks at their ends and with A-Z in
+    lower case; only lines of `min_chars` code points or more count. Rows that repeat one doc_id are
+    one document and are treated alike. An empty table gives no rows.
     """
     ready(docs.sparkSession)
     held = insert_documents(None, docs, min_chars) if held is None else held
@@ -308,14 +310,21 @@ def line_dedup(docs: DataFrame, held: DataFrame | None = None, min_chars: int =
     # A filter has at most 4 / 0.84 slots of 2 bytes a key: the size is known before one is built.
     if n_shared * 10 + shards * 64 <= filter_bytes:
         packed = [(row["shard"], bytes(row["marks"])) for row in filters(shared, shards).collect()]
-    columns = "doc_id bigint, n_lines bigint, text string, kept_sha256 string, _keys array<binary>"
-    screened = docs.select("doc_id", "text").mapInArrow(_screen(packed, shards, min_chars), columns)
+    rows = docs.select(F.struct(*(docs.columns if keep else ["doc_id"])).alias("_doc"), "text")
+    first = rows.schema["_doc"]
+    numbers = [T.StructField("n_lines", T.LongType())]
+    screened = rows.mapInArrow(
+        _screen(packed, shards, min_chars),
+        T.StructType([first, *numbers, T.StructField("text", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("_keys", T.ArrayType(T.BinaryType()))]),
+    )
     screened = settled(screened.withColumn("_row", F.monotonically_increasing_id()), "screened-lines")
-    finished = screened.filter("kept_sha256 IS NOT NULL").select("doc_id", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"), "kept_sha256", F.lit(None).cast("string").alias("text"))
+    finished = screened.filter("kept_sha256 IS NOT NULL").select("_doc", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"), "kept_sha256", F.lit(None).cast("string").alias("text"))
     open_rows = screened.filter("kept_sha256 IS NULL")
-    asked = open_rows.select("_row", "doc_id", F.explode("_keys").alias("key"))
-    gone = asked.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("_row").agg(F.collect_list("key").alias("_gone"))
-    dropped = open_rows.join(gone, "_row", "left").select("doc_id", "n_lines", "text", "_gone")
-    return finished.unionByName(
-        dropped.mapInArrow(_drop(min_chars, True), "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, text string")
+    asked = open_rows.select("_row", F.col("_doc.doc_id").alias("_id"), F.explode("_keys").alias("key"))
+    gone = asked.join(shared, "key").filter(~F.col("_id").eqNullSafe(F.col("last_doc"))).groupBy("_row").agg(F.collect_list("key").alias("_gone"))
+    dropped = open_rows.join(gone, "_row", "left").select("_doc", "n_lines", "text", "_gone")
+    dropped = dropped.mapInArrow(
+        _drop(min_chars),
+        T.StructType([first, *numbers, T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("text", T.StringType())]),
     )
+    return finished.unionByName(dropped)

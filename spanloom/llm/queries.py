@@ -145,9 +145,9 @@ def mixing_sources(spark, d):
     FROM marked GROUP BY doc_id""",
 )
 def line_dedup(spark, d):
-    return lines.line_dedup(table(spark, d, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return lines.line_dedup(table(spark, d, "documents")).select("_doc.doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 @R.add("op10_simhash")
 def simhash_dedup(spark, d):
-    return simhash.simhash_groups(table(spark, d, "documents"))
+    return simhash.simhash_groups(table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")

@@ -58,17 +58,18 @@ def _signed(value: int) -> int:
 
 def _fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("_print", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("_print", pa.int64())])
         for batch in pieces(batches, "text"):
-            yield batch_of(schema, batch.column(0), [_signed(simhash(text, words, seed)) for text in strings(batch, "text")])
+            yield batch_of(schema, batch.column(0), batch.column(1), [_signed(simhash(text, words, seed)) for text in strings(batch, "text")])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, _print (the 64 bits as BIGINT) per row of `docs`."""
+    """doc_id, _row (the row's number as read), _print (the 64 bits as BIGINT) per row of `docs`."""
     ready(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(words, seed), "doc_id bigint, _print bigint")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
+    return numbered.mapInArrow(_fingerprints(words, seed), "doc_id bigint, _row bigint, _print bigint")
 
 
 # ---- links -----------------------------------------------------------------------------------
@@ -241,7 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id per row of `docs` (doc_id, text).
+    """doc_id, _row, fingerprint (16 hex digits), component_id, component_row per row of `docs`
+    (doc_id, text). _row is the row's number as read, component_row that of the first row of component_id.
 
     Rows link when their fingerprints differ in at most `max_bits` bits; component_id is the smallest
     doc_id that can be reached. Null texts and texts without words have fingerprint 0 and link like
@@ -249,11 +251,11 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     component its name unless the component has no other. An empty table gives no rows.
     """
     prints = settled(fingerprints(docs, words, seed), "fingerprints")
-    nodes = settled(prints.groupBy("_print").agg(F.min("doc_id").alias("_first")), "nodes")
+    nodes = settled(prints.groupBy("_print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")), "nodes")
     joined = components(links(nodes.select("_print"), max_bits, tile))
     rooted = nodes.join(joined, nodes["_print"] == joined["node"], "left").select("_print", "_first", F.coalesce("root", "_print").alias("_root"))
     rooted = settled(rooted, "rooted")
-    named = settled(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")), "named")
-    classes = settled(rooted.join(named, "_root").select("_print", "component_id"), "classes")
+    named = settled(rooted.groupBy("_root").agg(F.min("_first").alias("_first")), "named")
+    classes = settled(rooted.drop("_first").join(named, "_root").select("_print", "_first"), "classes")
     digits = F.lower(F.lpad(F.hex("_print"), 16, "0"))
-    return prints.join(classes, "_print").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return prints.join(classes, "_print").select("doc_id", "_row", digits.alias("fingerprint"), F.col("_first.doc_id").alias("component_id"), F.col("_first._row").alias("component_row"))
