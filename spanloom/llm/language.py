@@ -46,8 +46,9 @@ _PLAIN = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
 
 class SuffixAutomaton:
-    """The states of all substrings of `sample`: `step[state * width + symbol]` is twice the next
-    state's offset, plus 1 where the match ends and the next one starts with this symbol."""
+    """The states of all substrings of `sample`: `step[state * width + symbol]` is four times the
+    next state's offset, plus the number of phrases that end: 1 where the match ends and the next one
+    starts with this symbol; a symbol that the sample lacks is a phrase and ends the one before it."""
 
     def __init__(self, sample: bytes) -> None:
         self.symbols = np.zeros(256, dtype=np.int32)
@@ -81,13 +82,14 @@ class SuffixAutomaton:
                         at = link[at]
                     link[reached] = link[new] = copy
             last = new
-        root = np.ones(self.width, dtype=np.int32)  # an unknown byte is a phrase and leads to the root
+        root = np.full(self.width, 2, dtype=np.int32)
         for symbol, state in moves[0].items():
-            root[symbol] = 2 * state * self.width + 1
+            root[symbol] = 4 * state * self.width + 1
         step = np.tile(root, (len(moves), 1))
+        step[0] = 1
         for state, found in enumerate(moves):
             for symbol, target in found.items():
-                step[state, symbol] = 2 * target * self.width
+                step[state, symbol] = 4 * target * self.width
         self.step = step.ravel()
 
 
@@ -103,12 +105,12 @@ def phrases(symbols: np.ndarray, step: np.ndarray, windows: np.ndarray, lengths:
         if n == 0:
             break
         at = state[:n]
-        at >>= 1
+        at >>= 2
         at += columns[i, :n]
         at[:] = step.take(at)
-        ended[:n] += at & 1
-    # A text that ends inside a match has one phrase more; a state over 1 is not the root.
-    return ended + (state > 1)
+        ended[:n] += at & 3
+    # A text that ends inside a match has one phrase more; a state over 3 is not the root.
+    return ended + (state > 3)
 
 
 def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:

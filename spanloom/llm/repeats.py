@@ -98,7 +98,7 @@ def anchors(data: np.ndarray, grams: Hasher, contexts: Hasher, length: int = LEN
         span = contexts.of(contexts.sums(part), low, high + length)
         found.append((hashes[chosen[low]], span, low + begin, high + begin))
     if not found:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=kind) for kind in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(columns) for columns in zip(*found))
 
 
@@ -292,7 +292,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     where = F.struct(F.col("_doc").isNotNull().alias("known"), "_doc", "_row", "_low")
     hot = settled(hot, "hot-strings")
     first = settled(hot.groupBy("_string").agg(F.min(where).alias("_first")), "hot-firsts")
-    by_string = hot.join(first, "_string").filter(F.col("_row") != F.col("_first._row")).select("_row", "_low", F.col("_low").alias("_high"))
+    by_string = hot.join(first, "_string").filter((F.col("_row") != F.col("_first._row")) | (F.col("_low") != F.col("_first._low")))
+    by_string = by_string.select("_row", "_low", F.col("_low").alias("_high"))
 
     every = later.unionByName(by_sort).unionByName(by_string)
     every = every.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans"))

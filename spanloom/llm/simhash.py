@@ -95,7 +95,7 @@ def links_within(left: np.ndarray, right: np.ndarray | None, max_bits: int) -> l
         apart = rest ^ left[i]
         shared = (apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
         near = np.flatnonzero(shared >= BYTES - max_bits)
-        near = near[np.bitwise_count(apart[near]) <= max_bits]
+        near = near[np.bitwise_count(apart[near].view(np.uint64)) <= max_bits]  # of signed numbers it counts the absolute value
         for k in near.tolist():
             j = k + (i + 1 if right is None else shift)
             a, b = root(i), root(j)
