@@ -7,6 +7,8 @@ without number words costs no Python work, and no join or shuffle is involved.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,16 @@ from spanloom.functions import spoken_numbers as spoken
 
 NORMALISER_VERSION = "v1"
 
+
+def normaliser_version(spellings: Mapping[str, str] | None = None) -> str:
+    """The rules and the spelling table, if there is one, by its digest: scores made under
+    different versions do not belong in one table."""
+    if not spellings:
+        return NORMALISER_VERSION
+    table = json.dumps(sorted(spellings.items()), ensure_ascii=False)
+    return f"{NORMALISER_VERSION}+{hashlib.sha256(table.encode()).hexdigest()[:12]}"
+
+
 # ---- fixed values: rewrites applied in this order -------------------------------------------
 REWRITES = (
     (r"\bwon't\b", "will not"), (r"\bcan't\b", "can not"), (r"\blet's\b", "let us"), (r"\bain't\b", "aint"),
@@ -34,8 +46,6 @@ REWRITES = (
     (r"'t\b", " not"), (r"'ve\b", " have"), (r"'m\b", " am"),
 )
 FILLERS = ("hmm", "mm", "mhm", "mmm", "uh", "um")
-# A seed for the British-to-American table; pass a fuller mapping or table for real use.
-SPELLINGS = {"colour": "color", "neighbourhood": "neighborhood", "grey": "gray"}
 # ---------------------------------------------------------------------------------------------
 
 _NUMBERISH = r"(?U)\d|(?:^|\s)(?:" + "|".join(sorted(spoken.ROLES)) + r")(?:\s|$)"
@@ -99,8 +109,8 @@ def basic_normalize(column: Column | str, remove_diacritics: bool = False) -> Co
 
 
 def standardize_spellings(column: Column | str, mapping: Mapping[str, str] | None = None) -> Column:
+    """Words looked up in a spelling table of the caller's; a large one goes through `respell`."""
     words = _words(_col(column))
-    mapping = SPELLINGS if mapping is None else mapping
     if not mapping:
         return F.array_join(words, " ")
     table = F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair])

@@ -20,7 +20,6 @@ VIDEO_EXTENSIONS = (
 )
 JOIN_TOLERANCE_S = 2.0
 MAX_JOIN_GAP_S = 900.0
-MAX_HISTORY = 2000
 # ----------------------------------------------------------------------------------------------
 
 
@@ -33,9 +32,12 @@ def is_video(name: Column | str) -> Column:
 
 
 def discover_media(files: DataFrame) -> DataFrame:
-    """Media files of an inventory (folder, name, ...), one per resolved path, sorted."""
+    """Media files of an inventory (folder, name, ...), one per resolved path, sorted. Of several
+    spellings of a path the first by folder and name stays."""
     path = F.lower(wd.canonical_path(F.concat_ws("/", "folder", "name")))
-    unique = files.where(is_media("name")).withColumn("path_key", path).dropDuplicates(["path_key"])
+    media = files.where(is_media("name")).withColumn("path_key", path)
+    first = media.groupBy("path_key").agg(F.min_by(F.struct(*files.columns), F.struct("folder", "name")).alias("first"))
+    unique = first.select("first.*", "path_key")
     return unique.orderBy(F.lower("folder"), F.lower("name"))
 
 
@@ -191,14 +193,21 @@ def not_done(items: DataFrame, done: DataFrame, keys: Iterable[str]) -> DataFram
 
 
 # ---- history and outcomes -----------------------------------------------------------------------
-def upsert_history(history: DataFrame, entries: DataFrame, cap: int = MAX_HISTORY) -> DataFrame:
-    """`entries` put before `history`, one row per canonical path, newest first, capped. Both have
-    (path, produced_utc, ...); an entry replaces the history's row of the same path."""
+def upsert_history(history: DataFrame, entries: DataFrame) -> DataFrame:
+    """`entries` put before `history`, one row per canonical path, newest first. Both have
+    (path, produced_utc, ...); an entry replaces the history's row of the same path. Of rows alike in
+    time the one with the larger columns, in their order, stands."""
     both = history.withColumn("__new", F.lit(0)).unionByName(entries.withColumn("__new", F.lit(1)))
     columns = history.columns
-    newest = F.max_by(F.struct(*columns), F.struct("__new", "produced_utc"))
+    ordered = [c for c, kind in history.dtypes if not kind.startswith("map")]
+    newest = F.max_by(F.struct(*columns), F.struct("__new", "produced_utc", *[F.col(c).alias(f"__{c}") for c in ordered]))
     kept = both.groupBy(wd.canonical_path("path").alias("__key")).agg(newest.alias("e"), F.max("__new").alias("__new"))
-    return kept.select("e.*", "__new", "__key").orderBy(F.desc("__new"), F.desc("produced_utc"), "__key").limit(cap).select(*columns)
+    return kept.select("e.*", "__new", "__key").orderBy(F.desc("__new"), F.desc("produced_utc"), "__key").select(*columns)
+
+
+def newest_entries(history: DataFrame, cap: int) -> DataFrame:
+    """The `cap` newest entries, for a list of a stated length."""
+    return history.withColumn("__key", wd.canonical_path("path")).orderBy(F.desc("produced_utc"), "__key").limit(cap).select(*history.columns)
 
 
 def remove_entries(history: DataFrame, paths: DataFrame) -> DataFrame:

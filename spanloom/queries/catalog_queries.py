@@ -149,7 +149,7 @@ def history_rows(spark, d):
     "X8_upsert_history",
     """WITH e AS (SELECT 'u' || user_id || '/' || event_type AS p, ts, event_id, event_id % 5 = 0 AS fresh FROM events),
 k AS (SELECT p, arg_max(event_id, (fresh, ts)) AS event_id, bool_or(fresh) AS fresh, max(ts) FILTER (fresh) AS fts, max(ts) AS mts FROM e GROUP BY p)
-SELECT p AS path, event_id FROM k ORDER BY fresh DESC, coalesce(fts, mts) DESC, p LIMIT 2000""",
+SELECT p AS path, event_id FROM k""",
 )
 def x8(spark, d):
     rows = history_rows(spark, d)
@@ -157,6 +157,16 @@ def x8(spark, d):
     return kept.select(wd.canonical_path("path").alias("path"), "event_id")
 
 
+@R.add(
+    "L5_newest_entries",
+    """WITH k AS (SELECT 'u' || user_id || '/' || event_type AS p, max(ts) AS ts FROM events GROUP BY ALL)
+SELECT p AS path FROM k ORDER BY ts DESC, p LIMIT 100""",
+)
+def l5(spark, d):
+    rows = history_rows(spark, d)
+    return ct.newest_entries(ct.upsert_history(rows.limit(0), rows), 100).select(wd.canonical_path("path").alias("path"))
+
+
 @R.add("A15_history_totals", "SELECT count(*) AS entries, round(sum(value), 4) AS seconds FROM events")
 def a15(spark, d):
     return ct.history_totals(history_rows(spark, d)).withColumn("seconds", F.round("seconds", 4))

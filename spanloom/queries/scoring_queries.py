@@ -396,7 +396,34 @@ def d7(spark, d):
         F.col("user_id").alias("item_id"), F.concat("event_type", (F.col("event_id") % 2).cast("string")).alias("label"), "event_id",
         F.col("event_id").cast("double").alias("start"), (F.col("event_id") + F.col("value")).alias("end"),
     )
-    return tl.fold_labels(t).select("item_id", "event_id", "found", "label")
+    return tl.fold_labels(t, 6).select("item_id", "event_id", "found", "label")
+
+
+@R.add(
+    "D4_many_labels",
+    """WITH RECURSIVE e AS (SELECT user_id AS item_id, event_id % 10 AS r, (event_id // 7) % 9 AS h, CAST(round(value) AS BIGINT) AS s FROM events WHERE value IS NOT NULL),
+cells AS (SELECT item_id, r, h, sum(s) AS s FROM e GROUP BY ALL),
+dp AS (
+  SELECT DISTINCT item_id, 0 AS r, 0 AS mask, 0::HUGEINT AS best FROM cells
+  UNION ALL
+  SELECT item_id, r, mask, max(best) FROM (
+    SELECT d.item_id, d.r + 1 AS r, d.mask, d.best FROM dp d WHERE d.r < 10
+    UNION ALL
+    SELECT d.item_id, d.r + 1, d.mask | (1 << c.h), d.best + c.s FROM dp d JOIN cells c ON c.item_id = d.item_id AND c.r = d.r WHERE d.r < 10 AND (d.mask & (1 << c.h)) = 0)
+  GROUP BY item_id, r, mask)
+SELECT item_id, CAST(max(best) AS BIGINT) AS shared, (SELECT count(DISTINCT r) FROM cells c WHERE c.item_id = dp.item_id) AS ref_labels FROM dp WHERE r = 10 GROUP BY item_id""",
+)
+def d4(spark, d):
+    """Up to ten labels a side: the time that the best mapping shares."""
+    e = table(spark, d, "events").where("value IS NOT NULL").select(
+        F.col("user_id").alias("item_id"), F.lit(0.0).alias("collar"), F.format_string("%02d", F.col("event_id") % 10).alias("ref"),
+        F.expr("cast((event_id div 7) % 9 as string)").alias("hyp"), F.round("value").alias("s"),
+    )
+    matrix = e.groupBy("item_id", "collar", "ref", "hyp").agg(F.sum("s").alias("seconds"))
+    labels = e.groupBy("item_id", "collar").agg(F.sort_array(F.collect_set("ref")).alias("ref_labels"), F.sort_array(F.collect_set("hyp")).alias("hyp_labels"))
+    mapped = tl.best_mapping(matrix, labels)
+    took = F.transform("choice", lambda c, i: F.when(c > 0, F.get(F.get("grid", i), c - 1)).otherwise(F.lit(0.0)))
+    return mapped.select("item_id", F.aggregate(took, F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("shared"), F.size("ref_labels").alias("ref_labels"))
 
 
 # ---- scenes and series ---------------------------------------------------------------------

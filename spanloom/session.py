@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,11 +45,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`, which a cluster points at shared storage; only a
-    session without one (tests, a laptop) gets a temporary folder."""
+    """The session's `spark.checkpoint.dir`, which a cluster points at shared storage. A
+    single-machine session without one gets a temporary folder; any other session is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-"))
     return context.getCheckpointDir()
 
 
@@ -58,10 +62,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder, so that several consumers read it instead of
-    computing it again and a lost executor costs only the tasks after this point."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as Parquet to the checkpoint folder, so that several consumers read the
+    columns they need of it instead of computing it again, and a lost executor costs only the tasks
+    after this point."""
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -135,7 +135,7 @@ def _increasing(start: float, end: float) -> None:
 
 def fill_segments(segments: DataFrame, words: DataFrame) -> DataFrame:
     """Segments with the text of their speaker's words that start inside them."""
-    spans = segments.select("item_id", "speaker", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    spans = segments.select("item_id", "speaker", F.col("start").alias("s_start"), F.col("end").alias("s_end")).distinct()
     hits = point_join(words.select("item_id", "speaker", "start", "end", "text"), spans, F.col("start"), ("s_start", "s_end"), ["item_id", "speaker"])
     said = hits.groupBy("item_id", "speaker", F.col("s_start").alias("start"), F.col("s_end").alias("end_")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "text"))), lambda w: w["text"]), " ").alias("said")

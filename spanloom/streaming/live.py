@@ -51,8 +51,9 @@ PROGRESS = "item_id string, stage string, fraction double, elapsed_s double, eta
 
 def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
+        # A stall is only reported; what is known of the item stays for its next report.
         _, publisher, detector, stage, fraction, elapsed = state.get
-        state.remove()
+        state.update(state.get)
         yield pd.DataFrame([(key[0], stage, fraction, elapsed, None, True)], columns=[c.split()[0] for c in PROGRESS.split(", ")])
         return
     eta, publisher, detector, *_ = state.get if state.exists else (None, 0.0, 0.0, "", 0.0, 0.0)
@@ -65,8 +66,11 @@ def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             eta = raw if eta is None else 0.7 * eta + 0.3 * raw
             shown = max(0.0, eta)
         out.append((key[0], row.stage, overall, row.elapsed_s, shown, False))
-    state.update((eta, seen["publisher"], seen["detector"], out[-1][1], out[-1][2], out[-1][3]))
-    state.setTimeoutDuration(STALL_S * 1000)
+    if out[-1][2] >= 1.0:
+        state.remove()  # the item is done
+    else:
+        state.update((eta, seen["publisher"], seen["detector"], out[-1][1], out[-1][2], out[-1][3]))
+        state.setTimeoutDuration(STALL_S * 1000)
     yield pd.DataFrame(out, columns=[c.split()[0] for c in PROGRESS.split(", ")])
 
 
