@@ -294,7 +294,7 @@ matrix AS (
         """SELECT i.item_id, collar, i.s AS start_ms, i.e AS end_ms,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM ra WHERE ra.item_id = i.item_id AND ra.collar = i.collar AND ra.s = i.s), '') AS refs,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM ha WHERE ha.item_id = i.item_id AND ha.collar = i.collar AND ha.s = i.s), '') AS hyps
-FROM scored i WHERE refs <> '' OR hyps <> ''""",
+FROM scored i""",
         TIMELINE,
     ),
 )
@@ -305,9 +305,19 @@ def d2(spark, d):
     )
 
 
-@R.add("D3_overlap_matrix", with_cte("SELECT item_id, collar, ref, hyp, ms FROM matrix", TIMELINE))
+@R.add(
+    "D3_overlap_matrix",
+    with_cte(
+        """SELECT r.item_id, c.collar, r.label AS ref, h.label AS hyp, CAST(coalesce(m.ms, 0) AS BIGINT) AS ms
+FROM (SELECT DISTINCT item_id, label FROM rsegs) r JOIN (SELECT DISTINCT item_id, label FROM turns) h ON h.item_id = r.item_id, collars c
+LEFT JOIN matrix m ON m.item_id = r.item_id AND m.collar = c.collar AND m.ref = r.label AND m.hyp = h.label""",
+        TIMELINE,
+    ),
+)
 def d3(spark, d):
-    return tl.overlap_matrix(settle(tl.timeline(*sides(spark, d), (0.0, 0.25)))).select("item_id", millis("collar").alias("collar"), "ref", "hyp", millis("seconds").alias("ms"))
+    ref, hyp = sides(spark, d)
+    rows = tl.label_pairs(tl.timeline(ref, hyp, (0.0, 0.25)), ref, hyp, (0.0, 0.25))
+    return rows.select("item_id", millis("collar").alias("collar"), "ref", "hyp", millis("seconds").alias("ms"))
 
 
 DER = TIMELINE + r""",
