@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     for batch in batches:
         start, size = 0, 0
         values = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_pylist()
         for i, length in enumerate(lengths):
             if i > start and size + length > limit:
                 yield batch.slice(start, i - start)
