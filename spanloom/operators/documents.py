@@ -104,9 +104,14 @@ def document_is_for(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs of document facts and files (name, bytes) of the same name and, when both are known,
     the same size; a document in parts carries the size of its first part."""
     expected = F.coalesce(F.try_element_at("parts", F.lit(1))["bytes"], F.col("bytes"))
-    f = files.select("folder", "name", F.col("bytes").alias("file_bytes"))
-    same = F.col("file_bytes").isNull() | (F.coalesce(expected, F.lit(0)) == 0) | (expected == F.col("file_bytes"))
-    return facts.join(f, "name").where(same).drop("file_bytes")
+    facts = facts.withColumn("__bytes", F.coalesce(expected, F.lit(0)))
+    f = files.select("folder", "name", F.col("bytes").alias("__bytes"))
+    # Where both sizes are known they are part of the key: a name that many files share stays small.
+    sized = facts.where(F.col("__bytes") != 0).join(f.where(F.col("__bytes").isNotNull()), ["name", "__bytes"])
+    unsized = facts.where(F.col("__bytes") == 0).join(f.drop("__bytes"), "name")
+    unknown = facts.where(F.col("__bytes") != 0).join(f.where(F.col("__bytes").isNull()).drop("__bytes"), "name")
+    columns = [c for c in facts.columns if c != "__bytes"] + ["folder"]
+    return sized.select(*columns).unionByName(unsized.select(*columns)).unionByName(unknown.select(*columns))
 
 
 def recount(docs: DataFrame) -> DataFrame:

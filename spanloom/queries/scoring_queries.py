@@ -132,9 +132,11 @@ def clips(spark, d):
 
 @R.add("D9_fold_small_labels")
 def fold_small(spark, d):
-    vectors = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("item_id"), F.col("label").cast("string").alias("label"), "vec_id", F.col("embedding").alias("vec"))
+    """Fifty vectors an item; a label is the mean of its vectors."""
+    vectors = table(spark, d, "embeddings").select(F.expr("vec_id div 50").alias("item_id"), F.col("label").cast("string").alias("label"), "vec_id", F.col("embedding").alias("vec"))
     turns = vectors.select("item_id", "label", F.col("vec_id").cast("double").alias("start"), (F.col("vec_id") + 1).cast("double").alias("end"))
-    heads = vectors.groupBy("item_id", "label").agg(F.min_by("vec", "vec_id").alias("vec"))
+    parts = vectors.select("item_id", "label", F.posexplode("vec").alias("at", "x")).groupBy("item_id", "label", "at").agg(F.avg("x").alias("x"))
+    heads = parts.groupBy("item_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("vec"))
     return lb.fold_small_labels(turns, heads, 8.0).select("item_id", "label", F.col("start").cast("bigint").alias("vec_id"))
 
 

@@ -147,12 +147,13 @@ def export_outputs(docs: DataFrame, destination: str, stem: str, formats: Iterab
                 write_rows(rows, target, order)
             report.append((kind, target, True, None))
         except Exception as exc:  # noqa: BLE001 - reported per format
-            report.append((kind, target, False, f"{type(exc).__name__}: {exc}"[:500]))
+            report.append((kind, target, False, f"{type(exc).__name__}: {exc}"))
     return docs.sparkSession.createDataFrame(report, "format string, path string, written boolean, error string")
 
 
 def append_missing(rows: DataFrame, path: str, keys: Iterable[str]) -> None:
-    """Append rows whose key is not stored yet: reruns resume where a run ended."""
+    """Append rows whose key is not stored yet: reruns resume where a run ended. Of new rows that
+    share a key, the least by their columns in order is stored (`rows` has no map columns)."""
     keys, spark = list(keys), rows.sparkSession
     try:
         done = spark.read.parquet(path).select(*keys)
@@ -160,4 +161,6 @@ def append_missing(rows: DataFrame, path: str, keys: Iterable[str]) -> None:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         done = None
-    (rows if done is None else rows.join(done, keys, "left_anti")).write.mode("append").parquet(path)
+    new = rows if done is None else rows.join(done, keys, "left_anti")
+    new = new.groupBy(*keys).agg(F.min(F.struct(*rows.columns)).alias("__row")).select("__row.*")
+    new.write.mode("append").parquet(path)
