@@ -14,8 +14,11 @@ the order of the ids.
 
 from __future__ import annotations
 
+import gc
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,14 @@ from spanloom.llm.common import batch_of, partitions, pieces, ready, strings
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 SLICE = 2 << 20
 # A space between two characters that are no white space always begins a token of its own word.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# A text without any of these, and without a space at its ends, has such a space in every space.
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+UNEVEN = ["  ", " \n", "\n ", *SPACES]
+PUNCTUATION = string.punctuation
 
 LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
 SEGMENT = pa.schema(
@@ -89,27 +96,60 @@ def token_at(levels: list[dict[str, bytes]], place: int) -> int:
 
 class WordEncoder:
     """A byte-level BPE of the tokenizers library, asked once per word: a text is cut before spaces
-    between two characters that are no white space, where a new word begins in any case."""
+    between two characters that are no white space, where a new word begins in any case. A word of
+    letters and the ASCII punctuation behind it are words of their own to the tokenizer, so they are
+    asked for one by one."""
 
     def __init__(self, content: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(content)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _all(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        # A run of letters is not cut further: no search for the words in it.
+        self.letters = Tokenizer.from_str(content)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}  # by word, without the space before it
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    @staticmethod
+    def _all(library, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        if text[:1] == " " or text[-1:] == " " or any(rare in text for rare in UNEVEN):
+            return CUT.split(text)
+        return text.split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        stems = [word.rstrip(PUNCTUATION) for word in words]
+        letters = list({stem for stem in stems if stem.isalpha()} - self.stems.keys())
+        self.stems.update(zip(letters, self._all(self.letters, [" " + stem for stem in letters])))
+        ids, tails, others = self.stems.get, self.tails, []
+        for word, stem in zip(words, stems):
+            body = ids(stem)
+            if body is None:
+                others.append(word)
+            elif len(stem) == len(word):
+                self.known[word] = body
+            else:
+                tail = word[len(stem) :]
+                if tail not in tails:
+                    tails[tail] = self._all(self.library, [tail])[0]
+                self.known[word] = body + tails[tail]
+        self.known.update(zip(others, self._all(self.library, [" " + word for word in others])))
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        cut = [CUT.split(text) for text in texts]
-        heads = self._all([words[0] for words in cut])
-        new = set().union(*(words[1:] for words in cut)) - self.known.keys() if cut else set()
+        cut = [self.cut(text) for text in texts]
+        heads = self._all(self.library, [words[0] for words in cut])
+        every = set().union(*(words[1:] for words in cut)) if cut else set()
+        new = every - self.known.keys()
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = set().union(*(words[1:] for words in cut))
-        ordered = list(new)
-        self.known.update(zip(ordered, self._all([" " + word for word in ordered])))
+            self.known.clear(), self.stems.clear()
+            self.tails.clear()
+            new = every
+        self._learn(list(new))
         end = np.array([end_id], dtype="<u4").tobytes()
         find = self.known.__getitem__
         return [np.frombuffer(b"".join([head, *map(find, words[1:]), end]), dtype="<u4") for head, words in zip(heads, cut)]
@@ -119,6 +159,7 @@ def _segments(content: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        gc.disable()  # nothing here makes cycles, and going through the tables of words takes long
         encoder = WordEncoder(content)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, found, size = [], [], 0
@@ -151,7 +192,9 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
     with open(tokenizer_path, encoding="utf-8") as file:
         content = file.read()
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    # Half as many parts as a shuffle has: the more text a part has, the fewer words are asked for twice.
+    parts = max(1, partitions(docs.sparkSession) // 2)
+    ordered = ordered.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     rows = ordered.select("doc_id", "text").mapInArrow(_segments(content, end_id, segment_ids), SEGMENT_COLUMNS)
     # The levels are dense already; heavier compression would cost more than it saves.
     rows.write.option("compression", "zstd").parquet(path)

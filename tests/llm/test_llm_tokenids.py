@@ -31,7 +31,7 @@ def test_codes_round_trip_and_random_access():
 
 def test_words_like_the_library():
     encoder = tokenids.WordEncoder(open(PATH, encoding="utf-8").read())
-    texts = ["", " ", "a", "it's  two", " x y ", "tab\t end\n new 12 34 !? 'll", "naïve 日本 語", "a\x1c b \xa0c d", "<|endoftext|> x <|endoftext|>"]
+    texts = ["", " ", "a", "it's  two", " x y ", "tab\t end\n new 12 34 !? 'll", "naïve 日本 語", "a\x1c b \xa0c d", "<|endoftext|> x <|endoftext|>", "we're o'clock' l'été, x'' a-b- $$$ c$$$ ...d x² ½, ﬁ."]
     assert [f.tolist() for f in encoder.encode(texts, 2)] == [ids_of(t) for t in texts]
 
 
