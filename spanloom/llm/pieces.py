@@ -17,24 +17,30 @@ only saves time.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import pairwise
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from spanloom.llm.common import batch_of, pieces, ready, strings
 
 MARK = "▁"
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 KNOWN_PAIRS = 1_000_000
-SLICE = 2 << 20
+SLICE = 12 << 20
+SHORT, NONE, NEVER = (1, 2), {}, float("inf")
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _packed(i: int) -> bytes:
+    return i.to_bytes(4, "little")
+
+
 class PieceModel:
     """Vocabulary and rules of a SentencePiece model, given as the file's content."""
 
@@ -67,113 +73,182 @@ class PieceModel:
                 self.unknown = i
             shown = {kind.CONTROL: "", kind.UNKNOWN: spec.trainer_spec.unk_surface}.get(piece.type, piece.piece.replace(MARK, " "))
             self.text.append(bytes([int(piece.piece[1:-1], 16)]) if piece.type == kind.BYTE else shown.encode())
+        self.piece_sizes = np.array([len(t) for t in self.text], dtype=np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.piece_bytes = np.frombuffer(b"".join(self.text), dtype=np.uint8)
         self.byte_fallback = spec.trainer_spec.byte_fallback
         self.unknown_score = lowest - 10.0
         self.longest = max(map(len, self.ids), default=1)
         # Words can be worked out one by one if no piece has a word mark after another character.
         self.split = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.ranks = {piece: -score for piece, score in self.scores.items()}
+        self.packed = {piece: _packed(i) for piece, i in self.ids.items()}
+        # By the last three characters of a prefix, how long pieces that end so can be.
+        ends: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], {1, 2}).add(len(piece))
+        self.sizes = {end: tuple(sorted(sizes)) for end, sizes in ends.items()}
+        # piece -> piece before it -> whether they fit
+        self.after: dict[str, dict[str, bool]] = {piece: {} for piece in self.ids}
+        self.pairs = 0
 
     # -- BPE --
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: always the adjacent pair with the best piece, leftmost."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i, (a, b) in enumerate(pairwise(parts)):
-                score = self.scores.get(a + b)
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
+        parts, rank = list(text), self.ranks.get
+        ranks = [rank(a + b, NEVER) for a, b in pairwise(parts)]
+        while ranks and (best := min(ranks)) < NEVER:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], NEVER)
+        return parts
 
     def fits(self, before: str, piece: str) -> bool:
         """Whether merging leaves `before` and `piece` side by side (`before` empty: piece alone)."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            known = self.merged(before + piece) == ([before, piece] if before else [piece])
-            self.pairs[before, piece] = known
-        return known
-
-    def _bpe_state(self, word: str, end: int, states: list) -> tuple:
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (piece in self.ids or end - start == 1) and self.fits(states[start][0], piece):
-                return piece, start
-        raise AssertionError(f"no piece ends {word[:end]!r}")
+        if self.pairs >= KNOWN_PAIRS:
+            self.pairs = 0
+            for others in self.after.values():
+                others.clear()
+        self.pairs += 1
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.after.setdefault(piece, {})[before] = found
+        return found
+
+    def _bpe_states(self, word: str, end: int, last: list, back: list, best: list) -> None:
+        """Append the states of the prefixes of `word` from `end` characters on."""
+        after, sizes, fits = self.after.get, self.sizes.get, self.fits
+        for end in range(end, len(word) + 1):
+            for size in sizes(word[end - 3 if end > 3 else 0 : end], SHORT):
+                start = end - size
+                if start < 0:
+                    continue
+                piece = word[start:end]
+                known = after(piece)
+                if known is None:
+                    if size > 1:
+                        continue  # not in the vocabulary; a single character is a piece in any case
+                    known = NONE
+                before = last[start]
+                fit = known.get(before)
+                if fit or (fit is None and fits(before, piece)):
+                    last.append(piece)
+                    back.append(start)
+                    break
+            else:
+                raise AssertionError(f"no piece ends {word[:end]!r}")
 
     # -- UNIGRAM --
 
-    def _unigram_state(self, word: str, end: int, states: list) -> tuple:
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            score = self.scores.get(piece)
-            if score is None:
-                if end - start > 1:
-                    continue
-                score = self.unknown_score
-            total = states[start][2] + score
-            if best is None or total > best[2]:
-                best = (piece, start, total)
-        return best
+    def _unigram_states(self, word: str, end: int, last: list, back: list, best: list) -> None:
+        for end in range(end, len(word) + 1):
+            found = None
+            for start in range(max(0, end - self.longest), end):
+                piece = word[start:end]
+                score = self.scores.get(piece)
+                if score is None:
+                    if end - start > 1:
+                        continue
+                    score = self.unknown_score
+                total = best[start] + score
+                if found is None or total > found[0]:
+                    found = (total, piece, start)
+            best.append(found[0])
+            last.append(found[1])
+            back.append(found[2])
 
     # -- both --
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each of the sorted distinct words with its ids (32-bit little endian)."""
-        state = self._bpe_state if self.bpe else self._unigram_state
-        states: list[tuple] = [("", 0, 0.0)]
+        """Each of the sorted distinct words with its ids (32-bit little endian). `last`, `back` and
+        `best` are the forward states along the path from the root of the words' trie."""
+        states = self._bpe_states if self.bpe else self._unigram_states
+        last, back, best = [""], [0], [0.0]
         before = ""
         for word in words:
-            shared = len(commonprefix((before, word)))
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(state(word, end, states))
+            shared = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], back[shared + 1 :], best[shared + 1 :]
+            states(word, shared + 1, last, back, best)
             at, found = len(word), []
             while at:
-                found.append(states[at][0])
-                at = states[at][1]
+                found.append(last[at])
+                at = back[at]
+            found.reverse()
             before = word
-            yield word, self._ids(found[::-1])
+            yield word, self._ids(found)
 
     def _ids(self, parts: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.packed.__getitem__, parts))
+        except KeyError:
+            pass
         out, was_unknown = [], False
         for part in parts:
-            known = self.ids.get(part)
+            known = self.packed.get(part)
             if known is not None:
                 out.append(known)
             elif self.byte_fallback:
-                out += [self.bytes[b] for b in part.encode()]
+                out += [_packed(self.bytes[b]) for b in part.encode()]
             elif not was_unknown:
-                out.append(self.unknown)  # unknown characters in a row are one piece
+                out.append(_packed(self.unknown))  # unknown characters in a row are one piece
             was_unknown = known is None
-        return np.array(out, dtype="<i4").tobytes()
+        return b"".join(out)
 
     def encode(self, texts: list[str], known: dict[str, bytes]) -> list[np.ndarray]:
         """Ids of each text. `known` is filled with words and is emptied when it is full."""
         cut = WORDS.findall if self.split else (lambda t: [t] if t else [])
-        words = [cut(t) for t in self.normalise(texts)] if texts else []
-        new = set().union(*words) - known.keys() if words else set()
-        if len(known) + len(new) > KNOWN_WORDS:
+        texts = self.normalise(texts) if texts else []
+        new: set[str] = set()
+        for text in texts:
+            new.update(cut(text))
+        missing = new - known.keys()
+        if len(known) + len(missing) > KNOWN_WORDS:
             known.clear()
-            new = set().union(*words)
-        known.update(self.encode_words(sorted(new)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype="<i4") for w in words]
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.dummy and text[:1] == " " else text
+            missing = new
+        known.update(self.encode_words(sorted(missing)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, cut(text))), dtype="<i4") for text in texts]
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of ids that follow each other, `counts` of them a text: the pieces' bytes are
+        gathered from one string of all pieces."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.text):
+            raise IndexError("an id is outside the vocabulary")
+        sizes = self.piece_sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.piece_starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        data = self.piece_bytes[places].tobytes()
+        borders = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in pairwise(borders)]
+        return [text[1:] if self.dummy and text[:1] == " " else text for text in texts]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `limit` bytes: the more words are sorted at a time, the more
+    prefixes they share."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _encode(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and going through the tables of words takes long
         model, known = PieceModel(proto), {}
-        for batch in pieces(batches, "text", SLICE):
+        for batch in _gathered(pieces(batches, "text", SLICE), SLICE):
             found = model.encode(strings(batch, "text"), known)
             offsets = np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, dtype="<i4"), type=pa.int32())
@@ -188,7 +263,9 @@ def _decode(proto: bytes):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                texts = [model.decode(ids or []) for ids in part.column(0).to_pylist()]
+                ids = part.column(0)
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                texts = model.decode(ids.flatten().to_numpy(zero_copy_only=False), counts)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, type=pa.string())], names=[*part.schema.names[1:], "decoded"])
 
     return run
