@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import batch_of, pieces, ready, strings
+from spanloom.llm.common import batch_of, pieces, ready, settled, strings
 
 BLOCK = 256
 
@@ -49,7 +49,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     sum), truncated_tokens (total when every document is cut at n_tokens), docs_share (share of the
     documents of at most this length), tokens_total. An empty table gives no rows."""
     size = F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0))
-    bars = lengths.select(size.alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    # Settled: it is read twice, and the texts should be encoded once.
+    bars = settled(lengths.select(size.alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")), "lengths")
     bars = bars.withColumns({"_block": F.floor(F.col("n_tokens") / BLOCK).cast("bigint"), "_tokens": F.col("n_tokens") * F.col("docs")})
     blocks = bars.groupBy("_block").agg(F.sum("docs").alias("_docs"), F.sum("_tokens").alias("_block_tokens"))
     after = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
