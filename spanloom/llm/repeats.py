@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import batch_of, pieces, ready, settled, strings
+from spanloom.llm.common import batch_of, partitions, pieces, ready, settled, strings
 from spanloom.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -186,17 +187,63 @@ SPANS = pa.schema([("_row", pa.int64()), ("_low", pa.int32()), ("_high", pa.int3
 SPAN_COLUMNS = "_row bigint, _low int, _high int"
 
 
-def _sorted_groups(length: int, sort_bytes: int):
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def _reach(sides: list[bytes]) -> list[int]:
+    """For each string, the longest prefix that it shares with any other: its neighbours in order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in pairwise(order):
+        shared = _common(sides[i], sides[j])
+        out[i], out[j] = max(out[i], shared), max(out[j], shared)
+    return out
+
+
+def trimmed(contexts: list[tuple[tuple, bytes]], gram: bytes, length: int) -> list[tuple[tuple, bytes]]:
+    """Contexts of one gram, cut to what each shares with any other to both sides of the gram. What
+    is left out lies in no string of `length` bytes that occurs twice."""
+    at = [data.find(gram) for _, data in contexts]
+    right = _reach([data[a:] for a, (_, data) in zip(at, contexts)])
+    left = _reach([data[:a][::-1] for a, (_, data) in zip(at, contexts)])
+    out = []
+    for a, before, after, (place, data) in zip(at, left, right, contexts):
+        if before + after >= length:
+            out.append(((*place[:-1], place[-1] + a - before), data[a - before : a + after]))
+    return out
+
+
+def _sorted_groups(length: int, gram_bytes: int, sort_bytes: int):
     """Rows (_gram, _doc, _row, _low, _bytes) sorted by gram: the spans of repeated starts. Groups are
     gathered until they are worth a sort; a group is never cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, gram = [], 0, None
+        grams = Hasher(ODD, 1 << 10)
+        held: list[tuple[tuple, bytes]] = []
+        group: list[tuple[tuple, bytes]] = []
+        size, gram = 0, None
+
+        def found_gram() -> bytes:
+            data = group[0][1]
+            at = np.arange(len(data) - gram_bytes + 1)
+            hashes = grams.of(grams.sums(np.frombuffer(data, dtype=np.uint8)), at, at + gram_bytes).view(np.int64)
+            first = int(np.flatnonzero(hashes == gram)[0])
+            return data[first : first + gram_bytes]
+
+        def close() -> int:
+            if len(group) < 2:
+                return 0
+            kept = trimmed(group, found_gram(), length)
+            held.extend(kept)
+            return sum(len(data) + 1 for _, data in kept)
 
         def spans():
             runs: list[list[int]] = []
-            for number, at in sorted(repeated_starts([((doc, row, low), data) for doc, row, low, data in held], length)):
-                _, row, low, _ = held[number]
+            for number, at in sorted(repeated_starts(held, length)):
+                _, row, low = held[number][0]
                 if runs and runs[-1][0] == row and runs[-1][2] == low + at - 1 and runs[-1][3] == number:
                     runs[-1][2] = low + at
                 else:
@@ -205,13 +252,17 @@ def _sorted_groups(length: int, sort_bytes: int):
 
         for batch in batches:
             for g, doc, row, low, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if g != gram and size > sort_bytes:
-                    yield spans()
-                    held, size = [], 0
+                if g != gram:
+                    size += close()
+                    group.clear()
+                    if size > sort_bytes:
+                        yield spans()
+                        held.clear()
+                        size = 0
                 gram = g
                 # A null doc_id is before all others.
-                held.append(((doc is not None, doc or 0), row, low, data))
-                size += len(data) + 1
+                group.append((((doc is not None, doc or 0), row, low), data))
+        close()
         if held:
             yield spans()
 
@@ -286,8 +337,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     cut = wanted.join(held, "_row").select("_row", "_doc", "_data", "_wanted")
     cut = settled(cut.mapInArrow(_contexts(length), "_gram bigint, _n bigint, _doc bigint, _row bigint, _low int, _bytes binary"), "context-bytes")
     columns = ["_gram", "_doc", "_row", "_low", "_bytes"]
-    by_sort = cut.filter(F.col("_n") <= hot_contexts).select(*columns).repartition("_gram").sortWithinPartitions("_gram")
-    by_sort = by_sort.mapInArrow(_sorted_groups(length, sort_bytes), SPAN_COLUMNS)
+    # A stated number of parts: few bytes, but much to do for each.
+    by_sort = cut.filter(F.col("_n") <= hot_contexts).select(*columns).repartition(2 * partitions(docs.sparkSession), "_gram")
+    by_sort = by_sort.sortWithinPartitions("_gram").mapInArrow(_sorted_groups(length, gram, sort_bytes), SPAN_COLUMNS)
     hot = cut.filter(F.col("_n") > hot_contexts).select(*columns).mapInArrow(_strings(length), "_string binary, _doc bigint, _row bigint, _low int")
     where = F.struct(F.col("_doc").isNotNull().alias("known"), "_doc", "_row", "_low")
     hot = settled(hot, "hot-strings")

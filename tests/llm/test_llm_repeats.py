@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from spanloom.llm.repeats import remove_repeats, repeated_starts
+from spanloom.llm.repeats import remove_repeats, repeated_starts, trimmed
 from spanloom.llm.suffixes import suffix_array
 
 
@@ -40,6 +40,12 @@ def test_starts_in_contexts():
     assert sorted(repeated_starts(contexts, 4)) == [(0, 1), (0, 2), (0, 3), (2, 0)]
 
 
+def test_contexts_are_cut_to_what_they_share():
+    contexts = [((0, 0, 10), b"abcdGRAMefgh"), ((1, 0, 20), b"xxcdGRAMefyy"), ((2, 0, 30), b"zzzzGRAMwwww")]
+    assert trimmed(contexts, b"GRAM", 8) == [((0, 0, 12), b"cdGRAMef"), ((1, 0, 22), b"cdGRAMef")]
+    assert trimmed(contexts, b"GRAM", 9) == []
+
+
 def sample(seed, n, letters="ab"):
     rnd = random.Random(seed)
     passages = ["".join(rnd.choice("abcdé") for _ in range(30)) for _ in range(5)]
