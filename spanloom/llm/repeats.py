@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import batch_of, partitions, pieces, ready, settled, strings
+from spanloom.llm.common import SLICE_BYTES, batch_of, partitions, pieces, ready, settled, strings
 from spanloom.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -135,19 +135,21 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_gram", pa.int64()), ("_n", pa.int64()), ("_doc", pa.int64()), ("_row", pa.int64()), ("_low", pa.int32()), ("_bytes", pa.binary())])
+        out: list[list] = [[], [], [], [], [], []]
+        size = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                text, want = _open(row["_data"]), row["_wanted"]
-                yield batch_of(
-                    schema,
-                    [w["_gram"] for w in want],
-                    [w["_n"] for w in want],
-                    [row["_doc"]] * len(want),
-                    [row["_row"]] * len(want),
-                    [w["_low"] for w in want],
-                    [text[w["_low"] : w["_high"] + length] for w in want],
-                )
+            for row in batch.to_pylist():
+                text = _open(row["_data"])
+                for w in row["_wanted"]:
+                    data = text[w["_low"] : w["_high"] + length]
+                    for column, value in zip(out, (w["_gram"], w["_n"], row["_doc"], row["_row"], w["_low"], data)):
+                        column.append(value)
+                    size += len(data)
+                if size > SLICE_BYTES:
+                    yield batch_of(schema, *out)
+                    out, size = [[], [], [], [], [], []], 0
+        if out[0]:
+            yield batch_of(schema, *out)
 
     return run
 
@@ -283,9 +285,9 @@ def _strings(length: int):
 def _cut(length: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+        out: list[list] = [[], [], [], [], []]
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in batch.to_pylist():
                 text, spans = _open(row["_data"]), []
                 for low, high in sorted((s["_low"], s["_high"] + length) for s in row["_spans"]):
                     if spans and low <= spans[-1][1]:
@@ -297,7 +299,12 @@ def _cut(length: int, texts_too: bool):
                     kept.append(text[at:low])
                     at = high
                 kept = b"".join([*kept, text[at:]])
-                yield batch_of(schema, [row["_row"]], [len(text) - len(kept)], [len(spans)], [hashlib.sha256(kept).hexdigest()], [kept if texts_too else None])
+                values = (row["_row"], len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if texts_too else None)
+                for column, value in zip(out, values):
+                    column.append(value)
+            if out[0]:
+                yield batch_of(schema, *out)
+                out = [[], [], [], [], []]
 
     return run
 
