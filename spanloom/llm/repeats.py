@@ -320,7 +320,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     if not 0 < gram <= length:
         raise ValueError("a string must hold a gram")
     ready(docs.sparkSession)
-    read = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    # Stored with the texts: numbers derived again in a later job differ if the files are split otherwise.
+    read = settled(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "numbered-texts")
     texts = read.select("text", "_row")
     counts = texts.mapInArrow(_anchor_rows(length, gram, True), "_gram bigint").groupBy("_gram").count()
     shared = settled(counts.filter("count > 1").select("_gram"), "shared-grams")
