@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, fingerprints, language, lengths, lines, mixing, neighbours, pieces, repeats, simhash, tokenids
+from spanloom.llm import audit, exact, fingerprints, language, lengths, lines, mixing, neighbours, pieces, repeats, runs, simhash, tokenids, warc
 from spanloom.llm.common import settled, table
 from spanloom.session import scratch
 from spanloom.queries import Registry
@@ -151,3 +151,85 @@ def line_dedup(spark, d):
 @R.add("op10_simhash")
 def simhash_dedup(spark, d):
     return simhash.simhash_groups(table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@R.add(
+    "op11_filter_audit",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    m AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS fails FROM d),
+    c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+        count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM m GROUP BY part, fails),
+    f AS (SELECT unnest(range(5)) AS k),
+    o AS (SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d, e.k AS e FROM f a, f b, f c, f d, f e
+        WHERE (1 << a.k) + (1 << b.k) + (1 << c.k) + (1 << d.k) + (1 << e.k) = 31),
+    s AS (SELECT chr(CAST(65 + a AS INT)) || chr(CAST(65 + b AS INT)) || chr(CAST(65 + c AS INT)) || chr(CAST(65 + d AS INT)) || chr(CAST(65 + e AS INT)) AS filter_order, unnest([1, 2, 3, 4, 5]) AS step,
+        unnest([a, b, c, d, e]) AS k, unnest([0, 1 << a, (1 << a) + (1 << b), (1 << a) + (1 << b) + (1 << c), (1 << a) + (1 << b) + (1 << c) + (1 << d)]) AS before FROM o),
+    r AS (SELECT part, filter_order, step, k,
+        CAST(sum(n) FILTER (WHERE fails & (before | (1 << k)) = 0) AS BIGINT) AS kept,
+        CAST(sum(n) FILTER (WHERE fails & before = 0 AND fails & (1 << k) <> 0) AS BIGINT) AS removed,
+        CAST(sum(n) FILTER (WHERE fails & before <> 0 AND fails & (1 << k) <> 0) AS BIGINT) AS redundant,
+        CAST(sum(n) FILTER (WHERE fails = 1 << k) AS BIGINT) AS unique_fails,
+        CAST(sum(good) FILTER (WHERE fails & before = 0 AND fails & (1 << k) <> 0) AS BIGINT) AS good_lost,
+        CAST(sum(toxic) FILTER (WHERE fails & before = 0 AND fails & (1 << k) <> 0) AS BIGINT) AS toxic_lost
+        FROM c, s GROUP BY part, filter_order, step, k)
+    SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+      coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, k), 0) AS BIGINT) AS shapley FROM r""",
+)
+def filter_audit(spark, d):
+    return audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@R.add(
+    "op12_warc",
+    r"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+    q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS head FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+      CASE WHEN n >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= 100 AND page_id <> head THEN head END AS refers_to
+    FROM q""",
+)
+def warc_records(spark, d):
+    """Written, and read back by the whole index. What a response says is worked out of its payload."""
+    folder = scratch(spark, "warc")
+    index = warc.write_archives(table(spark, d, "pages"), folder)
+    records = warc.read_records(index, folder)
+    return records.select(
+        F.col("record_key").cast("bigint").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("bigint"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+def with_period(doc_id, text):
+    """The text of every tenth document by crc32 of its id, with a tail that repeats its beginning."""
+    crc = F.crc32(doc_id.cast("string"))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size(words), F.floor(crc / 10).cast("bigint")
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    repeats = F.ceil((n - a) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, period), repeats)), F.lit(1), n - a)
+    edited = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return F.when((crc % 10 == 0) & (n > 0), edited).otherwise(text)
+
+
+@R.add("op13_periodic_runs")
+def periodic_runs(spark, d):
+    docs = table(spark, d, "documents")
+    docs = docs.select("doc_id", with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.collapse_runs(docs).withColumn("_best", runs.longest_run(F.col("runs")))
+    lines_of = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.col("_best.length") * 1000 / F.col("_best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines_of, lambda s: F.concat(s, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
