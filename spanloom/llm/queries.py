@@ -21,8 +21,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def sentencepiece(spark, d):
     """Encoded and decoded again: ids, and whether the text came back."""
     docs = table(spark, d, "documents")
-    encoded = pieces.encode(docs, PIECES, keep=("doc_id", "n_chars"))
-    back = pieces.decode(encoded, PIECES, keep=("doc_id", "n_chars", "ids"))
+    back = pieces.round_trip(docs, PIECES)
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.length("decoded").cast("bigint").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

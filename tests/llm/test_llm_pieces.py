@@ -74,6 +74,8 @@ def test_columns_and_edges(spark, docs, library):
     assert sorted((str(r.doc_id), r.ids) for r in back) == sorted((str(i), library.encode(t or "")) for i, t in rows)
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert sorted(digest(r.decoded) for r in back) == sorted(digest(t or "") for _, t in rows)
-    assert pieces.encode(docs([]), PATH).collect() == []
+    both = pieces.round_trip(df, PATH, keep=("doc_id", "name")).collect()
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in both) == sorted((str(r.doc_id), r.ids, r.decoded) for r in back)
+    assert pieces.encode(docs([]), PATH).collect() == [] == pieces.round_trip(docs([]), PATH).collect()
     none = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     assert pieces.decode(none, PATH).collect()[0].decoded == ""

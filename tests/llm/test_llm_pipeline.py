@@ -1,10 +1,10 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from spanloom.llm import lines, simhash
+from spanloom.llm import lines
 from spanloom.llm.common import settled
 from test_llm_lines import plain
-from test_llm_simhash import plain_print, plain_roots
+from test_llm_shingles import plain_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,8 +27,8 @@ def test_stages_against_restatements(spark):
 
     single = settled(stage["near_duplicates"](spark, cut, FOLDER), "c")
     rows = sorted((r.doc_id, r.text) for r in cut.collect())
-    roots = plain_roots([plain_print(t) for _, t in rows], simhash.MAX_BITS)
-    assert sorted(tuple(r) for r in single.select("doc_id", "text").collect()) == [rows[k] for k in sorted(set(roots))]
+    stays = {least for _, least in plain_groups(rows)}
+    assert sorted(tuple(r) for r in single.select("doc_id", "text").collect()) == [r for r in rows if r[0] in stays]
 
     mixed = settled(stage["mixing"](spark, single, FOLDER), "d")
     assert mixed.columns == columns
