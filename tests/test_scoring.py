@@ -100,9 +100,3 @@ def test_fold_labels(spark):
     turns = segs(spark, [(1, 20.0 * i, 20.0 * i + 10 - i, f"s{i}") for i in range(8)])
     rows = tl.fold_labels(turns, 3).collect()
     assert {r.label for r in rows} == {"s0", "s1", "other"} and rows[0].found == 8 and "6 smallest" in rows[0].note
-
-
-def test_too_many_labels_is_said(spark):
-    many = segs(spark, [(1, float(i), i + 1.0, f"s{i}") for i in range(7)])
-    row = tl.diarization_errors(many, many, (0.0,)).first()
-    assert row.der is None and "at most 6" in row.error
