@@ -18,6 +18,8 @@ SLICE_BYTES = 4 << 20
 # The hottest values of a key that are handled apart. A value with more than 1/HOT of the rows is
 # among them, whatever the data.
 HOT = 256
+# Settled tables hold texts, which this makes a quarter smaller than the usual codec does.
+CODEC = "zstd"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -34,7 +36,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet to the shared checkpoint folder and read back: later steps read
     it instead of computing it again, and a lost executor costs only the tasks after it."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=CODEC)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,15 +48,17 @@ class Tables:
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = scratch(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=CODEC)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads. Shuffles of finished jobs are released when the
+        driver's JVM finds them unused, which is asked of it here."""
         context = self.spark.sparkContext
         for name in names:
             path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        context._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

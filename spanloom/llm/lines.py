@@ -243,9 +243,9 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _screen(packed: list[tuple[int, bytes]] | None, shards: int, min_chars: int):
+def _screen(packed: list[tuple[int, bytes]] | None, shards: int, min_chars: int, whole: bool):
     """Rows as read: those whose lines no filter holds are finished, the others keep their text and
-    the keys to look up."""
+    the keys to look up. With `whole` finished rows keep their text, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_shard = None if packed is None else {shard: CuckooFilter.unpack(data) for shard, data in packed}
@@ -267,7 +267,7 @@ def _screen(packed: list[tuple[int, bytes]] | None, shards: int, min_chars: int)
                 schema,
                 batch.column(0),
                 [len(doc) for doc in lines],
-                [text if keys else None for text, keys in zip(texts, found)],
+                batch.column(1).cast(pa.string()) if whole else [text if keys else None for text, keys in zip(texts, found)],
                 [None if keys else _sha(text) for text, keys in zip(texts, found)],
                 found,
             )
@@ -296,8 +296,8 @@ def line_dedup(docs: DataFrame, held: DataFrame | None = None, min_chars: int =
 
     `docs`: doc_id, text (null is one empty line). `held`: the reference table that decides, by
     default that of `docs`. One row per row of `docs`: `_doc` (a struct of the row's doc_id, or
-    with `keep` of all its columns), n_lines, n_dropped, kept_sha256 and `text`, what stays, which is
-    null where nothing was dropped. Lines are compared without blanks at their ends and with A-Z in
+    with `keep` of all its columns but text), n_lines, n_dropped, kept_sha256 and `text`, what stays;
+    without `keep` it is null where no line was looked up. Lines are compared without blanks at their ends and with A-Z in
     lower case; only lines of `min_chars` code points or more count. Rows that repeat one doc_id are
     one document and are treated alike. An empty table gives no rows.
     """
@@ -310,15 +310,15 @@ def line_dedup(docs: DataFrame, held: DataFrame | None = None, min_chars: int =
     # A filter has at most 4 / 0.84 slots of 2 bytes a key: the size is known before one is built.
     if n_shared * 10 + shards * 64 <= filter_bytes:
         packed = [(row["shard"], bytes(row["marks"])) for row in filters(shared, shards).collect()]
-    rows = docs.select(F.struct(*(docs.columns if keep else ["doc_id"])).alias("_doc"), "text")
+    rows = docs.select(F.struct(*([c for c in docs.columns if c != "text"] if keep else ["doc_id"])).alias("_doc"), "text")
     first = rows.schema["_doc"]
     numbers = [T.StructField("n_lines", T.LongType())]
     screened = rows.mapInArrow(
-        _screen(packed, shards, min_chars),
+        _screen(packed, shards, min_chars, keep),
         T.StructType([first, *numbers, T.StructField("text", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("_keys", T.ArrayType(T.BinaryType()))]),
     )
     screened = settled(screened.withColumn("_row", F.monotonically_increasing_id()), "screened-lines")
-    finished = screened.filter("kept_sha256 IS NOT NULL").select("_doc", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"), "kept_sha256", F.lit(None).cast("string").alias("text"))
+    finished = screened.filter("kept_sha256 IS NOT NULL").select("_doc", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"), "kept_sha256", "text")
     open_rows = screened.filter("kept_sha256 IS NULL")
     asked = open_rows.select("_row", F.col("_doc.doc_id").alias("_id"), F.explode("_keys").alias("key"))
     gone = asked.join(shared, "key").filter(~F.col("_id").eqNullSafe(F.col("last_doc"))).groupBy("_row").agg(F.collect_list("key").alias("_gone"))

@@ -44,3 +44,26 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = settled(stage(spark, docs, FOLDER), "none")
     assert docs.count() == 0
+
+
+def test_stages_on_null_empty_and_repeated_rows(spark):
+    """Each stage but the first on rows that the first would drop."""
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    line = "a line of more than forty characters that many share"
+    rows = [(1, None, None, None, None), (2, "", "en", "src1", 0), (3, "Some words here", "en", "src1", 15), (3, "Some words here", "en", "src1", 15), (None, "Other words there", "de", None, 17), (4, " \n\t", "fr", "src2", 3)]
+    rows += [(10 + i, f"{line}\nown {i}", "en", f"src{i}", len(line) + 6) for i in range(6)]
+    docs = settled(spark.createDataFrame(rows, schema), "odd")
+    stage, found = dict(cp.STAGES), {}
+    for name in ("line_dedup", "near_duplicates", "mixing"):
+        found[name] = sorted((tuple(r) for r in stage[name](spark, docs, FOLDER).collect()), key=str)
+    same = [r for r in rows if (r[0] or 0) < 10]
+    cut = [(i, f"own {i - 10}", "en", f"src{i - 10}", 5) for i in range(10, 15)]
+    want = [(i, t, a, b, len(t or "")) for i, t, a, b, _ in same] + cut + [rows[-1]]
+    assert found["line_dedup"] == sorted(want, key=str)
+    # Documents 1, 2 and 4 have no words; 10 to 15 share 7 of 9 shingles.
+    kept = [r for i, r in enumerate(rows) if i not in (1, 3, 5)]
+    assert found["near_duplicates"] == sorted(kept, key=str)
+    assert set(found["mixing"]) <= set(rows) and all((r[1] or "").split() for r in found["mixing"])
+    done = stage["sentencepiece"](spark, docs, FOLDER).collect()
+    assert len(done) == len(rows) and all(r.round_trip for r in done if r.doc_id != 4)
+    assert [r.n_ids for r in done if r.doc_id in (1, 2)] == [0, 0] and sum(r.doc_id == 3 for r in done) == 2
