@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hottest, partitions, settled
+from spanloom.llm.common import Tables, hottest, partitions, settled
 
 BLOCK_CHARS = 8192
 # A run of white space that is not a single space already.
@@ -30,9 +30,9 @@ def one_space(text: Column) -> Column:
 
 def named(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Add the integer `name`: equal for rows that agree in `columns` (null agrees with null),
-    different for all others. Ranks of sorted distinct values, by hash bucket."""
+    different for all others. Ranks of sorted distinct values, by hash bucket. `df` is a settled table
+    with the hash of `columns` in `_hash`: the hottest hashes are found without reading the rest."""
     buckets = 4 * partitions(df.sparkSession)
-    df = df.withColumn("_hash", F.xxhash64(*columns))
     hot = hottest(df, "_hash")
     rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*columns))
     cold = df.filter(~F.col("_hash").isin(hot)) if hot else df
@@ -52,13 +52,16 @@ def named(df: DataFrame, columns: list[str], name: str) -> DataFrame:
 def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text_sha256, _row, n_blocks, name: the identity of each row's normalised text is
     (n_blocks, name)."""
+    tables = Tables(docs.sparkSession)
     text = docs.select("doc_id", one_space(F.col("text")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     cut = F.regexp_extract_all("_text", F.lit(rf"(?s).{{1,{block_chars}}}"), F.lit(0))
-    text = text.select("doc_id", "_row", F.sha2("_text", 256).alias("_sha"), F.when(F.length("_text") > 0, cut).otherwise(F.array(F.lit(""))).alias("_cut"))
+    text = text.select("doc_id", "_row", F.sha2("_text", 256).alias("_sha"), F.when(F.length("_text") > block_chars, cut).otherwise(F.array("_text")).alias("_cut"))
     blocks = text.select("doc_id", "_row", "_sha", F.size("_cut").alias("n_blocks"), F.posexplode("_cut").alias("_pos", "_block"))
     first = F.col("_pos") == 0
-    blocks = blocks.withColumns({"doc_id": F.when(first, F.col("doc_id")), "_sha": F.when(first, F.col("_sha"))})
-    level = settled(named(blocks, ["_block"], "name").drop("_block"), "block-names")
+    blocks = blocks.withColumns({"doc_id": F.when(first, F.col("doc_id")), "_sha": F.when(first, F.col("_sha")), "_hash": F.xxhash64("_block")})
+    # Read, cut and hashed once; what follows reads this table.
+    level = settled(named(tables.settle(blocks, "blocks"), ["_block"], "name").drop("_block"), "block-names")
+    tables.drop("blocks")
 
     heads = level.filter(F.col("_pos") == 0).select("doc_id", F.col("_sha").alias("text_sha256"), "_row", "n_blocks", "name")
     single, longer = heads.filter("n_blocks = 1"), heads.filter("n_blocks > 1").drop("name")
@@ -72,7 +75,9 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
         pairs = level.groupBy("_row", "n_blocks", F.floor(F.col("_pos") / 2).cast("int").alias("_pos")).agg(
             F.max(F.when(half == 0, F.col("name"))).alias("_left"), F.max(F.when(half == 1, F.col("name"))).alias("_right")
         )
+        pairs = tables.settle(pairs.withColumn("_hash", F.xxhash64("_left", "_right")), "pairs")
         level = settled(named(pairs, ["_left", "_right"], "name").drop("_left", "_right"), "pair-names")
+        tables.drop("pairs")
         done = level.filter((F.col("n_blocks") > step // 2) & (F.col("n_blocks") <= step))
         results.append(longer.join(done.select("_row", "name"), "_row").select(*single.columns))
         level = level.filter(F.col("n_blocks") > step)
