@@ -11,6 +11,7 @@ from spanloom.queries import Registry
 from spanloom.queries.review_queries import MARKS
 from spanloom.session import scratch
 from spanloom.streaming import live as lv
+from spanloom.streaming import marks as mk
 
 R = Registry()
 
@@ -64,6 +65,30 @@ def st5(spark, d):
     feed = words.unionByName(closing, allowMissingColumns=True)
     feed.write.parquet(folder + "/feed")
     source = spark.readStream.schema(feed.schema).parquet(folder + "/feed")
-    drained(lv.incremental_marks(source, folder, folder + "/c"))
-    marks = lv.batches(spark, folder + "/marks", 1 << 30)
+    drained(mk.incremental_marks(source, folder + "/out", folder + "/c"))
+    marks = mk.written(spark, folder + "/out", "mark")
     return marks.select("item_id", millis("span_start").alias("span_s"), millis("span_end").alias("span_e"), "detector_words", "detector_text")
+
+
+# Reports of a run: each turn of a conversation is one, in a stage and at a fraction by its number.
+STAGE_OF = F.element_at(F.array(*[F.lit(name) for name, _ in lv.STAGES]), (F.col("turn") % len(lv.STAGES)).cast("int") + 1)
+
+
+@R.add(
+    "ST2_progress",
+    """
+    WITH r AS (SELECT conv_id AS item_id, turn, (turn % 10) / 10.0::DOUBLE AS fraction, CAST(turn + 1 AS DOUBLE) AS elapsed_s,
+        ([0.0, 0.02, 0.07, 0.39, 0.77, 0.8, 0.95]::DOUBLE[])[turn % 7 + 1] AS s, ([0.02, 0.05, 0.32, 0.38, 0.03, 0.15, 0.05]::DOUBLE[])[turn % 7 + 1] AS w FROM conversations),
+    o AS (SELECT *, s + w * fraction AS overall FROM r),
+    e AS (SELECT *, CASE WHEN overall >= 0.05 THEN elapsed_s * (1.0 - overall) / overall END AS raw FROM o),
+    l AS (SELECT *, list(raw) FILTER (WHERE raw IS NOT NULL) OVER (PARTITION BY item_id ORDER BY turn) AS raws FROM e)
+    SELECT item_id, turn, round(overall, 9) AS overall, round(CASE WHEN raw IS NOT NULL THEN list_reduce(raws, lambda a, x: 0.7 * a + 0.3 * x) END, 6) AS eta_s FROM l""",
+)
+def st2(spark, d):
+    """Every report of every item, with the estimate that the earlier ones lead to."""
+    out = scratch(spark, "progress")
+    turns = stream(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("item_id"), "turn")
+    reports = turns.select("item_id", STAGE_OF.alias("stage"), (F.col("turn") % 10 / 10.0).alias("fraction"), (F.col("turn") + 1).cast("double").alias("elapsed_s"), F.lit(False).alias("parallel"), F.timestamp_seconds(F.col("turn") + 1).alias("at"))
+    drained(lv.progress(reports.withWatermark("at", "0 seconds"), "at").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", out + "-c"))
+    rows = spark.read.schema(lv.PROGRESS).parquet(out).where(~F.col("stalled"))
+    return rows.select(F.col("item_id").cast("bigint").alias("item_id"), (F.col("elapsed_s") - 1).cast("bigint").alias("turn"), F.round("fraction", 9).alias("overall"), F.round("eta_s", 6).alias("eta_s"))

@@ -17,6 +17,8 @@ SETTINGS = {
     # Lets small but CPU-heavy stages keep their tasks; large ones are past it anyway.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keyed state of streams on disk, which `streaming.marks` needs.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -1,5 +1,4 @@
-"""Structured Streaming: live segment feed, progress and stall state, history and marks as words
-arrive, parts chained on arrival."""
+"""Structured Streaming: live segment feed, progress and stall state, history, parts chained on arrival."""
 
 from __future__ import annotations
 
@@ -10,11 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.config import ReviewSettings
+from spanloom.functions.wording import canonical_path
 from spanloom.operators.catalog import MAX_JOIN_GAP_S, upsert_history
-from spanloom.operators.intervals import overlap_join
-from spanloom.operators.review import build_review
-from spanloom.operators.scans import as_of, numbered, time_bucket
 from spanloom.session import settle
 
 # ---- fixed values: the stages of a run and their share of the progress figure -------------------
@@ -24,6 +20,7 @@ STAGES = (
 ETA_MIN_FRACTION = 0.05
 STALL_S = 20
 # ---------------------------------------------------------------------------------------------------
+HISTORY_BUCKETS = 64
 
 
 def live_segments(segments: DataFrame, role: str = "publisher") -> DataFrame:
@@ -49,128 +46,117 @@ def _overall(stage: str, fraction: float, parallel: bool, seen: dict[str, float]
 PROGRESS = "item_id string, stage string, fraction double, elapsed_s double, eta_s double, stalled boolean"
 
 
-def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        # A stall is only reported; what is known of the item stays for its next report.
-        _, publisher, detector, stage, fraction, elapsed = state.get
-        state.update(state.get)
-        yield pd.DataFrame([(key[0], stage, fraction, elapsed, None, True)], columns=[c.split()[0] for c in PROGRESS.split(", ")])
-        return
-    eta, publisher, detector, *_ = state.get if state.exists else (None, 0.0, 0.0, "", 0.0, 0.0)
-    seen, out = {"publisher": publisher, "detector": detector}, []
-    for row in pd.concat(list(batches)).sort_values("elapsed_s").itertuples():
-        overall = _overall(row.stage, row.fraction, bool(row.parallel), seen)
-        shown = None
-        if overall >= ETA_MIN_FRACTION and row.elapsed_s > 0:
-            raw = row.elapsed_s * (1.0 - overall) / overall
-            eta = raw if eta is None else 0.7 * eta + 0.3 * raw
-            shown = max(0.0, eta)
-        out.append((key[0], row.stage, overall, row.elapsed_s, shown, False))
-    if out[-1][2] >= 1.0:
-        state.remove()  # the item is done
-    else:
-        state.update((eta, seen["publisher"], seen["detector"], out[-1][1], out[-1][2], out[-1][3]))
-        state.setTimeoutDuration(STALL_S * 1000)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in PROGRESS.split(", ")])
-
-
-def progress(reports: DataFrame) -> DataFrame:
+def _progress(by_event_time: bool):
+    columns = [c.split()[0] for c in PROGRESS.split(", ")]
+
+    def report(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            # A stall is only reported; what is known of the item stays for its next report.
+            _, publisher, detector, stage, fraction, elapsed = state.get
+            state.update(state.get)
+            yield pd.DataFrame([(key[0], stage, fraction, elapsed, None, True)], columns=columns)
+            return
+        eta, publisher, detector, *_ = state.get if state.exists else (None, 0.0, 0.0, "", 0.0, 0.0)
+        seen, out = {"publisher": publisher, "detector": detector}, []
+        reports = pd.concat(list(batches)).sort_values("elapsed_s")
+        for row in reports.itertuples():
+            overall = _overall(row.stage, row.fraction, bool(row.parallel), seen)
+            shown = None
+            if overall >= ETA_MIN_FRACTION and row.elapsed_s > 0:
+                raw = row.elapsed_s * (1.0 - overall) / overall
+                eta = raw if eta is None else 0.7 * eta + 0.3 * raw
+                shown = max(0.0, eta)
+            out.append((key[0], row.stage, overall, row.elapsed_s, shown, False))
+        if out[-1][2] >= 1.0:
+            state.remove()  # the item is done
+        else:
+            state.update((eta, seen["publisher"], seen["detector"], out[-1][1], out[-1][2], out[-1][3]))
+            if by_event_time:
+                last = int(reports["at_ms"].max()) + STALL_S * 1000
+                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+            else:
+                state.setTimeoutDuration(STALL_S * 1000)
+        yield pd.DataFrame(out, columns=columns)
+
+    return report
+
+
+def progress(reports: DataFrame, at: str | None = None) -> DataFrame:
     """Overall progress with a smoothed estimate per report (item_id, stage, fraction, elapsed_s,
-    parallel), and one `stalled` row for an item that has not reported for 20 s."""
-    return reports.groupBy("item_id").applyInPandasWithState(
-        _progress, PROGRESS, "eta double, publisher double, detector double, stage string, fraction double, elapsed_s double",
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
-    )
-
+    parallel), and one `stalled` row for an item that has not reported for 20 s: by the clock, or by
+    the watermark of the column `at`, which the stream must carry. By the clock a query never ends of
+    itself, since time alone can bring rows."""
+    columns = ["item_id", "stage", "fraction", "elapsed_s", "parallel"]
+    if at is not None:
+        # The time itself stays, as it carries the watermark.
+        reports = reports.select(*columns, at, F.unix_millis(at).alias("at_ms"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if at is None else GroupStateTimeout.EventTimeTimeout
+    state = "eta double, publisher double, detector double, stage string, fraction double, elapsed_s double"
+    return reports.groupBy("item_id").applyInPandasWithState(_progress(at is not None), PROGRESS, state, "append", timeout)
+
+
+def keep_history(entries: DataFrame, folder: str, checkpoint: str, buckets: int = HISTORY_BUCKETS):
+    """Upsert finished items into a history table that is split by a hash of the path. A batch rewrites
+    the buckets it touches, below data/v=<batch>, and then a manifest that names the newest version of
+    every bucket; the manifest before it stays, older ones go with the data that only they name. A
+    replayed batch starts from the same manifest, so nothing is counted twice."""
 
-def keep_history(entries: DataFrame, folder: str, checkpoint: str):
-    """Upsert finished items into versions of the history table: version n + 1 is the newest
-    version up to n with the batch's entries put in front. A replayed batch rewrites its own
-    version from the same base, so nothing is counted twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        base = version(batch.sparkSession, folder, batch_id)
-        old = batch.limit(0) if base is None else base
-        upsert_history(old, batch).write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        spark = batch.sparkSession
+        batch = settle(batch.withColumn("__b", F.pmod(F.xxhash64(canonical_path("path")), F.lit(buckets)).cast("int")))
+        touched = [r["__b"] for r in batch.select("__b").distinct().collect()]  # at most `buckets`
+        base = _manifest(spark, folder, batch_id)
+        old = _bucket_rows(spark, folder, {b: v for b, v in base.items() if b in touched})
+        rows = batch.drop("__b")
+        merged = upsert_history(rows.limit(0) if old is None else old, rows)
+        merged = merged.withColumn("__b", F.pmod(F.xxhash64(canonical_path("path")), F.lit(buckets)).cast("int"))
+        merged.repartition("__b").write.mode("overwrite").partitionBy("__b").parquet(f"{folder}/data/v={batch_id}")
+        now = {**base, **dict.fromkeys(touched, batch_id)}
+        spark.createDataFrame(list(now.items()) or [(-1, -1)], "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifests/v={batch_id}")
+        _drop_unnamed(spark, folder, {*base.values(), *now.values(), batch_id}, batch_id)
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def version(spark, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest history version (older than `before`), None when there is none."""
+def _versions(spark, folder: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(path):
-        return None
-    numbers = [int(s.getPath().getName()[2:]) for s in system.listStatus(path) if s.getPath().getName().startswith("v=")]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{folder}/v={max(numbers)}") if numbers else None
-
-
-WORD_COLUMNS = ["item_id", "source", "seq", "text", "start", "end"]
-
-
-def final_marks(words: DataFrame, closed: DataFrame, settings: ReviewSettings = ReviewSettings()) -> DataFrame:
-    """Marks that no further word in order can change: of closed items (item_id, audio_s) all; of
-    open ones those the publisher has spoken after and both sources have passed by as many words
-    as the echo test may read."""
-    published, detector = (words.where(F.col("source") == s) for s in ("publisher", "detector"))
-    seen = published.groupBy("item_id").agg(F.max("end").alias("seen_s"))
-    items = seen.join(closed, "item_id", "full_outer").select("item_id", F.coalesce("audio_s", "seen_s").alias("audio_s"), F.col("audio_s").isNotNull().alias("closed"))
-    marks = settle(build_review(published, detector, items.select("item_id", "audio_s"), settings))
-    # The n-th word after the gap must be there, n the words inside; passing by the count of all
-    # words inside the span is enough because the echo test reads no more than that.
-    inside = words.where(F.col("source") == "detector").select("item_id", F.col("start").alias("d_start"), F.col("end").alias("d_end"))
-    counted = overlap_join(marks.select("item_id", "mark", "span_start", "span_end"), inside, left_span=("span_start", "span_end"), right_span=("d_start", "d_end"))
-    n = counted.groupBy("item_id", "mark").agg(F.count("*").alias("n"))
-    totals = words.groupBy("item_id", "source").agg(F.count("*").alias("total"))
-    ranked = numbered(words.select(*WORD_COLUMNS), ["item_id", "source"], time_bucket("start"), ["start", "end", "seq"], "rank")
-    two = marks.join(n, ["item_id", "mark"], "left").withColumn("source", F.explode(F.array(F.lit("publisher"), F.lit("detector"))))
-    at = as_of(two.withColumn("probe", F.col("span_end") - 2e-9), ranked, ["item_id", "source"], "probe", "start", F.col("rank"), "before", tie=F.col("rank"))
-    after = at.join(totals, ["item_id", "source"], "left").withColumn("after", F.coalesce("total", F.lit(0)) - F.coalesce(F.col("before") + 1, F.lit(0)))
-    enough = after.groupBy("item_id", "mark").agg(F.bool_and((F.col("after") > F.coalesce("n", F.lit(0)))).alias("passed"))
-    joined = marks.join(enough, ["item_id", "mark"]).join(items.select("item_id", "audio_s", "closed"), "item_id")
-    return joined.where(F.col("closed") | (F.col("passed") & (F.col("span_end") < F.col("audio_s")))).drop("passed", "closed", "audio_s", "mark")
-
-
-def incremental_marks(feed: DataFrame, folder: str, checkpoint: str, settings: ReviewSettings = ReviewSettings()):
-    """Marks written once each, as soon as they are final. The feed has word rows and closing rows
-    (kind `close`, audio_s); each source speaks in order. Words that start before what their
-    source had already said in earlier batches go to folder/late. Every batch is written to its
-    own folder, so a replay overwrites itself."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = batches(spark, f"{folder}/words", batch_id)
-        words = batch.where(F.col("kind") == "word").select(*WORD_COLUMNS)
-        if earlier is not None:
-            mark = earlier.groupBy("item_id", "source").agg(F.max("start").alias("__seen"))
-            words = words.join(mark, ["item_id", "source"], "left")
-            late = F.coalesce(F.col("start") < F.col("__seen"), F.lit(False))
-            words.where(late).select(*WORD_COLUMNS).write.mode("overwrite").parquet(f"{folder}/late/b={batch_id}")
-            words = words.where(~late)
-        words.select(*WORD_COLUMNS).write.mode("overwrite").parquet(f"{folder}/words/b={batch_id}")
-        batch.where(F.col("kind") == "close").select("item_id", "audio_s").write.mode("overwrite").parquet(f"{folder}/closed/b={batch_id}")
-        closed = batches(spark, f"{folder}/closed", batch_id + 1)
-        kept = batches(spark, f"{folder}/words", batch_id + 1).join(batch.select("item_id").distinct(), "item_id", "left_semi")
-        fresh = final_marks(kept, closed, settings)
-        written = batches(spark, f"{folder}/marks", batch_id)
-        if written is not None:
-            fresh = fresh.join(written.select("item_id", "span_start"), ["item_id", "span_start"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/marks/b={batch_id}")
-
-    return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def batches(spark, folder: str, before: int) -> DataFrame | None:
-    """The rows of all batches older than `before`."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return None
-    names = [s.getPath().getName() for s in system.listStatus(path)]
-    paths = [f"{folder}/{n}" for n in names if n.startswith("b=") and int(n[2:]) < before]
+        return []
+    return sorted(int(s.getPath().getName()[2:]) for s in system.listStatus(path) if s.getPath().getName().startswith("v="))
+
+
+def _manifest(spark, folder: str, before: int | None = None) -> dict[int, int]:
+    """Version by bucket, of the newest manifest (older than `before`) that was written whole."""
+    for number in reversed([n for n in _versions(spark, f"{folder}/manifests") if before is None or n < before]):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifests/v={number}/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            rows = spark.read.schema("bucket int, version bigint").parquet(f"{folder}/manifests/v={number}").collect()
+            return {r.bucket: r.version for r in rows if r.bucket >= 0}
+    return {}
+
+
+def _bucket_rows(spark, folder: str, versions: dict[int, int]) -> DataFrame | None:
+    paths = [f"{folder}/data/v={v}/__b={b}" for b, v in sorted(versions.items())]
     return spark.read.parquet(*paths) if paths else None
 
 
+def _drop_unnamed(spark, folder: str, named: set[int], newest: int) -> None:
+    """Delete data that neither the newest manifest nor the one before it names, and older manifests."""
+    manifests = _versions(spark, f"{folder}/manifests")
+    kept = [n for n in manifests if n <= newest][-2:]
+    gone = [f"{folder}/manifests/v={n}" for n in manifests if n < kept[0]]
+    gone += [f"{folder}/data/v={n}" for n in _versions(spark, f"{folder}/data") if n < newest and n not in named]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def version(spark, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest history (older than batch `before`), None when there is none."""
+    return _bucket_rows(spark, folder, _manifest(spark, folder, before))
+
+
 def arriving_parts(files: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Files (folder, ext, name, start_utc TIMESTAMP, duration_s) chained as they arrive. A session
     window joins a file that starts within the gap after the previous one's end; it cannot express

@@ -1,9 +1,14 @@
 """Streams drained with availableNow give what the batch operators give."""
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import review as rv
 from spanloom.streaming import live as lv
+from spanloom.streaming import marks as mk
 
 
 def feed(spark, folder, frames, schema):
@@ -14,8 +19,7 @@ def feed(spark, folder, frames, schema):
 
 def drain(writer):
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert query.exception() is None
+    assert query.awaitTermination(120) and query.exception() is None
 
 
 def test_live_segments(spark, tmp_path):
@@ -25,59 +29,126 @@ def test_live_segments(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a b"]
 
 
-def test_progress(spark, tmp_path):
-    schema = "item_id string, stage string, fraction double, elapsed_s double, parallel boolean"
-    rows = [[("i", "digest", 1.0, 1.0, False)], [("i", "publisher", 0.5, 10.0, True)], [("i", "detector", 0.5, 20.0, True)]]
-    stream = feed(spark, tmp_path / "in", rows, schema)
-    drain(lv.progress(stream).writeStream.outputMode("append").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"o{n}"))).option("checkpointLocation", str(tmp_path / "c")))
-    out = sorted((tuple(r) for n in range(3) for r in spark.read.parquet(str(tmp_path / f"o{n}")).collect() if not r.stalled), key=lambda r: r[3])
-    assert [round(r[2], 4) for r in out] == [0.02, 0.23, 0.42]
+def test_progress_with_a_stall_between(spark, tmp_path):
+    schema = "item_id string, stage string, fraction double, elapsed_s double, parallel boolean, at timestamp"
+    second = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+    rows = [
+        [("i", "digest", 1.0, 1.0, False, second(1))],
+        [("i", "publisher", 0.5, 10.0, True, second(10))],
+        [("other", "digest", 0.5, 1.0, False, second(90))],  # the watermark passes i by more than 20 s
+        [("other", "digest", 0.6, 2.0, False, second(95))],
+        [("i", "detector", 0.5, 100.0, True, second(100))],
+    ]
+    stream = feed(spark, tmp_path / "in", rows, schema).withWatermark("at", "0 seconds")
+    out = str(tmp_path / "out")
+    drain(lv.progress(stream, "at").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")))
+    got = spark.read.parquet(out).where("item_id = 'i'").orderBy("elapsed_s", "stalled").collect()
+    assert [(r.stage, round(r.fraction, 4), r.stalled) for r in got] == [("digest", 0.02, False), ("publisher", 0.23, False), ("publisher", 0.23, True), ("detector", 0.42, False)]
     first = 10.0 * 0.77 / 0.23
-    assert out[0][4] is None and abs(out[1][4] - first) < 1e-9 and abs(out[2][4] - (0.7 * first + 0.3 * 20.0 * 0.58 / 0.42)) < 1e-9
+    assert got[0].eta_s is None and abs(got[1].eta_s - first) < 1e-9
+    assert abs(got[3].eta_s - (0.7 * first + 0.3 * 100.0 * 0.58 / 0.42)) < 1e-9  # it knows what it knew before the stall
 
 
 def test_history(spark, tmp_path):
     schema = "path string, produced_utc string, marks int"
-    stream = feed(spark, tmp_path / "in", [[("a", "1", 1), ("b", "1", 1)], [("./a", "2", 5)]], schema)
-    drain(lv.keep_history(stream, str(tmp_path / "h"), str(tmp_path / "c")))
-    assert [(r.path, r.marks) for r in lv.version(spark, str(tmp_path / "h")).orderBy(F.desc("produced_utc")).collect()] == [("./a", 5), ("b", 1)]
-
-
-def test_marks_as_words_arrive(spark, tmp_path):
-    import random
-
-    rng = random.Random(8)
-    published, detector = [], []
+    frames = [[("a", "1", 1), ("b", "1", 1)], [("./a", "2", 5)], [("c", "3", 1)], [("c/../b", "4", 2), ("d", "4", 7)]]
+    folder = str(tmp_path / "h")
+    drain(lv.keep_history(feed(spark, tmp_path / "in", frames, schema), folder, str(tmp_path / "c"), buckets=16))
+    newest = lambda before=None: [(r.path, r.marks) for r in lv.version(spark, folder, before).orderBy(F.desc("produced_utc"), "path").collect()]
+    assert newest() == [("c/../b", 2), ("d", 7), ("c", 1), ("./a", 5)]
+    assert newest(3) == [("c", 1), ("./a", 5), ("b", 1)]
+    manifests = sorted(p.name for p in (tmp_path / "h" / "manifests").glob("v=*"))
+    assert manifests == ["v=2", "v=3"]
+    # A batch rewrites only the buckets of its paths.
+    assert len(list((tmp_path / "h" / "data" / "v=2").glob("__b=*"))) == 1
+    assert not (tmp_path / "h" / "data" / "v=0").exists() or 0 in set(lv._manifest(spark, folder, 3).values())
+
+
+def talk(seed, n=120):
+    """Words of two sources of two recordings; some last long, some start together."""
+    rng = random.Random(seed)
+    rows = []
     for item in (1, 2):
         t = 0.0
-        for n in range(120):
-            t += rng.choice([0.4, 0.4, 0.4, 2.5])
+        for i in range(n):
+            t = round(t + rng.choice([0.4, 0.4, 0.4, 2.5]), 3)
             if rng.random() < 0.7:
-                published.append((item, "publisher", n, f"w{n % 9}", t, t + 0.4))
-            detector.append((item, "detector", n, f"w{n % 9}", t + 0.1, t + 0.5))
-    schema = "kind string, item_id long, source string, seq long, text string, start double, end double, audio_s double"
-    rows = sorted(published + detector, key=lambda r: r[4])
-    half = len(rows) // 2
-    frames = [[("word", *r, None) for r in part] for part in (rows[:half], rows[half:])]
-    frames.append([("close", 1, None, None, None, None, None, 250.0), ("close", 2, None, None, None, None, None, 250.0)])
+                rows.append((item, "publisher", i, f"w{i % 9}", t, round(t + rng.choice([0.4, 0.4, 1.9]), 3)))
+            rows.append((item, "detector", i, rng.choice([f"w{i % 9}", f" W{i % 9}. ", ""]), round(t + 0.1, 3), round(t + rng.choice([0.3, 0.5, 3.0]), 3)))
+            if rng.random() < 0.1:
+                rows.append((item, "detector", 1000 + i, "twin", round(t + 0.1, 3), round(t + 0.2, 3)))
+    return sorted(rows, key=lambda r: r[4])
+
+
+WORDS = "item_id long, source string, seq long, text string, start double, end double"
+FEED = f"kind string, {WORDS}, audio_s double"
+
+
+def marked(df):
+    return sorted((r.item_id, r.start, r.end, r.span_start, r.span_end, r.detector_words, r.detector_text) for r in df.collect())
+
+
+def batch_marks(spark, rows, audio):
+    words = spark.createDataFrame(rows, WORDS)
+    items = spark.createDataFrame([(1, audio), (2, audio)], "item_id long, audio_s double")
+    return marked(rv.build_review(words.where("source = 'publisher'"), words.where("source = 'detector'"), items))
+
+
+@pytest.mark.parametrize("seed, cuts", [(8, 3), (9, 20)])
+def test_marks_as_words_arrive(spark, tmp_path, seed, cuts):
+    rows = talk(seed)
+    audio = max(r[5] for r in rows) + 5.0
+    step = -(-len(rows) // cuts)
+    frames = [[("word", *r, None) for r in rows[i : i + step]] for i in range(0, len(rows), step)]
+    frames.append([("close", 1, None, None, None, None, None, audio), ("close", 2, None, None, None, None, None, audio)])
     frames.append([("word", 1, "publisher", 999, "late", 0.0, 0.1, None)])
-    drain(lv.incremental_marks(feed(spark, tmp_path / "in", frames, schema), str(tmp_path / "m"), str(tmp_path / "c")))
-    marks = spark.read.parquet(*[str(tmp_path / "m" / "marks" / f"b={i}") for i in range(4)])
-    words = spark.createDataFrame(rows, "item_id long, source string, seq long, text string, start double, end double")
-    items = spark.createDataFrame([(1, 250.0), (2, 250.0)], "item_id long, audio_s double")
-    batch = rv.build_review(words.where("source = 'publisher'"), words.where("source = 'detector'"), items)
-    key = lambda df: sorted((r.item_id, r.span_start, r.span_end, r.detector_words, r.detector_text) for r in df.collect())
-    assert key(marks) == key(batch) and len(key(batch)) > 5
-    early = spark.read.parquet(str(tmp_path / "m" / "marks" / "b=0")).count()
-    assert early > 0
-    late = spark.read.parquet(*[str(tmp_path / "m" / "late" / f"b={i}") for i in range(1, 4)])
-    assert [r.text for r in late.collect()] == ["late"]
+    open_frames, out = len(frames) - 2, str(tmp_path / "m")
+    source = feed(spark, tmp_path / "in", frames[:open_frames], FEED)
+    drain(mk.incremental_marks(source, out, str(tmp_path / "c")))
+    early = marked(mk.written(spark, out, "mark"))
+    for i in range(2):  # the next run goes on from the state of the one before
+        feed(spark, tmp_path / "in" / f"more{i}", [frames[open_frames + i]], FEED)
+        drain(mk.incremental_marks(source, out, str(tmp_path / "c")))
+    want = batch_marks(spark, rows, audio)
+    assert marked(mk.written(spark, out, "mark")) == want and len(want) > 5
+    assert 0 < len(early) < len(want) and set(early) < set(want)
+    assert [r.text for r in mk.written(spark, out, "late").collect()] == ["late"]
+
+
+def test_blocks_of_words(monkeypatch):
+    """A batch reads the blocks that it needs, not all that came before."""
+
+    class State:
+        def __init__(self):
+            self.rows, self.read = {}, 0
+
+        def containsKey(self, key):
+            return key in self.rows
+
+        def getValue(self, key):
+            self.read += 1
+            return self.rows[key]
+
+        def updateValue(self, key, value):
+            self.rows[key] = value
+
+    monkeypatch.setattr(mk, "BLOCK", 4)
+    state, heard, most = State(), None, 0
+    for batch in range(50):
+        words = mk._Words(state, "detector", heard)
+        for i in range(6):
+            t = batch * 6.0 + i
+            words.append((t, t + 0.5, i, "w", f"n{batch * 6 + i}"))
+        state.read = 0
+        assert words.before(batch * 6.0 + 3, 2) == [f"n{batch * 6 + 1}", f"n{batch * 6 + 2}"] or batch == 0
+        most = max(most, state.read)
+        words.save()
+        heard = (words.n, words.seen, words.longest)
+    assert most <= 8 and len(state.rows) == 75
 
 
 def test_arriving_parts(spark, tmp_path):
     schema = "folder string, ext string, name string, start_utc timestamp, duration_s double"
-    import datetime as dt
-
     t = dt.datetime(2024, 1, 1, 10)
     minute = dt.timedelta(minutes=1)
     rows = [[("f", ".avi", "a", t, 600.0), ("f", ".avi", "b", t + 10 * minute, 600.0), ("f", ".avi", "c", t + 90 * minute, 60.0)], [("f", ".avi", "z", t + 6000 * minute, 1.0)]]
