@@ -7,7 +7,7 @@ kernel that holds a single pair at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,14 +21,16 @@ from spanloom.session import settle, spread
 
 DIAGONAL, DELETE, INSERT = 0, 1, 2
 FAR = np.int32(1 << 29)
+NATIVE_CHARS = 2_000
+LONG_TOKENS = 40_000  # of both sides; a longer pair is traced by several tasks
 
 
-def _ids(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     codes, _ = pd.factorize(np.concatenate([np.asarray(ref, dtype=object), np.asarray(hyp, dtype=object)]))
     return codes[: len(ref)], codes[len(ref):]
 
 
-class _Band:
+class Band:
     """Rows of the edit table restricted to |j - i - shift| <= reach, one row at a time.
 
     Column o of row i stands for j = i - low + o. A distance not above the band's slack proves
@@ -37,7 +39,7 @@ class _Band:
     """
 
     def __init__(self, ref: np.ndarray, hyp: np.ndarray, slack: int) -> None:
-        self.ref, self.hyp = ref, hyp
+        self.ref, self.m, self.top = ref, len(hyp), 0  # ref[0] is the token of row top + 1
         n, m = len(ref), len(hyp)
         self.low, high = max(0, n - m) + slack, max(0, m - n) + slack
         self.width = self.low + high + 1
@@ -49,7 +51,7 @@ class _Band:
 
     def first(self) -> np.ndarray:
         j = self.steps - self.low
-        return np.where((j >= 0) & (j <= len(self.hyp)), j, FAR).astype(np.int32)
+        return np.where((j >= 0) & (j <= self.m), j, FAR).astype(np.int32)
 
     def next(self, prev: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Row i and its choices: diagonal before deletion before insertion."""
@@ -58,11 +60,11 @@ class _Band:
         lo = max(at, 0)
         piece = np.full(self.width, -1, dtype=np.int64)
         piece[lo - at :] = self.padded[lo : at + self.width]
-        diagonal = prev + (piece != self.ref[i - 1])
+        diagonal = prev + (piece != self.ref[i - 1 - self.top])
         up = np.append(prev[1:], FAR) + 1
         row = np.minimum(diagonal, up).astype(np.int32)
         j = self.steps + first_j
-        outside = (j < 0) | (j > len(self.hyp))
+        outside = (j < 0) | (j > self.m)
         row[outside] = FAR
         row = np.minimum.accumulate(row - self.steps) + self.steps
         row[outside] = FAR
@@ -70,14 +72,14 @@ class _Band:
         return np.minimum(row, FAR), choice
 
 
-def _fitted(ref: np.ndarray, hyp: np.ndarray, every: int) -> tuple[_Band, dict[int, np.ndarray], int]:
-    """The narrowest doubled band that is exact, its kept rows, and the distance."""
+def fitted(ref: np.ndarray, hyp: np.ndarray, rows: Callable[[Band], int]) -> tuple[Band, dict[int, np.ndarray], int]:
+    """The narrowest doubled band that is exact, every `rows`-th of its rows, and the distance."""
     n, m = len(ref), len(hyp)
     slack = 16
     while True:
         slack = min(slack, n + m)
-        band = _Band(ref, hyp, slack)
-        row, kept = band.first(), {}
+        band = Band(ref, hyp, slack)
+        row, kept, every = band.first(), {}, rows(band)
         for i in range(1, n + 1):
             if (i - 1) % every == 0:
                 kept[i - 1] = row
@@ -90,10 +92,19 @@ def _fitted(ref: np.ndarray, hyp: np.ndarray, every: int) -> tuple[_Band, dict[i
 
 
 def distance(ref: Sequence[str], hyp: Sequence[str]) -> int:
-    a, b = _ids(ref, hyp)
+    a, b = token_ids(ref, hyp)
     if len(a) == 0 or len(b) == 0:
         return len(a) + len(b)
-    return _fitted(a, b, len(a) + 1)[2]
+    return fitted(a, b, lambda band: len(a) + 1)[2]
+
+
+def common_ending(a: np.ndarray, b: np.ndarray) -> int:
+    """Equal last tokens: they always take the diagonal, so they need no table."""
+    limit = min(len(a), len(b))
+    if not limit:
+        return 0
+    differs = np.flatnonzero(a[len(a) - limit :][::-1] != b[len(b) - limit :][::-1])
+    return int(differs[0]) if len(differs) else limit
 
 
 def trace(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,20 +113,15 @@ def trace(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarra
     Choices are kept for one block of rows at a time: the forward pass keeps every k-th row of
     costs and the walk back recomputes the block it is in, so memory is rows x band / k.
     """
-    a, b = _ids(ref, hyp)
+    a, b = token_ids(ref, hyp)
     n, m = len(a), len(b)
-    same = 0
-    # Equal last tokens always take the diagonal, so a common ending needs no table.
-    limit = min(n, m)
-    if limit:
-        differs = np.flatnonzero(a[n - limit :][::-1] != b[m - limit :][::-1])
-        same = int(differs[0]) if len(differs) else limit
+    same = common_ending(a, b)
     tail_i, tail_j = n - 1 - np.arange(same), m - 1 - np.arange(same)
     i, j = n - same, m - same
     kinds, at_i, at_j = [DIAGONAL] * same, tail_i.tolist(), tail_j.tolist()
     if i and j:
         every = max(1, int(np.sqrt(i)))
-        band, kept, _ = _fitted(a[:i], b[:j], every)
+        band, kept, _ = fitted(a[:i], b[:j], lambda band: every)
         block: dict[int, np.ndarray] = {}
         while i and j:
             if i not in block:
@@ -169,9 +175,13 @@ def _ops_kernel(keys: Sequence[str], anchor_run: int):
     return run
 
 
-def edit_ops(pairs: DataFrame, keys: Sequence[str] = ("item_id", "variant"), anchor_run: int = 5) -> DataFrame:
+def edit_ops(pairs: DataFrame, keys: Sequence[str] = ("item_id", "variant"), anchor_run: int = 5, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """One row per alignment step: op_seq, kind (equal, sub, del, ins), positions, tokens, and
-    `chunk`, the stretch between anchors it belongs to (NULL inside an anchor)."""
+    `chunk`, the stretch between anchors it belongs to (NULL inside an anchor). Pairs of more than
+    `long_tokens` tokens are cut into blocks that several tasks trace; whether there are any is looked
+    up here, so give a settled table."""
+    from spanloom.operators.long_align import long_edit_ops
+
     if anchor_run < 1:
         raise ValueError("anchor_run must be at least 1")
     keys = list(keys)
@@ -180,7 +190,8 @@ def edit_ops(pairs: DataFrame, keys: Sequence[str] = ("item_id", "variant"), anc
         ", op_seq long, kind string, ref_at long, hyp_at long, ref_token string, hyp_token string, chunk long"
     )
     easy = (F.size("ref") == 0) | (F.size("hyp") == 0) | (F.col("ref") == F.col("hyp"))
-    hard = spread(pairs.where(~easy).select(*keys, "ref", "hyp"), *keys).mapInPandas(_ops_kernel(keys, anchor_run), schema)
+    is_long = F.size("ref") + F.size("hyp") > long_tokens
+    hard = spread(pairs.where(~easy & ~is_long).select(*keys, "ref", "hyp"), *keys).mapInPandas(_ops_kernel(keys, anchor_run), schema)
     alone = F.when(F.size("ref") == 0, "ins").when(F.size("hyp") == 0, "del").otherwise("equal")
     longer = F.when(F.size("ref") == 0, F.col("hyp")).otherwise(F.col("ref"))
     steps = pairs.where(easy).select(*keys, F.size("ref").alias("n"), alone.alias("kind"), F.posexplode(longer).alias("at", "token"))
@@ -192,7 +203,9 @@ def edit_ops(pairs: DataFrame, keys: Sequence[str] = ("item_id", "variant"), anc
         F.when(in_ref, F.col("token")).alias("ref_token"), F.when(in_hyp, F.col("token")).alias("hyp_token"),
         F.when(~anchored, F.lit(0).cast("long")).alias("chunk"),
     )
-    return hard.unionByName(simple)
+    found = hard.unionByName(simple)
+    long = pairs.where(~easy & is_long)
+    return found if long.isEmpty() else found.unionByName(long_edit_ops(long, keys, anchor_run))
 
 
 @F.pandas_udf(LongType())
@@ -231,6 +244,42 @@ def word_errors(pairs: DataFrame, ops: DataFrame, keys: Sequence[str] = ("item_i
     return joined.withColumn("wer", wer(F.col("sub") + F.col("dele") + F.col("ins"), F.col("n_ref"), F.col("ins")))
 
 
+def character_distance(a: str, b: str) -> int:
+    """Edit distance of two texts, bit-parallel: a column of the table is two integers of len(a)
+    bits (where it rises, where it falls), so a text of 100,000 characters takes seconds."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for i, character in enumerate(a):
+        places[character] = places.get(character, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, score = every, 0, len(a)
+    for character in b:
+        match = places.get(character, 0)
+        zero = (((match & rises) + rises) ^ rises) | match | falls  # diagonal steps that cost nothing
+        right_up, right_down = falls | ~(zero | rises) & every, zero & rises
+        score += bool(right_up & top) - bool(right_down & top)
+        right_up, right_down = (right_up << 1 | 1) & every, right_down << 1 & every
+        rises, falls = right_down | ~(zero | right_up) & every, right_up & zero
+    return score
+
+
+@F.pandas_udf(LongType())
+def _character_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([character_distance(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+def text_distance(a: str, b: str, native_chars: int = NATIVE_CHARS) -> Column:
+    """Edit distance of two text columns: Spark's own for short ones, the bit-parallel kernel where the
+    table would have more than `native_chars` squared cells."""
+    cells = F.length(a).cast("long") * F.length(b)
+    small = cells <= native_chars * native_chars
+    kernel = _character_distance(F.when(small, F.lit("")).otherwise(F.col(a)), F.when(small, F.lit("")).otherwise(F.col(b)))
+    return F.when(small, F.levenshtein(a, b).cast("long")).otherwise(kernel)
+
+
 def cer_chunked(pairs: DataFrame, ops: DataFrame, keys: Sequence[str] = ("item_id", "variant")) -> DataFrame:
     """Character errors summed over the chunks between anchors, per reference character."""
     keys = list(keys)
@@ -241,7 +290,7 @@ def cer_chunked(pairs: DataFrame, ops: DataFrame, keys: Sequence[str] = ("item_i
         return F.array_join(texts, "")
 
     chunks = ops.where(F.col("chunk").isNotNull()).groupBy(*keys, "chunk").agg(side("ref_token").alias("r"), side("hyp_token").alias("h"))
-    errors = chunks.groupBy(*keys).agg(F.sum(F.levenshtein("r", "h")).alias("errors"))
+    errors = chunks.groupBy(*keys).agg(F.sum(text_distance("r", "h")).alias("errors"))
     chars = F.length(F.array_join("ref", " "))
     rate = F.when(chars > 0, F.coalesce("errors", F.lit(0)).cast("double") / chars).when(F.size("hyp") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
     return pairs.join(errors, keys, "left").select(*keys, rate.alias("cer"))
@@ -269,11 +318,35 @@ def timestamp_offsets(ops: DataFrame, ref_times: DataFrame, hyp_times: DataFrame
     return timed.select(*keys, "op_seq", (F.col("hs") - F.col("rs")).alias("offset_s"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """(keys, n, q0, q1, ...): quantiles of a column that is not negative, interpolated between the two
+    ranks around share x (n - 1). Equal values are counted first (combined before the shuffle), ranks
+    come from a scan over ranges of values, and only the rows that hold a wanted rank go on: no group
+    is sorted or held in one task."""
+    keys = list(keys)
+    counted = settle(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__c")))
+    # 64 ranges for every doubling of the value; zero is below them all.
+    ranges = F.coalesce(F.floor(F.log2(F.when(F.col("__x") > 0, F.col("__x"))) * 64), F.lit(-1 << 20))
+    ranked = bucketed_scan(counted, keys, ranges.cast("bigint"), ["__x"], [Scan("__first", "sum_before", F.col("__c"))])
+    totals = counted.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    ranked = ranked.join(totals, keys)
+    picks = []
+    for i, share in enumerate(shares):
+        at = (F.col("n") - 1) * F.lit(float(share))
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("__first") <= rank) & (rank < F.col("__first") + F.col("__c")), F.col("__x"))).alias(f"__{side}{i}"))
+    found = ranked.groupBy(*keys, "n").agg(*picks)
+    out = []
+    for i, share in enumerate(shares):
+        at, low, high = (F.col("n") - 1) * F.lit(float(share)), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"q{i}"))
+    return found.select(*keys, "n", *out)
+
+
 def timing(offsets: DataFrame, keys: Sequence[str] = ("item_id", "variant")) -> DataFrame:
-    size = F.abs("offset_s")
-    return offsets.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile(size, F.lit(0.5)).alias("median_abs_s"), F.percentile(size, F.lit(0.9)).alias("p90_abs_s")
-    )
+    """Count, median and 90 % quantile of the offsets' sizes."""
+    sizes = offsets.withColumn("__size", F.abs("offset_s"))
+    return exact_quantiles(sizes, "__size", (0.5, 0.9), keys).withColumnsRenamed({"q0": "median_abs_s", "q1": "p90_abs_s"})
 
 
 def positioned_tokens(rows: DataFrame, order: Sequence[str], tokens: str, name: str, keys: Sequence[str] = ("item_id",)) -> DataFrame:
