@@ -49,16 +49,16 @@ class Tables:
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = scratch(self.spark, name)
         df.write.parquet(path, compression=CODEC)
+        # Shuffles of finished jobs go when the driver's JVM finds them unused; it is asked to look.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads. Shuffles of finished jobs are released when the
-        driver's JVM finds them unused, which is asked of it here."""
+        """Delete tables that no later step reads."""
         context = self.spark.sparkContext
         for name in names:
             path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        context._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SLICE_BYTES, batch_of, partitions, pieces, ready, settled, strings
+from spanloom.llm.common import SLICE_BYTES, Tables, batch_of, partitions, pieces, ready, strings
 from spanloom.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -103,18 +103,16 @@ def anchors(data: np.ndarray, grams: Hasher, contexts: Hasher, length: int = LEN
     return tuple(np.concatenate(columns) for columns in zip(*found))
 
 
-def _anchor_rows(length: int, gram: int, hashes_only: bool):
+def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, spans = Hasher(ODD, 1 << 17), Hasher(ODD_2, 1 << 17)
-        names = ["_gram"] if hashes_only else ["_gram", "_span", "_row", "_low", "_high"]
         for batch in pieces(batches, "text"):
-            rows = batch.column(1).to_pylist()
             found = [anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), grams, spans, length, gram) for text in strings(batch, "text")]
             h, c, low, high = (np.concatenate(x) for x in zip(*found))
-            columns = [h.view(np.int64)]
-            if not hashes_only:
-                columns += [c.view(np.int64), np.repeat(rows, [len(x[0]) for x in found]), low.astype(np.int32), high.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+            each = np.repeat(np.arange(batch.num_rows), [len(x[0]) for x in found])
+            numbers = [h.view(np.int64), c.view(np.int64), low.astype(np.int32), high.astype(np.int32)]
+            columns = [*map(pa.array, numbers), batch.column(1).take(pa.array(each)), batch.column(2).take(pa.array(each))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_gram", "_span", "_low", "_high", "_row", "_doc"])
 
     return run
 
@@ -320,47 +318,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     if not 0 < gram <= length:
         raise ValueError("a string must hold a gram")
     ready(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
+    settle, drop = tables.settle, tables.drop
     # Stored with the texts: numbers derived again in a later job differ if the files are split otherwise.
-    read = settled(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "numbered-texts")
-    texts = read.select("text", "_row")
-    counts = texts.mapInArrow(_anchor_rows(length, gram, True), "_gram bigint").groupBy("_gram").count()
-    shared = settled(counts.filter("count > 1").select("_gram"), "shared-grams")
-    rows = texts.mapInArrow(_anchor_rows(length, gram, False), "_gram bigint, _span bigint, _row bigint, _low int, _high int")
-    rows = rows.join(shared, "_gram")
-    ids = read.select("_row", F.col("doc_id").alias("_doc"))
-    rows = settled(rows.join(ids, "_row"), "anchors")
+    read = settle(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered-texts")
+    text = F.coalesce("text", F.lit(""))
+    facts = settle(read.select("doc_id", "_row", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("_sha")), "text-facts")
+    texts = read.select("text", "_row", F.col("doc_id").alias("_doc"))
+    rows = settle(texts.mapInArrow(_anchor_rows(length, gram), "_gram bigint, _span bigint, _low int, _high int, _row bigint, _doc bigint"), "all-anchors")
+    shared = settle(rows.groupBy("_gram").count().filter("count > 1").select("_gram"), "shared-grams")
+    rows = settle(rows.join(shared, "_gram"), "anchors")
+    drop("all-anchors", "shared-grams")
+    squeezed = texts.select("text", "_row").mapInArrow(_squeezed, "_row bigint, _data binary")
+    held = settle(squeezed.join(rows.select("_row").distinct(), "_row"), "candidate-texts")
+    drop("numbered-texts")
 
     place = F.struct(F.col("_doc").isNotNull().alias("known"), "_doc", "_row", "_low", "_high")
-    spans = settled(rows.groupBy("_gram", "_span").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_times")), "contexts")
+    spans = settle(rows.groupBy("_gram", "_span").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_times")), "contexts")
     several = spans.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # Every occurrence of a context but the first is a repeat as a whole.
     firsts = spans.filter("_times > 1").select("_gram", "_span", "_first._row", "_first._low").toDF("_gram", "_span", "_first_row", "_first_low")
     later = rows.join(firsts, ["_gram", "_span"]).filter("_row <> _first_row OR _low <> _first_low").select("_row", "_low", "_high")
+    later = settle(later, "later-contexts")
+    drop("anchors")
 
     candidates = spans.join(several, "_gram").select("_gram", "_n", "_first.*")
     wanted = candidates.groupBy("_row", "_doc").agg(F.collect_list(F.struct("_gram", "_n", "_low", "_high")).alias("_wanted"))
-    busy = rows.select("_row").distinct()
-    squeezed = texts.mapInArrow(_squeezed, "_row bigint, _data binary")
-    held = settled(squeezed.join(busy, "_row"), "candidate-texts")
     cut = wanted.join(held, "_row").select("_row", "_doc", "_data", "_wanted")
-    cut = settled(cut.mapInArrow(_contexts(length), "_gram bigint, _n bigint, _doc bigint, _row bigint, _low int, _bytes binary"), "context-bytes")
+    cut = settle(cut.mapInArrow(_contexts(length), "_gram bigint, _n bigint, _doc bigint, _row bigint, _low int, _bytes binary"), "context-bytes")
+    drop("contexts")
     columns = ["_gram", "_doc", "_row", "_low", "_bytes"]
     # A stated number of parts: few bytes, but much to do for each.
     by_sort = cut.filter(F.col("_n") <= hot_contexts).select(*columns).repartition(2 * partitions(docs.sparkSession), "_gram")
     by_sort = by_sort.sortWithinPartitions("_gram").mapInArrow(_sorted_groups(length, gram, sort_bytes), SPAN_COLUMNS)
     hot = cut.filter(F.col("_n") > hot_contexts).select(*columns).mapInArrow(_strings(length), "_string binary, _doc bigint, _row bigint, _low int")
     where = F.struct(F.col("_doc").isNotNull().alias("known"), "_doc", "_row", "_low")
-    hot = settled(hot, "hot-strings")
-    first = settled(hot.groupBy("_string").agg(F.min(where).alias("_first")), "hot-firsts")
+    hot = settle(hot, "hot-strings")
+    first = settle(hot.groupBy("_string").agg(F.min(where).alias("_first")), "hot-firsts")
     by_string = hot.join(first, "_string").filter((F.col("_row") != F.col("_first._row")) | (F.col("_low") != F.col("_first._low")))
     by_string = by_string.select("_row", "_low", F.col("_low").alias("_high"))
 
     every = later.unionByName(by_sort).unionByName(by_string)
-    every = every.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans"))
+    every = settle(every.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans")), "repeat-spans")
+    drop("later-contexts", "context-bytes", "hot-strings", "hot-firsts")
     removed = every.join(held, "_row").select("_row", "_data", "_spans").mapInArrow(_cut(length, texts_too), "_row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    text = F.coalesce("text", F.lit(""))
-    whole = read.select("doc_id", "_row", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("_sha"))
     none = F.lit(0).cast("bigint")
-    return whole.join(removed, "_row", "left").select(
+    return facts.join(removed, "_row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), "kept"
     )
