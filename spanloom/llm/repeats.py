@@ -11,11 +11,11 @@ and strings can only be equal if their anchors' grams are.
 3. Where one gram has several different contexts, these are suffix-sorted together (`suffixes`):
    start positions whose suffixes agree in `length` bytes are neighbours in the order, and all but
    the earliest are repeats. Grams with more than `HOT_CONTEXTS` contexts, which no single task should
-   sort, go by the exact strings themselves in a group-by that is combined before the shuffle.
+   sort, go by a 128-bit digest of each string in a group-by that is combined before the shuffle.
 4. The runs to remove are united per document.
 
-Steps 1 and 2 compare 64-bit hashes of contexts together with 64-bit hashes of their grams; steps 3
-and 4 work on the bytes. Texts travel compressed and only those of documents with candidates travel
+Steps 1 and 2 compare 64-bit hashes of contexts together with 64-bit hashes of their grams; the suffix
+sort works on the bytes. Texts travel compressed and only those of documents with candidates travel
 at all after the first join.
 """
 
@@ -35,7 +35,7 @@ from spanloom.llm.common import SLICE_BYTES, Tables, batch_of, partitions, piece
 from spanloom.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
-HOT_CONTEXTS = 1_000
+HOT_CONTEXTS = 64
 SORT_BYTES = 32 << 10  # contexts of whole grams that are sorted together
 STRETCH = 1 << 22  # bytes of a text whose anchors are found at a time
 ODD, ODD_2, MIX = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9
@@ -275,7 +275,8 @@ def _strings(length: int):
         for batch in batches:
             for doc, row, low, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 n = len(data) - length + 1
-                yield batch_of(schema, [data[i : i + length] for i in range(n)], [doc] * n, [row] * n, [low + i for i in range(n)])
+                digests = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
+                yield batch_of(schema, digests, [doc] * n, [row] * n, [low + i for i in range(n)])
 
     return run
 
