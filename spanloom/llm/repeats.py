@@ -356,11 +356,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     where = F.struct(F.col("_doc").isNotNull().alias("known"), "_doc", "_row", "_low")
     hot = settle(hot, "hot-strings")
     first = settle(hot.groupBy("_string").agg(F.min(where).alias("_first")), "hot-firsts")
-    by_string = hot.join(first, "_string").filter((F.col("_row") != F.col("_first._row")) | (F.col("_low") != F.col("_first._low")))
-    by_string = by_string.select("_row", "_low", F.col("_low").alias("_high"))
+    # One row per string on either side; where it is the first, the span is null and is not collected.
+    later_one = (F.col("_row") != F.col("_first._row")) | (F.col("_low") != F.col("_first._low"))
+    by_string = hot.join(first, "_string").select("_row", F.when(later_one, F.struct("_low", F.col("_low").alias("_high"))).alias("_at"))
 
-    every = later.unionByName(by_sort).unionByName(by_string)
-    every = settle(every.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans")), "repeat-spans")
+    every = later.unionByName(by_sort).select("_row", F.struct("_low", "_high").alias("_at")).unionByName(by_string)
+    every = settle(every.groupBy("_row").agg(F.collect_list("_at").alias("_spans")), "repeat-spans")
     drop("later-contexts", "context-bytes", "hot-strings", "hot-firsts")
     removed = every.join(held, "_row").select("_row", "_data", "_spans").mapInArrow(_cut(length, texts_too), "_row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     none = F.lit(0).cast("bigint")
