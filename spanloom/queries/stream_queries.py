@@ -71,7 +71,8 @@ def st5(spark, d):
 
 
 # Reports of a run: each turn of a conversation is one, in a stage and at a fraction by its number.
-STAGE_OF = F.element_at(F.array(*[F.lit(name) for name, _ in lv.STAGES]), (F.col("turn") % len(lv.STAGES)).cast("int") + 1)
+def stage_of(turn):
+    return F.element_at(F.array(*[F.lit(name) for name, _ in lv.STAGES]), (turn % len(lv.STAGES)).cast("int") + 1)
 
 
 @R.add(
@@ -88,7 +89,7 @@ def st2(spark, d):
     """Every report of every item, with the estimate that the earlier ones lead to."""
     out = scratch(spark, "progress")
     turns = stream(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("item_id"), "turn")
-    reports = turns.select("item_id", STAGE_OF.alias("stage"), (F.col("turn") % 10 / 10.0).alias("fraction"), (F.col("turn") + 1).cast("double").alias("elapsed_s"), F.lit(False).alias("parallel"), F.timestamp_seconds(F.col("turn") + 1).alias("at"))
+    reports = turns.select("item_id", stage_of(F.col("turn")).alias("stage"), (F.col("turn") % 10 / 10.0).alias("fraction"), (F.col("turn") + 1).cast("double").alias("elapsed_s"), F.lit(False).alias("parallel"), F.timestamp_seconds(F.col("turn") + 1).alias("at"))
     drained(lv.progress(reports.withWatermark("at", "0 seconds"), "at").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", out + "-c"))
     rows = spark.read.schema(lv.PROGRESS).parquet(out).where(~F.col("stalled"))
     return rows.select(F.col("item_id").cast("bigint").alias("item_id"), (F.col("elapsed_s") - 1).cast("bigint").alias("turn"), F.round("fraction", 9).alias("overall"), F.round("eta_s", 6).alias("eta_s"))
