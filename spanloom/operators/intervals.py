@@ -2,7 +2,9 @@
 
 Every function takes (keys, start, end) columns in seconds. Joins carry the key and a time bucket
 as equality conditions, so a long recording is spread over many tasks; a pair is produced in the
-bucket of its later start and in no other, so no de-duplication is needed.
+bucket of its later start and in no other, so no de-duplication is needed. Spans longer than a few
+buckets are kept at levels of wider buckets, so that their number of copies does not grow with
+their length.
 """
 
 from __future__ import annotations
@@ -17,6 +19,13 @@ from spanloom.operators.scans import Scan, bucketed_scan, time_bucket
 
 KEYS = ("item_id",)
 
+# Each level's buckets are this many times as wide as those of the level below. Spans of up to as many
+# buckets of level 0 stay there; a longer one lies at the level whose buckets are not shorter than it.
+LEVEL_BASE = 8
+TOP_LEVEL = 16
+# A wide bucket holds many short rows: they are dealt over so many groups, and long rows go to each.
+LEVEL_GROUPS = 8
+
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Strict overlap: touching intervals do not overlap, a point only when strictly inside."""
@@ -29,6 +38,38 @@ def in_buckets(df: DataFrame, start: str, end: str, width: float = JOIN_BUCKET_S
     return df.withColumn(name, F.explode(F.sequence(first, F.greatest(first, last))))
 
 
+def span_level(start: Column, end: Column, width: float = JOIN_BUCKET_S) -> Column:
+    """The level of a span: 0 up to LEVEL_BASE buckets, then the first whose buckets are as long."""
+    size = (end - start) / F.lit(float(width))
+    level = F.least(F.ceil(F.log(size) / F.log(F.lit(float(LEVEL_BASE)))), F.lit(TOP_LEVEL))
+    return F.when(size > LEVEL_BASE, level).otherwise(0).cast("int")
+
+
+def level_bucket(at: Column, level: Column, width: float = JOIN_BUCKET_S) -> Column:
+    return F.floor(at / (F.lit(float(width)) * F.pow(F.lit(float(LEVEL_BASE)), level))).cast("bigint")
+
+
+def long_levels(df: DataFrame, span: tuple[str, str], width: float) -> Column:
+    """The levels above 0 that spans of `df` have, TOP_LEVEL at most, as a scalar subquery."""
+    level = span_level(F.col(span[0]), F.col(span[1]), width)
+    return df.agg(F.collect_set(F.when(level > 0, level))).scalar()
+
+
+def in_levels(df: DataFrame, span: tuple[str, str], asked: Column, own: str, width: float) -> DataFrame:
+    """Copies of each row by (__k, __b, __g): in the buckets it touches at its own level, and at the
+    levels above it that the other side has (`asked`). At its own level, unless that is 0, and at those
+    above it a row touches two buckets at most; at its own it goes to every group of them."""
+    start, end = F.col(span[0]), F.col(span[1])
+    leveled = df.withColumns({own: span_level(start, end, width), "__asked": asked})
+    visited = leveled.withColumn("__k", F.explode(F.concat(F.array(own), F.filter("__asked", lambda k: k > F.col(own))))).drop("__asked")
+    first, last = level_bucket(start, F.col("__k"), width), level_bucket(end, F.col("__k"), width)
+    placed = visited.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last))))
+    every = F.sequence(F.lit(0), F.lit(LEVEL_GROUPS - 1))
+    mine = F.array(F.pmod(time_bucket(start, width), F.lit(LEVEL_GROUPS)).cast("int"))
+    groups = F.when(F.col("__k") == 0, F.array(F.lit(0))).when(F.col(own) == F.col("__k"), every).otherwise(mine)
+    return placed.withColumn("__g", F.explode(groups))
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -38,15 +79,18 @@ def overlap_join(
     width: float = JOIN_BUCKET_S,
 ) -> DataFrame:
     """Pairs of rows whose intervals overlap strictly. Column names of the two sides must differ
-    outside the keys."""
+    outside the keys. A pair meets at the level of its longer span, whatever the length of either; the
+    spans of each side are read once more for the levels that they have, so a side that is dear to
+    compute should be settled."""
     (ls, le), (rs, re) = left_span, right_span
+    a = in_levels(left, left_span, long_levels(right, right_span, width), "__own", width)
+    b = in_levels(right, right_span, long_levels(left, left_span, width), "__r_own", width)
     later = F.greatest(F.col(ls), F.col(rs))
-    return (
-        in_buckets(left, ls, le, width)
-        .join(in_buckets(right, rs, re, width), [*keys, "__b"])
-        .where(overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re)) & (F.col("__b") == time_bucket(later, width)))
-        .drop("__b")
-    )
+    level = F.greatest("__own", "__r_own") == F.col("__k")
+    # Two spans of one level meet in every group.
+    once = (F.col("__own") != F.col("__r_own")) | (F.col("__g") == 0)
+    met = overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re)) & level & once & (F.col("__b") == level_bucket(later, F.col("__k"), width))
+    return a.join(b, [*keys, "__k", "__b", "__g"]).where(met).drop("__k", "__b", "__g", "__own", "__r_own")
 
 
 def overlapping(

@@ -143,9 +143,9 @@ def echoes_removed(df: DataFrame) -> DataFrame:
 
 def candidate_spans(published: DataFrame, detector: DataFrame, items: DataFrame, settings: ReviewSettings = ReviewSettings()) -> DataFrame:
     """Silent spans long enough, with the detector words inside, before echo removal."""
-    spans = silent_spans(published, items).where(
-        F.col("end") - F.col("start") + TOLERANCE >= settings.min_silence_s
-    ).select("item_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    silent = silent_spans(published, items).where(F.col("end") - F.col("start") + TOLERANCE >= settings.min_silence_s)
+    # Few rows next to the words; the join asks for their lengths first.
+    spans = settle(silent.select("item_id", F.col("start").alias("span_start"), F.col("end").alias("span_end")))
     pairs = overlap_join(spans, detector.select("item_id", "seq", "start", "end", "text"), ("item_id",), ("span_start", "span_end"), ("start", "end"))
     word = F.struct("start", "end", "seq", "text", "norm")
     filled = (

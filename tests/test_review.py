@@ -162,6 +162,31 @@ def test_overlap_join_at_random(spark):
     assert sorted((r.item_id, r.l, r.r) for r in iv.overlap_join(a, b).collect()) == want
 
 
+def test_overlap_join_of_long_spans(spark):
+    rng = random.Random(14)
+    lengths = [0.0, 0.3, 79.9, 80.0, 80.1, 640.0, 641.0, 5120.0, 5e4, 2.6e6, 4e8]
+    make = lambda n: [(rng.randrange(3), k, *(lambda s: (s, s + rng.choice(lengths)))(float(rng.randrange(-9000, 4_000_000) // 40 * 40)) ) for k in range(n)]
+    for left, right in ((make(150), make(150)), (make(150), [(i, k, s, s + 0.5) for i, k, s, _ in make(150)])):
+        a = spark.createDataFrame([*left, (0, -1, None, 5.0), (0, -2, 9.0, 3.0)], "item_id int, l int, start double, end double")
+        b = spark.createDataFrame([*right, (None, -1, 0.0, 9e9)], "item_id int, r int, r_start double, r_end double")
+        want = sorted((x[0], x[1], y[1]) for x in [*left, (0, -2, 9.0, 3.0)] for y in right if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+        assert len(want) > 500
+        for one, two in ((a, b), (a.repartition(3), b.repartition(5))):
+            assert sorted((r.item_id, r.l, r.r) for r in iv.overlap_join(one, two).collect()) == want
+        empty = b.where("false")
+        assert iv.overlap_join(a, empty).count() == 0 and iv.overlap_join(a.where("false"), b).count() == 0
+
+
+def test_a_span_of_a_month_is_a_few_rows(spark):
+    month = spark.createDataFrame([(1, 3.0, 2_600_003.0)], "item_id int, start double, end double")
+    words = spark.createDataFrame([(1, float(k), k + 0.4) for k in range(0, 2_700_000, 9000)], "item_id int, r_start double, r_end double")
+    stored = iv.in_levels(month, ("start", "end"), iv.long_levels(words, ("r_start", "r_end"), 10.0), "own", 10.0)
+    assert stored.select("__k", "__b").distinct().count() <= 2 and stored.count() <= 2 * iv.LEVEL_GROUPS
+    probes = iv.in_levels(words, ("r_start", "r_end"), iv.long_levels(month, ("start", "end"), 10.0), "own", 10.0)
+    assert probes.select("__k").distinct().count() == 2 and probes.select("__g").distinct().count() > 1
+    assert iv.overlap_join(month, words).count() == sum(k < 2_600_003 and k + 0.4 > 3 for k in range(0, 2_700_000, 9000))
+
+
 def test_as_of(spark):
     probes = spark.createDataFrame([(1, 0.5), (1, 1.0), (1, 5000.0)], "item_id long, t double")
     rows = spark.createDataFrame([(1, 1.0, "a"), (1, 1.0, "b"), (1, 3.0, "c")], "item_id long, start double, v string")
