@@ -98,13 +98,13 @@ class WordEncoder:
     """A byte-level BPE of the tokenizers library, asked once per word: a text is cut before spaces
     between two characters that are no white space, where a new word begins in any case. A word of
     letters and the ASCII punctuation behind it are words of their own to the tokenizer, so they are
-    asked for one by one."""
+    asked for one by one. A text that holds an added token of the tokenizer goes to it whole."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(content)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         # A run of letters is not cut further: no search for the words in it.
         self.letters = Tokenizer.from_str(content)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -116,8 +116,9 @@ class WordEncoder:
     def _all(library, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
+        if any(token in text for token in self.added):
+            return [text]
         if text[:1] == " " or text[-1:] == " " or any(rare in text for rare in UNEVEN):
             return CUT.split(text)
         return text.split(" ")
@@ -186,8 +187,9 @@ def _segments(content: str, end_id: int, limit: int):
 def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> None:
     """Write the ids of `docs` (doc_id, text) in ascending order of doc_id, `end_id` after each
     document. Null texts are empty; a null doc_id comes first; rows of one doc_id follow each other in the
-    order of their texts' hashes, spread over parts if they are many. Special tokens are not added
-    and not recognised in texts. An empty table gives a table without segments."""
+    order of their texts' hashes, spread over parts if they are many. Special tokens are not added;
+    one that a text spells out has its own id, as the library gives it. An empty table gives a table
+    without segments."""
     ready(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         content = file.read()

@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def ids_of(text):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     return [*library.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -31,8 +30,9 @@ def test_codes_round_trip_and_random_access():
 
 def test_words_like_the_library():
     encoder = tokenids.WordEncoder(open(PATH, encoding="utf-8").read())
-    texts = ["", " ", "a", "it's  two", " x y ", "tab\t end\n new 12 34 !? 'll", "naïve 日本 語", "a\x1c b \xa0c d", "<|endoftext|> x <|endoftext|>", "we're o'clock' l'été, x'' a-b- $$$ c$$$ ...d x² ½, ﬁ."]
+    texts = ["", " ", "a", "it's  two", " x y ", "tab\t end\n new 12 34 !? 'll", "naïve 日本 語", "a\x1c b \xa0c d", "<|endoftext|> x <|endoftext|>", "a <|endoftext|> b", " x<|endoftext|>y  z", "<|endoftext|", "we're o'clock' l'été, x'' a-b- $$$ c$$$ ...d x² ½, ﬁ."]
     assert [f.tolist() for f in encoder.encode(texts, 2)] == [ids_of(t) for t in texts]
+    assert 50256 in ids_of("a <|endoftext|> b")
 
 
 def check(spark, rows, df, segment):
@@ -59,6 +59,6 @@ def test_documents(spark):
 
 
 def test_edges(spark, docs):
-    rows = [(5, "five five"), (1, None), (2, ""), (2, ""), (None, "none"), (9, "word " * 5000), (-3, "x")]
+    rows = [(5, "five five"), (1, None), (2, ""), (2, ""), (None, "none"), (9, "word " * 5000), (-3, "x"), (4, "end <|endoftext|> of text"), (6, "<|endoftext|>")]
     check(spark, rows, docs(rows), 100)
     check(spark, [], docs([]), 100)
