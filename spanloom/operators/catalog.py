@@ -161,10 +161,9 @@ def chapter_selection(names: DataFrame, prefix: str, chapters: int, per_chapter:
     from pyspark.sql import Window
 
     flac = names.where(F.startswith("name", F.lit(prefix)) & F.endswith("name", F.lit(".flac"))).withColumn("chapter", F.regexp_extract("name", r"^(.*)/[^/]*$", 1))
-    # A fixed number of chapters: small enough to broadcast whatever the archive's size.
     wanted = flac.select("chapter").distinct().orderBy("chapter").limit(chapters)
     rank = F.row_number().over(Window.partitionBy("chapter").orderBy("name"))
-    files = flac.join(F.broadcast(wanted), "chapter").withColumn("rank", rank).where(F.col("rank") <= per_chapter)
+    files = flac.join(wanted, "chapter").withColumn("rank", rank).where(F.col("rank") <= per_chapter)
     ids = F.slice(F.split("chapter", "/"), -2, 2)
     trans = F.concat(F.array_join(ids, "-"), F.lit(".trans.txt"))
     audio = files.select(F.col("name").alias("member"), F.concat(F.lit(folder + "/"), wd.file_name("name")).alias("target"))
