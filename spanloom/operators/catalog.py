@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import wording as wd
 from spanloom.operators.scans import Scan, bucketed_scan
+from spanloom.sources.digests import chain_digests
 
 # ---- fixed values ---------------------------------------------------------------------------
 AUDIO_EXTENSIONS = (
@@ -88,9 +89,7 @@ def place_parts(parts: DataFrame) -> DataFrame:
 
 def parts_digest(parts: DataFrame) -> DataFrame:
     """(folder, chain, sha256, bytes): the digest of the joined hex digests in part order."""
-    row = F.struct("part", "sha256")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["sha256"]), "")
-    return parts.groupBy("folder", "chain").agg(F.sha2(joined, 256).alias("sha256"), F.sum("bytes").alias("bytes"))
+    return chain_digests(parts, ["folder", "chain"], ["part"])
 
 
 def output_base(files: DataFrame) -> DataFrame:

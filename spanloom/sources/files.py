@@ -6,7 +6,7 @@ runs one job.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.config import HISTORY_SCHEMA, LOCK_SCHEMA, REVIEW_SCHEMA, SESSION_SCHEMA, TRANSCRIPT_SCHEMA
 from spanloom.operators import cues as cu
 from spanloom.operators import documents as dc
+from spanloom.sources.digests import file_digests
 
 FORMATS = ("text", "srt", "vtt", "transcript", "review", "run")
 
@@ -89,13 +90,16 @@ def write_lock(lock: DataFrame, path: str) -> None:
 
 def inventory(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """(path, folder, name, bytes, modified[, sha256]) of the files under a folder; contents are
-    read only for digests."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = files.select(
+    read only for digests, large ones block by block. Files without bytes are not listed."""
+    if digests:
+        files = file_digests(spark, path)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        files = found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.select(
         "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), *([F.sha2("content", 256).alias("sha256")] if digests else []),
+        *files.columns[1:],
     )
-    return rows
 
 
 def recorded_source(spark: SparkSession, path: str) -> DataFrame:
@@ -122,10 +126,11 @@ def rendered(docs: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
     return (cu.srt_blocks(cues) if kind == "srt" else cu.vtt_blocks(cues)), ["at"]
 
 
-def export_outputs(docs: DataFrame, destination: str, stem: str, formats: Iterable[str], copies: dict[str, DataFrame] | None = None) -> DataFrame:
+def export_outputs(docs: DataFrame, destination: str, stem: str, formats: Iterable[str], copies: dict[str, DataFrame] | None = None, write: Callable[..., None] = write_rows) -> DataFrame:
     """Write the chosen formats to destination/stem.<format>; review and run are copied from the
     given tables and skipped without one. One failing writer does not stop the others: the result
-    says per format whether it was written, and why not."""
+    says per format whether it was written, and why not. `write` places the rows of a format:
+    `write_rows`, or `item_files.write_items` for a file per item that replaces the last whole."""
     wanted = list(dict.fromkeys(formats))
     unknown = sorted(set(wanted) - set(FORMATS))
     if unknown:
@@ -144,7 +149,7 @@ def export_outputs(docs: DataFrame, destination: str, stem: str, formats: Iterab
                 write_documents(copies[kind], target)
             else:
                 rows, order = rendered(docs, kind)
-                write_rows(rows, target, order)
+                write(rows, target, order)
             report.append((kind, target, True, None))
         except Exception as exc:  # noqa: BLE001 - reported per format
             report.append((kind, target, False, f"{type(exc).__name__}: {exc}"))
