@@ -79,3 +79,4 @@ REVIEW_SCHEMA = "spanloom.review-set.v1"
 SESSION_SCHEMA = "spanloom.review-session.v1"
 HISTORY_SCHEMA = "spanloom.history.v1"
 LOCK_SCHEMA = "spanloom.lock.v1"
+BATCH_SCHEMA = "spanloom.batch.v1"

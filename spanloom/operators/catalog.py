@@ -21,6 +21,8 @@ VIDEO_EXTENSIONS = (
 )
 JOIN_TOLERANCE_S = 2.0
 MAX_JOIN_GAP_S = 900.0
+ITEM_KINDS = ("hvb-call", "ami-meeting", "librispeech-utterance")
+CALL_TRANSCRIPT = "transcript.json"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -100,9 +102,26 @@ def output_base(files: DataFrame) -> DataFrame:
     return keyed.join(stems, ["folder", "__stem"]).withColumn("base", base).drop("__stem", "__shared")
 
 
+def claim_witnesses(claims: DataFrame) -> DataFrame:
+    """Of `claims` (name, recorded) at most 36 a name, such that a path differs from one of the
+    name's recordings just when it differs from one of these. Paths of one class (absolute or not; no,
+    one or more steps) are told apart by one of three texts, whichever the other path is; if any
+    recording's text differs from the other path's, so does the least or the greatest."""
+    recorded = F.col("recorded")
+    texts = [wd.canonical_path(recorded), wd.last_parts(recorded, F.lit(2)), wd.last_parts(recorded, F.lit(1))]
+    steps = F.size(F.filter(F.split(recorded, "/"), lambda x: (x != "") & (x != ".")))
+    rows = claims.where(recorded.isNotNull()).select(
+        "name", "recorded", F.startswith(recorded, F.lit("/")).alias("__abs"), F.least(steps, F.lit(2)).alias("__steps"), *[t.alias(f"__t{i}") for i, t in enumerate(texts)]
+    )
+    ends = [pick(recorded, F.col(f"__t{i}")) for i in range(len(texts)) for pick in (F.min_by, F.max_by)]
+    found = rows.groupBy("name", "__abs", "__steps").agg(F.array_distinct(F.array(*ends)).alias("__ends"))
+    return found.select("name", F.explode("__ends").alias("recorded"))
+
+
 def output_paths(files: DataFrame, claims: DataFrame) -> DataFrame:
     """`files` (path, parent, base) with output: base, or, where `claims` (base, recorded) gives a
-    name to another recording, parent-base, then base with a short digest of the path."""
+    name to another recording, parent-base, then base with a short digest of the path. Claims without a
+    recording claim nothing; however many there are of a name, a file meets a bounded number."""
     digest = F.substring(F.sha1(F.lower(wd.canonical_path("path")).cast("binary")), 1, 8)
     options = F.array(
         F.struct(F.lit(0).alias("rank"), F.col("base").alias("name")),
@@ -110,7 +129,7 @@ def output_paths(files: DataFrame, claims: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("rank"), F.concat("base", F.lit("-"), digest).alias("name")),
     )
     each = files.select("path", F.explode(options).alias("o")).select("path", "o.*").where(F.col("name").isNotNull())
-    taken = each.join(claims.select(F.col("base").alias("name"), "recorded"), "name", "left")
+    taken = each.join(claim_witnesses(claims.select(F.col("base").alias("name"), "recorded")), "name", "left")
     theirs = F.col("recorded").isNotNull() & ~wd.same_recording("recorded", "path")
     free = taken.groupBy("path", "rank", "name").agg(F.bool_or(theirs).alias("claimed"))
     chosen = free.groupBy("path").agg(
@@ -170,6 +189,38 @@ def chapter_selection(names: DataFrame, prefix: str, chapters: int, per_chapter:
     return audio.unionByName(text)
 
 
+def list_items(present: DataFrame, calls: DataFrame, meetings: DataFrame, utterances: DataFrame) -> DataFrame:
+    """(section, place, item_id, corpus, kind, source, window_start, window_end) of every item that a
+    store can build; by section, place and item_id they are in their fixed order. `present` (key, file)
+    lists the store. `calls` (key, prefix, call, place) are items whose transcript is there. `meetings`
+    (key, prefix, meeting, microphone, source, place, window_start, window_end) are two items each, first
+    all windows, then all whole meetings, where the store has the corpus at all. `utterances` (key,
+    prefix, folder) makes an item of every .flac file that lies in the folder itself."""
+    call, meeting, utterance = map(F.lit, ITEM_KINDS)
+    none = F.lit(None).cast("double")
+    transcript = calls.withColumn("file", F.concat(F.lit("calls/"), "call", F.lit("/" + CALL_TRANSCRIPT)))
+    spoken = transcript.join(present, ["key", "file"], "left_semi").select(
+        F.lit(0).alias("section"), F.col("place").cast("bigint").alias("place"), F.concat("prefix", F.lit("/"), "call").alias("item_id"),
+        F.col("key").alias("corpus"), call.alias("kind"), F.col("call").alias("source"), none.alias("window_start"), none.alias("window_end"),
+    )
+    tag = F.format_string("%d-%d", F.col("window_start").cast("bigint"), F.col("window_end").cast("bigint"))
+    uses = F.array(
+        F.struct(F.lit(1).alias("section"), tag.alias("tag"), F.col("window_start").cast("double").alias("from"), F.col("window_end").cast("double").alias("to")),
+        F.struct(F.lit(2).alias("section"), F.lit("full").alias("tag"), none.alias("from"), none.alias("to")),
+    )
+    met = meetings.join(present, "key", "left_semi").withColumn("use", F.explode(uses)).select(
+        "use.section", F.col("place").cast("bigint").alias("place"), F.concat_ws("/", "prefix", "meeting", "microphone", "use.tag").alias("item_id"),
+        F.col("key").alias("corpus"), meeting.alias("kind"), "source", F.col("use.from").alias("window_start"), F.col("use.to").alias("window_end"),
+    )
+    name = wd.file_name("file")
+    inside = F.col("file") == F.concat("folder", F.lit("/"), name)
+    said = present.select("key", "file").distinct().join(utterances, "key").where(inside & F.endswith("file", F.lit(".flac"))).select(
+        F.lit(3).alias("section"), F.lit(None).cast("bigint").alias("place"), F.concat("prefix", F.lit("/"), wd.stem(name)).alias("item_id"),
+        F.col("key").alias("corpus"), utterance.alias("kind"), name.alias("source"), none.alias("window_start"), none.alias("window_end"),
+    )
+    return spoken.unionByName(met).unionByName(said)
+
+
 def select_items(items: DataFrame, patterns: Iterable[str] | None, column: str = "item_id") -> DataFrame:
     """Items whose id matches any shell pattern (* ? [..]); all without patterns."""
     import re

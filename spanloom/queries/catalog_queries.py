@@ -20,8 +20,10 @@ from spanloom.plans import report as rp
 from spanloom.queries import Registry
 from spanloom.queries.review_queries import EVALUATION, MARKS
 from spanloom.queries.scoring_queries import LINES, scene_pass
-from spanloom.session import settle
+from spanloom.session import scratch, settle
 from spanloom.sources import annotations as an
+from spanloom.sources import digests as dg
+from spanloom.sources import item_files as itf
 from spanloom.sources import tokens as tk
 
 
@@ -111,17 +113,72 @@ def w9(spark, d):
 @R.add(
     "X7_output_paths",
     f"""WITH {FILES}, src AS (SELECT page_id, '/' || folder || '/' || page_id || '/' || name AS path, folder AS parent, regexp_replace(name, '[.][^.]*$', '') AS base FROM files),
-c AS (SELECT base, min(path) AS recorded FROM src WHERE page_id % 2 = 0 GROUP BY base)
-SELECT page_id, CASE WHEN a.recorded IS NULL OR lower(a.recorded) = lower(path) THEN src.base ELSE src.parent || '-' || src.base END AS output FROM src LEFT JOIN c a ON a.base = src.base""",
+c AS (SELECT base, path AS recorded FROM src WHERE page_id % 5 <> 0 UNION ALL SELECT parent || '-' || base, path FROM src WHERE page_id % 2 = 0),
+n AS (SELECT page_id, path, 0 AS rank, base AS name, base FROM src UNION ALL SELECT page_id, path, 1, parent || '-' || base, base FROM src UNION ALL SELECT page_id, path, 2, base || '-' || sha1(lower(path))[:8], base FROM src),
+k AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.base = n.name AND lower(c.recorded) <> lower(n.path)))
+SELECT page_id, arg_min(name, rank) AS output FROM k GROUP BY page_id""",
 )
 def x7(spark, d):
+    """Names claimed by many recordings each, so that all three kinds of name are given."""
     files = page_files(spark, d).select(
         "page_id", F.concat(F.lit("/"), "folder", F.lit("/"), F.col("page_id").cast("string"), F.lit("/"), "name").alias("path"), F.col("folder").alias("parent"), wd.stem("name").alias("base")
     )
-    claims = files.where("page_id % 2 = 0").groupBy("base").agg(F.min("path").alias("recorded"))
+    nested = files.where("page_id % 2 = 0").select(F.concat("parent", F.lit("-"), "base").alias("base"), F.col("path").alias("recorded"))
+    claims = files.where("page_id % 5 <> 0").select("base", F.col("path").alias("recorded")).unionByName(nested)
     return ct.output_paths(files, claims).select("page_id", "output")
 
 
+@R.add(
+    "S18_list_items",
+    f"""WITH {FILES}, f AS (SELECT page_id, folder AS key, name FROM files WHERE page_id % 4 <> 0), k AS (SELECT DISTINCT key FROM f), r AS (SELECT unnest(range(5)) AS n)
+SELECT 0 AS section, page_id AS place, 'c/' || page_id AS item_id, key AS corpus, 'hvb-call' AS kind, CAST(page_id AS VARCHAR) AS source, CAST(NULL AS DOUBLE) AS window_start, CAST(NULL AS DOUBLE) AS window_end FROM f WHERE page_id % 3 = 0
+UNION ALL SELECT 1, n, 'm/' || key || '/' || n || '/' || (10 * n) || '-' || (10 * n + 5), key, 'ami-meeting', n || '.wav', 10.0 * n, 10.0 * n + 5 FROM k, r
+UNION ALL SELECT 2, n, 'm/' || key || '/' || n || '/full', key, 'ami-meeting', n || '.wav', NULL, NULL FROM k, r
+UNION ALL SELECT DISTINCT 3, CAST(NULL AS BIGINT), 'u/' || regexp_replace(name, '[.][^.]*$', ''), key, 'librispeech-utterance', regexp_replace(name, '[.][^.]*$', '.flac'), NULL::DOUBLE, NULL::DOUBLE FROM f WHERE page_id % 3 = 1 AND page_id % 2 = 1""",
+)
+def s18(spark, d):
+    """A store of three kinds of file, of which every fourth file is missing."""
+    files = page_files(spark, d).withColumnRenamed("folder", "key")
+    flac = F.regexp_replace("name", r"[.][^.]*$", ".flac")
+    call = F.concat(F.lit("calls/"), F.col("page_id").cast("string"), F.lit("/transcript.json"))
+    spoken = F.concat(F.when(F.col("page_id") % 2 == 1, "utterances/").otherwise("utterances/deeper/"), flac)
+    file = F.when(F.col("page_id") % 3 == 0, call).when(F.col("page_id") % 3 == 1, spoken).otherwise(F.col("name"))
+    present = files.where("page_id % 4 <> 0").select("key", file.alias("file"))
+    calls = files.where("page_id % 3 = 0").select("key", F.lit("c").alias("prefix"), F.col("page_id").cast("string").alias("call"), F.col("page_id").alias("place"))
+    corpora = files.select("key").distinct()
+    meetings = corpora.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        "key", F.lit("m").alias("prefix"), F.col("key").alias("meeting"), F.col("place").cast("string").alias("microphone"),
+        F.concat(F.col("place").cast("string"), F.lit(".wav")).alias("source"), "place", (F.col("place") * 10).alias("window_start"), (F.col("place") * 10 + 5).alias("window_end"),
+    )
+    return ct.list_items(present, calls, meetings, corpora.select("key", F.lit("u").alias("prefix"), F.lit("utterances").alias("folder")))
+
+
+@R.add("K1_item_files", "SELECT conv_id AS item_id, sha256(string_agg(text || chr(10), '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY conv_id")
+def k1(spark, d):
+    """A text file per conversation, published twice (the second write stands) and read back."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), "turn", F.col("text").alias("value"))
+    path = scratch(spark, "item-files")
+    itf.write_items(turns.withColumn("value", F.upper("value")), path, ["turn"])
+    itf.write_items(turns, path, ["turn"])
+    whole = itf.read_items(spark, path).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "")
+    return whole.select(F.col("item_id").cast("bigint").alias("item_id"), F.sha2(text, 256).alias("sha256"))
+
+
+@R.add(
+    "S12_file_digests",
+    "SELECT page_id, sha256(coalesce(html, '') || chr(10)) AS sha256, CAST(octet_length(encode(coalesce(html, '') || chr(10))) AS BIGINT) AS bytes FROM pages",
+)
+def s12(spark, d):
+    """A file per page, hashed as files: those of up to 2,000 bytes as values, longer ones as streams."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.col("html").alias("value"))
+    path = scratch(spark, "page-files")
+    itf.write_items(pages, path, [], "html")
+    found = dg.file_digests(spark, f"{path}/{itf.versions(path)[-1]}", 2000)
+    page = F.regexp_extract("path", r"(\d+)\.html$", 1).cast("bigint")
+    return found.select(page.alias("page_id"), "sha256", "bytes")
+
+
 @R.add(
     "J3_verify_store",
     f"""WITH {FILES} SELECT folder AS key, page_id, CASE WHEN page_id % 11 = 0 THEN 'missing' WHEN page_id % 4 = 0 THEN 'unpinned' WHEN page_id % 7 = 0 THEN 'mismatch' ELSE 'verified' END AS status FROM files""",

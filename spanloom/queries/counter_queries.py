@@ -9,6 +9,8 @@ from spanloom.functions import text as tx
 from spanloom.operators import catalog as ct
 from spanloom.operators import counters as cn
 from spanloom.queries import Registry
+from spanloom.session import scratch, settle
+from spanloom.sources import files as fl
 
 R = Registry()
 
@@ -50,16 +52,48 @@ def a10(spark, d):
     return out.withColumn("kinds", F.when(F.size("seconds_by_kind") > 0, kinds)).drop("seconds_by_kind")
 
 
+# The last class and text of a failed order, by ship date, then class and text.
+OUTCOMES = """o AS (SELECT o_orderkey AS path, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'cancelled' END AS status FROM orders),
+l AS (SELECT l_orderkey AS path, l_returnflag AS c, l_linestatus || l_linenumber AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_returnflag DESC, l_linestatus || l_linenumber DESC) AS n FROM lineitem),
+rows AS (SELECT o.path, status, c AS error_class, e AS error FROM o LEFT JOIN l ON l.path = o.path AND n = 1 AND status = 'failed')"""
+
+
+def order_outcomes(spark, d):
+    """Orders as sources: status O finished; those of status F failed once per line, the last counts."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), "o_orderstatus")
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("error_class"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("error"), F.col("l_shipdate").alias("at")
+    )
+    failures = lines.join(orders.where("o_orderstatus = 'F'").select("path"), "path", "left_semi")
+    return ct.outcomes(orders.select("path"), orders.where("o_orderstatus = 'O'"), failures)
+
+
 @R.add(
     "K8_batch_rows",
-    """SELECT 'b1' AS batch, 'standard' AS profile, o_orderkey AS path, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'cancelled' END AS status,
-  CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS error_class FROM orders""",
+    f"""WITH {OUTCOMES} SELECT 'b1' AS batch, 'standard' AS profile, path, CASE WHEN status = 'failed' AND error_class IS NULL THEN 'cancelled' ELSE status END AS status, error_class, error FROM rows""",
 )
 def k8(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), "o_orderstatus", "o_orderpriority")
-    failures = orders.where("o_orderstatus = 'F'").select("path", F.col("o_orderpriority").alias("error_class"), F.lit("text").alias("error"), F.lit(1).alias("at"))
-    rows = cn.batch_rows(ct.outcomes(orders.select("path"), orders.where("o_orderstatus = 'O'"), failures), "b1", "standard")
-    return rows.drop("error")
+    return cn.batch_rows(order_outcomes(spark, d), "b1", "standard")
+
+
+@R.add(
+    "K8_batch_record",
+    f"""WITH {OUTCOMES}, s AS (SELECT *, CASE WHEN status = 'failed' AND error_class IS NULL THEN 'cancelled' ELSE status END AS st, path % 3 AS b FROM rows)
+SELECT 'b/' || b AS batch, 'standard' AS profile, CAST(b AS INTEGER) AS speakers, 0.5::DOUBLE AS threshold, count(*) FILTER (st = 'ok') AS n_ok, count(*) FILTER (st = 'failed') AS n_failed,
+  count(*) FILTER (st = 'cancelled') AS n_cancelled, sha256(coalesce(string_agg(path || ':' || error_class || ':' || error, ',' ORDER BY path) FILTER (st = 'failed'), '')) AS failures FROM s GROUP BY b""",
+)
+def k8_record(spark, d):
+    """Three batches, written and read back, with their failures. The first is written twice."""
+    path = scratch(spark, "batches")
+    rows = settle(order_outcomes(spark, d).withColumn("path", F.col("path").cast("string")))
+    for number in (0, 0, 1, 2):
+        mine = rows.where(F.col("path").cast("bigint") % 3 == number)
+        fl.write_batch(mine, path, f"b/{number}", {"profile": "standard", "speakers": number, "threshold": 0.5})
+    batches, stored = fl.read_batches(spark, path)
+    line = F.struct(F.col("path").cast("bigint").alias("p"), F.concat_ws(":", "path", "error_class", "error").alias("t"))
+    listed = ct.failed(stored).groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), ",").alias("t"))
+    out = batches.join(listed, "batch", "left")
+    return out.select("batch", "profile", "speakers", "threshold", "n_ok", "n_failed", "n_cancelled", F.sha2(F.coalesce("t", F.lit("")), 256).alias("failures"))
 
 
 @R.add(

@@ -6,12 +6,14 @@ runs one job.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import json
+from collections.abc import Callable, Iterable, Mapping
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.config import HISTORY_SCHEMA, LOCK_SCHEMA, REVIEW_SCHEMA, SESSION_SCHEMA, TRANSCRIPT_SCHEMA
+from spanloom.config import BATCH_SCHEMA, HISTORY_SCHEMA, LOCK_SCHEMA, REVIEW_SCHEMA, SESSION_SCHEMA, TRANSCRIPT_SCHEMA
 from spanloom.operators import cues as cu
 from spanloom.operators import documents as dc
 from spanloom.sources.digests import file_digests
@@ -169,3 +171,29 @@ def append_missing(rows: DataFrame, path: str, keys: Iterable[str]) -> None:
     new = rows if done is None else rows.join(done, keys, "left_anti")
     new = new.groupBy(*keys).agg(F.min(F.struct(*rows.columns)).alias("__row")).select("__row.*")
     new.write.mode("append").parquet(path)
+
+
+BATCH_FACTS = "struct<schema:string,version:string,started_utc:string,ended_utc:string,profile:string,models_root:string,speakers:int,threshold:double,plan:map<string,string>>"
+
+
+def write_batch(outcomes: DataFrame, path: str, batch: str, facts: Mapping[str, object]) -> None:
+    """The record of a batch as rows under path/batch=<batch>: one per source of `outcomes` (path,
+    status, error_class, error), and one without a path that carries `facts` (fields of BATCH_FACTS),
+    so that a batch of no sources has a record too. Written again, it replaces itself."""
+    spark = outcomes.sparkSession
+    head = spark.createDataFrame([(json.dumps({"schema": BATCH_SCHEMA} | dict(facts)),)], "facts string")
+    rows = outcomes.select("path", "status", "error_class", "error").unionByName(head.select(F.from_json("facts", BATCH_FACTS).alias("facts")), allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(f"{path}/batch={quote(batch, safe='')}")
+
+
+def read_batches(spark: SparkSession, path: str, schema_name: str = BATCH_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(batches, rows): a row per batch with its facts and the number of its sources by outcome, and a
+    row per source (batch, path, status, error_class, error); the failures are `catalog.failed(rows)`.
+    Batches of another schema give neither."""
+    schema = f"path string, status string, error_class string, error string, facts {BATCH_FACTS}, batch string"
+    stored = spark.read.schema(schema).parquet(path)
+    counts = {f"n_{s}": F.count_if(F.col("status") == s) for s in ("ok", "failed", "cancelled")}
+    found = stored.groupBy("batch").agg(F.max(F.when(F.col("facts").isNotNull(), F.to_json("facts"))).alias("facts"), *[c.alias(n) for n, c in counts.items()])
+    found = found.withColumn("facts", F.from_json("facts", BATCH_FACTS)).where(F.col("facts.schema") == schema_name)
+    rows = stored.where("path IS NOT NULL").drop("facts").join(found.select("batch"), "batch", "left_semi")
+    return found.select("batch", "facts.*", *counts), rows.select("batch", "path", "status", "error_class", "error")
