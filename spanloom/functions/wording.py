@@ -168,6 +168,16 @@ def last_parts(path: Column | str, count: Column) -> Column:
     return F.slice(parts, F.size(parts) - n + 1, n)
 
 
+def general(x: Column | str) -> Column:
+    """A number of [0.0001, 1000000) in six significant digits without trailing zeros; halves of
+    the last digit, by the number's shortest decimal text, go away from zero."""
+    x = _c(x)
+    text = F.format_string("%.0f", x)
+    for place in range(5, -5, -1):
+        text = F.when(F.abs(x) < 10.0**place, F.format_string(f"%.{6 - place}f", x)).otherwise(text)
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 def same_recording(recorded: Column | str, source: Column | str) -> Column:
     """Equal when both are absolute and canonically the same, else equal in their last two parts."""
     a, b = _c(recorded), _c(source)

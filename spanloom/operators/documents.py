@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import REVIEW_SCHEMA, TRANSCRIPT_SCHEMA
 from spanloom.functions import wording as wd
+from spanloom.operators.counters import approximate_word_times
 from spanloom.operators.cues import LISTENER, marked_text, transcript_entries
 from spanloom.operators.intervals import overlap_join, union_seconds
 from spanloom.operators.labels import UNLABELLED_NAME
@@ -24,12 +25,30 @@ MARK = f"struct<start:double,end:double,span_start:double,span_end:double,detect
 SCENE = "struct<start:double,end:double,kind:string,label:string,probability:double>"
 SPEAKER = "struct<label:string,name:string,words:bigint,seconds:double>"
 APPLIED = "struct<text:int,nothing:int,open:int,listener_words:int>"
-DOCUMENT = (
-    "schema string, source struct<name:string,sha256:string,bytes:bigint,outputs:string,"
-    "parts:array<struct<name:string,sha256:string,bytes:bigint,offset_s:double,duration_s:double>>>, duration_s double, produced_utc string, profile string, "
-    f"speakers array<{SPEAKER}>, lines array<{LINE}>, marks array<{MARK}>, "
-    f"review struct<marks:int,seconds:double,fraction:double>, scenes array<{SCENE}>, review_applied {APPLIED}"
+PARTS = "array<struct<name:string,sha256:string,bytes:bigint,offset_s:double,duration_s:double>>"
+ENGINE = "struct<engine:string,model:string,preset:string,word_timing:string>"
+DIARIZATION = (
+    "struct<engine:string,labels_found:int,settings:struct<num_speakers:int,threshold:double,labels_folded:int>,seconds_per_label:map<string,double>>"
 )
+NON_SPEECH = "struct<seconds_by_kind:map<string,double>,suppressed_publisher_words:bigint,suppressed_detector_words:bigint,tagged:boolean>"
+# What a run tells of itself; documents without these columns are rendered as if they were null.
+FACTS = {
+    "version": "string", "engines": f"struct<publisher:{ENGINE},detector:{ENGINE},diarization:{DIARIZATION}>", "speaker_failure": "string",
+    "non_speech": NON_SPEECH, "overview": "struct<scale:int,peaks:array<int>>",
+}
+
+
+def _document(source: str = "", applied: str = "", more: str = "") -> str:
+    return (
+        f"schema string, source struct<name:string,sha256:string,bytes:bigint,outputs:string,parts:{PARTS}{source}>, "
+        f"duration_s double, produced_utc string, profile string, speakers array<{SPEAKER}>, lines array<{LINE}>, marks array<{MARK}>, "
+        f"review struct<marks:int,seconds:double,fraction:double>, scenes array<{SCENE}>, review_applied {APPLIED[:-1]}{applied}>{more}"
+    )
+
+
+DOCUMENT = _document()
+FULL_DOCUMENT = _document(",video:boolean", ",applied_utc:string", "".join(f", {c} {t}" for c, t in FACTS.items()))
+OVERVIEW_SCALE = 100
 
 
 def _listed(df: DataFrame, order: list[str], fields: dict[str, Column], type_: str, name: str) -> DataFrame:
@@ -40,7 +59,8 @@ def _listed(df: DataFrame, order: list[str], fields: dict[str, Column], type_: s
 
 def build_document(facts: DataFrame, lines: DataFrame, marks: DataFrame, scenes: DataFrame, speakers: DataFrame) -> DataFrame:
     """One nested document per item. `facts` has (item_id, name, sha256, bytes, audio_s, profile,
-    produced_utc); `speakers` is `named_speakers` of the lines."""
+    produced_utc) and, where they are known, parts, output_base, video and the columns of FACTS;
+    an overview may come as its array of peaks. `speakers` is `named_speakers` of the lines."""
     null = lambda t: F.lit(None).cast(t)
     src = F.col("src") if "src" in lines.columns else null("string")
     line = {"start": F.col("start"), "end": F.col("end"), "speaker": F.col("speaker"), "text": F.col("text"), "src": src, "split_from": null("int"), "words": F.col("words")}
@@ -59,16 +79,37 @@ def build_document(facts: DataFrame, lines: DataFrame, marks: DataFrame, scenes:
     empty = {n: F.coalesce(n, F.array().cast(f"array<{t}>")) for n, t in (("lines", LINE), ("marks", MARK), ("scenes", SCENE), ("speakers", SPEAKER))}
     seconds = F.coalesce("__review_s", F.lit(0.0))
     doc = doc.withColumns(empty)
-    parts = F.col("parts") if "parts" in facts.columns else null("array<struct<name:string,sha256:string,bytes:bigint,offset_s:double,duration_s:double>>")
+    given = lambda c, t: F.col(c).cast(t) if c in facts.columns else null(t)
+    outputs = F.coalesce(F.nullif(given("output_base", "string"), F.lit("")), wd.stem("name"))
+    known = {c: given(c, t) for c, t in FACTS.items() if c != "overview"}
+    if dict(facts.dtypes).get("overview", "").startswith("array"):
+        known["overview"] = F.struct(F.lit(OVERVIEW_SCALE).alias("scale"), F.col("overview").cast("array<int>").alias("peaks"))
+    else:
+        known["overview"] = given("overview", FACTS["overview"])
+    known["non_speech"] = F.coalesce(known["non_speech"], _no_non_speech())
     return doc.select(
         "item_id", F.lit(TRANSCRIPT_SCHEMA).alias("schema"),
-        F.struct("name", "sha256", F.col("bytes").cast("bigint").alias("bytes"), wd.stem("name").alias("outputs"), parts.alias("parts")).alias("source"),
+        F.struct("name", "sha256", F.col("bytes").cast("bigint").alias("bytes"), outputs.alias("outputs"), given("parts", PARTS).alias("parts"), F.coalesce(given("video", "boolean"), F.lit(False)).alias("video")).alias("source"),
         F.col("audio_s").alias("duration_s"), "produced_utc", "profile", "speakers", "lines", "marks",
         F.struct(F.size("marks").alias("marks"), seconds.alias("seconds"), ratio(seconds, F.col("audio_s")).alias("fraction")).alias("review"),
-        "scenes", null(APPLIED).alias("review_applied"),
+        "scenes", null(f"{APPLIED[:-1]},applied_utc:string>").alias("review_applied"), *[c.alias(n) for n, c in known.items()],
     )
 
 
+def _no_non_speech() -> Column:
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    zero = F.lit(0).cast("bigint")
+    return F.struct(
+        none.alias("seconds_by_kind"), zero.alias("suppressed_publisher_words"), zero.alias("suppressed_detector_words"), F.lit(False).alias("tagged")
+    ).cast(NON_SPEECH)
+
+
+def with_non_speech(facts: DataFrame, totals: DataFrame) -> DataFrame:
+    """`facts` with non_speech from `counters.non_speech_totals`."""
+    fields = ("seconds_by_kind", "suppressed_publisher_words", "suppressed_detector_words", "tagged")
+    return facts.join(totals.select("item_id", F.struct(*fields).cast(NON_SPEECH).alias("non_speech")), "item_id", "left")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("item_id", F.posexplode("lines").alias("line", "l")).select("item_id", "line", "l.*")
 
@@ -267,8 +308,34 @@ def set_aside_note(published: Column, detector: Column) -> Column:
     return F.when((published > 0) | (detector > 0), text)
 
 
+def engine_line(facts: Column) -> Column:
+    """An engine and its model, with the preset behind; none without facts."""
+    name = F.concat_ws(" ", F.nullif(facts["engine"], F.lit("")), F.nullif(facts["model"], F.lit("")))
+    return F.when(facts.isNull(), F.lit("none")).when(F.coalesce(facts["preset"], F.lit("")) != "", F.concat(name, F.lit(" ("), facts["preset"], F.lit(")"))).otherwise(name)
+
+
+def label_line(facts: Column) -> Column:
+    """The engine that told the speakers apart and how it was set; NULL without one."""
+    settings = facts["settings"]
+    count, threshold, folded = settings["num_speakers"], settings["threshold"], settings["labels_folded"]
+    fixed = F.format_string(", speaker count fixed at %d (a speaker the models cannot separate is then hidden inside another label)", count)
+    small = F.when(folded > 0, F.format_string(", %d small %s folded into the nearest voice", folded, wd.plural(folded, "label", "labels"))).otherwise("")
+    detail = F.when(count > 0, fixed).when(threshold.isNotNull(), F.concat(F.lit(", clustering threshold "), wd.general(threshold), small)).otherwise("")
+    return F.when(facts.isNotNull(), F.concat(F.lit("Speaker labels: "), F.coalesce(facts["engine"], F.lit("")), detail))
+
+
+APPROXIMATE_NOTE = "; its word times are approximate, so the review list may miss short gaps"
+
+
 def header_rows(docs: DataFrame) -> DataFrame:
     """Header rows of the text rendering (item_id, at, value)."""
+    docs = docs.withColumns({c: F.lit(None).cast(t) for c, t in FACTS.items() if c not in docs.columns})
+    engines, aside = F.col("engines"), F.col("non_speech")
+    approximate = approximate_word_times(F.to_json(engines["detector"]))
+    checked_by = F.concat(
+        F.lit("Checked against: "), engine_line(engines["detector"]), F.lit("; its text is never published"), F.when(approximate, F.lit(APPROXIMATE_NOTE)).otherwise("")
+    )
+    told = F.concat(F.lit("Speaker labelling did not complete: "), F.nullif("speaker_failure", F.lit("")))
     labelled = F.size(F.filter("speakers", lambda s: s["label"].isNotNull()))
     marks, stem = F.col("review.marks"), F.coalesce("source.outputs", wd.stem("source.name"))
     spans = wd.plural(marks, "span", "spans")
@@ -298,13 +365,22 @@ def header_rows(docs: DataFrame) -> DataFrame:
         lambda x: x["s"] > 0,
     )
     quiet = F.array_join(F.transform(by_kind, lambda x: F.concat(wd.scene_noun(x["kind"], F.lit("")), F.lit(" "), wd.format_seconds(x["s"]))), ", ")
-    facts = F.format_string("Duration %s   |   %d %s   |   produced %s   |   quality level %s", wd.clock("duration_s", tenths=False), labelled, wd.plural(labelled, "speaker", "speakers"), "produced_utc", "profile")
+    version = F.coalesce(F.concat(F.lit("version "), F.nullif("version", F.lit("")), F.lit(", ")), F.lit(""))
+    facts = F.format_string(
+        "Duration %s   |   %d %s   |   produced %s   |   %squality level %s",
+        wd.clock("duration_s", tenths=False), labelled, wd.plural(labelled, "speaker", "speakers"), "produced_utc", version, "profile",
+    )
     none = F.when(F.size("speakers") == 0, F.array(F.lit("  (no words were published)"))).otherwise(F.array().cast("array<string>"))
     rows = F.concat(
-        F.array(F.col("source.name"), facts, F.lit(""), F.lit("Speakers")), speaker_rows, none,
+        F.array(
+            F.col("source.name"), facts, F.concat(F.lit("Published engine: "), engine_line(engines["publisher"])), checked_by,
+            label_line(engines["diarization"]), told, F.lit(""), F.lit("Speakers"),
+        ),
+        speaker_rows, none,
         F.array(
             F.lit(""), review, wd.reviewed_note(a["text"], a["nothing"], a["open"], "in braces"),
             F.when(quiet != "", F.concat(F.lit("Without speech: "), quiet, F.lit("; marked in the transcript."))),
+            set_aside_note(F.coalesce(aside["suppressed_publisher_words"], F.lit(0)), F.coalesce(aside["suppressed_detector_words"], F.lit(0))),
             F.lit("A transcript is a draft until it has been verified against the recording."), F.lit(""), F.lit("Transcript"), F.lit(""),
         ),
     )

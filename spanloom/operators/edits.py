@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.cues import LISTENER
-from spanloom.operators.documents import APPLIED, LINE, MARK, RESOLUTION, recount
+from spanloom.operators.documents import LINE, MARK, RESOLUTION, recount
 from spanloom.operators.intervals import point_join
 from spanloom.operators.labels import line_text
 from spanloom.operators.scans import as_of
@@ -55,7 +55,7 @@ def strip_listener(docs: DataFrame) -> DataFrame:
     out = out.withColumn("lines", F.aggregate("lines", F.array().cast(f"array<{LINE}>"), join))
     out = out.withColumn("lines", F.transform("lines", lambda l: l.withField("split_from", F.lit(None).cast("int"))))
     bare = F.transform("marks", lambda m: m.withField("resolution", F.lit(None).cast(RESOLUTION)))
-    return out.withColumns({"marks": bare, "review_applied": F.lit(None).cast(APPLIED)})
+    return out.withColumns({"marks": bare, "review_applied": F.lit(None).cast(docs.schema["review_applied"].dataType)})
 
 
 class _Transcript:
@@ -172,9 +172,9 @@ def decisions_per_item(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("item_id").agg(F.array_sort(F.collect_list(row)).alias("decisions"))
 
 
-def apply_resolutions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+def apply_resolutions(docs: DataFrame, decisions: DataFrame, applied_utc: str | None = None) -> DataFrame:
     """Documents with the decisions applied; an item whose decisions do not match its marks one
-    for one is an error."""
+    for one is an error. Documents whose record has applied_utc are stamped with the time given."""
     given = strip_listener(docs).join(decisions_per_item(decisions), "item_id", "left")
     none = F.array().cast("array<struct<mark:int,status:string,note:string,speaker:string>>")
     given = given.withColumn("decisions", F.coalesce(F.col("decisions").cast("array<struct<mark:int,status:string,note:string,speaker:string>>"), none))
@@ -201,6 +201,8 @@ def apply_resolutions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     both = untyped.unionByName(written)
     opened = F.size("decisions") - F.col("__text") - F.col("__nothing")
     applied = F.struct(F.col("__text").alias("text"), F.col("__nothing").alias("nothing"), opened.alias("open"), F.col("listener_words").alias("listener_words"))
+    if applied_utc is not None or "applied_utc" in docs.schema["review_applied"].dataType.fieldNames():
+        applied = applied.withField("applied_utc", F.lit(applied_utc).cast("string"))
     return recount(both.withColumn("review_applied", applied)).select(*docs.columns)
 
 

@@ -10,6 +10,7 @@ from spanloom.fixtures import millis, table, with_cte
 from spanloom.functions import wording as wd
 from spanloom.operators import align as al
 from spanloom.operators import catalog as ct
+from spanloom.operators import counters as cn
 from spanloom.operators import cues as cu
 from spanloom.operators import documents as dc
 from spanloom.operators import edits as ed
@@ -386,16 +387,82 @@ def decisions(docs):
 @R.add(
     "K2_build_document",
     with_cte(
-        """SELECT i.item_id, (SELECT count(*) FROM lines l WHERE l.item_id = i.item_id) AS n_lines, (SELECT count(*) FROM marks m WHERE m.item_id = i.item_id) AS n_marks,
-  (SELECT count(DISTINCT speaker) FROM lines l WHERE l.item_id = i.item_id) AS n_speakers,
-  (SELECT md5(string_agg(text, ' ' ORDER BY s, e)) FROM lines l WHERE l.item_id = i.item_id) AS digest FROM items i""",
+        """, sp AS (SELECT item_id, speaker, sum(n_words)::BIGINT AS words, sum(e - s)::BIGINT AS ms, min(s) AS s FROM lines GROUP BY item_id, speaker)
+SELECT i.item_id, (SELECT count(*) FROM lines l WHERE l.item_id = i.item_id) AS n_lines,
+  (SELECT md5(coalesce(string_agg(text, ' ' ORDER BY s, e), '')) FROM lines l WHERE l.item_id = i.item_id) AS line_texts,
+  (SELECT md5(coalesce(string_agg(s || '-' || e || ':' || coalesce(speaker, '?'), ',' ORDER BY s, e), '')) FROM lines l WHERE l.item_id = i.item_id) AS line_spans,
+  (SELECT md5(coalesce(string_agg(s || '-' || e || ':' || text, ' ' ORDER BY s, e, seq), '')) FROM labelled w WHERE w.item_id = i.item_id) AS words,
+  (SELECT md5(coalesce(string_agg(play_s || '-' || play_e || ' ' || span_s || '-' || span_e || ':' || detector_words, ',' ORDER BY mark), '')) FROM marks m WHERE m.item_id = i.item_id) AS marks,
+  (SELECT coalesce(string_agg(coalesce(speaker, '?') || '=' || words || '/' || ms, ',' ORDER BY speaker IS NULL, s, speaker), '') FROM sp WHERE sp.item_id = i.item_id) AS speakers,
+  'conv' || printf('%05d', i.item_id) AS outputs, i.audio_ms FROM items i""",
         LINES + "," + MARKS.lstrip(),
     ),
 )
 def k2(spark, d):
     docs = built_documents(spark, d)
-    text = F.array_join(F.transform("lines", lambda l: l["text"]), " ")
-    return docs.select("item_id", F.size("lines").alias("n_lines"), F.size("marks").alias("n_marks"), F.size("speakers").alias("n_speakers"), F.md5(text.cast("binary")).alias("digest"))
+    span = lambda x, s, e: F.concat(millis(x[s]).cast("string"), F.lit("-"), millis(x[e]).cast("string"))
+    listed = lambda c, row, by: F.array_join(F.transform(c, row), by)
+    digest = lambda text: F.md5(text.cast("binary"))
+    words = F.flatten(F.transform("lines", lambda l: l["words"]))
+    return docs.select(
+        "item_id", F.size("lines").alias("n_lines"), digest(listed("lines", lambda l: l["text"], " ")).alias("line_texts"),
+        digest(listed("lines", lambda l: F.concat(span(l, "start", "end"), F.lit(":"), F.coalesce(l["speaker"], F.lit("?"))), ",")).alias("line_spans"),
+        digest(listed(words, lambda w: F.concat(span(w, "s", "e"), F.lit(":"), w["w"]), " ")).alias("words"),
+        digest(listed("marks", lambda m: F.concat(span(m, "start", "end"), F.lit(" "), span(m, "span_start", "span_end"), F.lit(":"), m["detector_words"].cast("string")), ",")).alias("marks"),
+        listed("speakers", lambda s: F.concat(F.coalesce(s["label"], F.lit("?")), F.lit("="), s["words"].cast("string"), F.lit("/"), millis(s["seconds"]).cast("string")), ",").alias("speakers"),
+        "source.outputs", millis("duration_s").alias("audio_ms"),
+    )
+
+
+HEADER = r"""
+SELECT o_orderkey AS item_id, md5(concat_ws(chr(10), k || '.wav',
+  'Duration ' || printf('%d:%02d', k % 3600 // 60, k % 60) || '   |   0 speakers   |   produced ' || o_orderpriority || '   |   ' || CASE WHEN k % 2 = 0 THEN 'version ' || k || ', ' ELSE '' END || 'quality level ' || o_orderstatus,
+  'Published engine: ' || o_orderstatus || ' ' || o_orderpriority || CASE WHEN k % 3 = 0 THEN ' (fast)' ELSE '' END,
+  'Checked against: ' || CASE WHEN k % 4 = 0 THEN 'none' ELSE o_orderpriority END || '; its text is never published'
+    || CASE WHEN k % 4 <> 0 AND k % 5 = 0 THEN '; its word times are approximate, so the review list may miss short gaps' ELSE '' END,
+  CASE WHEN k % 2 = 1 THEN 'Speaker labels: voices' || CASE WHEN k % 9 > 4
+    THEN ', speaker count fixed at ' || (k % 9) || ' (a speaker the models cannot separate is then hidden inside another label)'
+    ELSE ', clustering threshold ' || rtrim(rtrim(printf('%.2f', k % 97 / 100.0::DOUBLE), '0'), '.')
+      || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN ', 1 small label folded into the nearest voice' ELSE ', 2 small labels folded into the nearest voice' END END END,
+  CASE WHEN k % 7 = 0 THEN 'Speaker labelling did not complete: ' || o_orderpriority END, '', 'Speakers', '  (no words were published)', '',
+  'Review list: no span where speech may be missing was found.',
+  CASE WHEN k % 4 > 0 OR k % 3 > 0 THEN 'Set aside: ' || concat_ws('; ',
+    CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '1 word the published engine wrote inside music or noise was set aside (listed in the run record)'
+      ELSE (k % 4) || ' words the published engine wrote inside music or noise were set aside (listed in the run record)' END,
+    CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN '1 word the second engine placed inside silence, music or noise was left out of the review list'
+      ELSE (k % 3) || ' words the second engine placed inside silence, music or noise were left out of the review list' END) || '.' END,
+  'A transcript is a draft until it has been verified against the recording.', '', 'Transcript', '')) AS digest
+FROM (SELECT *, o_orderkey AS k FROM orders)"""
+
+
+@R.add("K4_header_rows", HEADER)
+def k4_header(spark, d):
+    """Headers of documents without words, one an order, with every fact a run can tell."""
+    k, none = F.col("item_id"), lambda t: F.lit(None).cast(t)
+    engine = lambda name, model, preset, timing: F.struct(name.alias("engine"), model.alias("model"), preset.alias("preset"), timing.alias("word_timing"))
+    publisher = engine(F.col("o_orderstatus"), F.col("o_orderpriority"), F.when(k % 3 == 0, "fast"), none("string"))
+    detector = F.when(k % 4 != 0, engine(F.lit(""), F.col("o_orderpriority"), F.lit(""), F.when(k % 5 == 0, "segment")))
+    settings = F.struct(F.when(k % 9 > 4, k % 9).alias("num_speakers"), (k % 97 / 100.0).alias("threshold"), (k % 3).alias("labels_folded"))
+    voices = F.when(k % 2 == 1, F.struct(F.lit("voices").alias("engine"), F.lit(1).alias("labels_found"), settings.alias("settings"), none("map<string,double>").alias("seconds_per_label")))
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderkey", "item_id")
+    facts = orders.select(
+        "item_id", F.concat(k.cast("string"), F.lit(".wav")).alias("name"), F.lit("").alias("sha256"), k.alias("bytes"), (k % 3600).cast("double").alias("audio_s"),
+        F.col("o_orderstatus").alias("profile"), F.col("o_orderpriority").alias("produced_utc"), F.when(k % 2 == 0, k.cast("string")).alias("version"),
+        F.struct(publisher.alias("publisher"), detector.alias("detector"), voices.alias("diarization")).alias("engines"),
+        F.when(k % 7 == 0, F.col("o_orderpriority")).alias("speaker_failure"),
+    )
+    # The words set aside of each source, as the scene pass leaves them.
+    gone = F.concat(F.array_repeat(F.lit("publisher"), (k % 4).cast("int")), F.array_repeat(F.lit("detector"), (k % 3).cast("int")))
+    aside = orders.select("item_id", F.explode(gone).alias("source"))
+    empty = lambda schema: spark.createDataFrame([], "item_id bigint, " + schema)
+    totals = cn.non_speech_totals(orders.select("item_id"), empty("kind string, start double, end double"), aside, empty("n int"))
+    docs = dc.build_document(
+        dc.with_non_speech(facts, totals), empty(f"start double, end double, speaker string, text string, words array<{dc.WORD}>"),
+        empty("mark int, start double, end double, span_start double, span_end double, detector_words int"),
+        empty("start double, end double, kind string, label string, probability double"), empty("place int, speaker string, name string, words bigint, seconds double"),
+    )
+    rows = dc.header_rows(docs).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("rows"))
+    return rows.select("item_id", F.md5(F.array_join(F.transform("rows", lambda r: r["value"]), "\n").cast("binary")).alias("digest"))
 
 
 @R.add(
@@ -528,14 +595,26 @@ def l6(spark, d):
     return cu.transcript_entries(dc.lines_of(docs), dc.scenes_of(docs), dc.marks_of(docs)).select("item_id", F.round("start", 4).alias("start"), "rank", "entry", "label", "text")
 
 
-@R.add("M1_strip_listener", with_cte("SELECT item_id, true AS same FROM items"))
+@R.add(
+    "M1_strip_listener",
+    with_cte(
+        """SELECT i.item_id, count(l.text) AS n_lines, coalesce(sum(l.n_words), 0)::BIGINT AS n_words, md5(coalesce(string_agg(l.text, '|' ORDER BY l.s, l.e), '')) AS digest,
+  md5(coalesce(string_agg(l.s || '-' || l.e || ':' || coalesce(l.speaker, '?'), ',' ORDER BY l.s, l.e), '')) AS spans, 0 AS resolved, false AS reviewed
+FROM items i LEFT JOIN lines l USING (item_id) GROUP BY i.item_id""",
+        LINES,
+    ),
+)
 def m1(spark, d):
-    """Stripping what was applied gives the lines there were: nothing differs."""
+    """Stripping what was applied gives the lines there were, as the oracle builds them."""
     docs = documents(spark, d)
-    applied = settle(ed.apply_resolutions(docs, decisions(docs)))
-    text = F.array_join(F.transform("lines", lambda l: l["text"]), "|")
-    before = docs.select("item_id", text.alias("before"))
-    return ed.strip_listener(applied).select("item_id", text.alias("after")).join(before, "item_id").select("item_id", (F.col("before") == F.col("after")).alias("same"))
+    bare = ed.strip_listener(settle(ed.apply_resolutions(docs, decisions(docs))))
+    span = lambda l: F.concat(millis(l["start"]).cast("string"), F.lit("-"), millis(l["end"]).cast("string"), F.lit(":"), F.coalesce(l["speaker"], F.lit("?")))
+    return bare.select(
+        "item_id", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, l: n + F.size(l["words"])).alias("n_words"),
+        F.md5(F.array_join(F.transform("lines", lambda l: l["text"]), "|").cast("binary")).alias("digest"),
+        F.md5(F.array_join(F.transform("lines", span), ",").cast("binary")).alias("spans"),
+        F.size(F.filter("marks", lambda m: m["resolution"].isNotNull())).alias("resolved"), F.col("review_applied").isNotNull().alias("reviewed"),
+    )
 
 
 @R.add("V1_build_cues")

@@ -28,7 +28,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def load_documents(spark: SparkSession, path: str, schema_name: str = TRANSCRIPT_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects): a wrong schema name or unreadable text is a reject with its reason."""
-    rows = _json(spark, path, "item_id bigint, " + dc.DOCUMENT)
+    rows = _json(spark, path, "item_id bigint, " + dc.FULL_DOCUMENT)
     good = F.coalesce(F.col("schema") == schema_name, F.lit(False)) & F.col("_corrupt").isNull()
     why = F.when(F.col("_corrupt").isNotNull(), "unreadable").otherwise(F.concat(F.lit("not a "), F.lit(schema_name), F.lit(" document")))
     return rows.where(good).drop("_corrupt"), rows.where(~good).select("item_id", "schema", why.alias("reason"), "_corrupt")
