@@ -7,11 +7,11 @@ kernel that holds a single pair at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -22,6 +22,7 @@ from spanloom.session import settle, spread
 DIAGONAL, DELETE, INSERT = 0, 1, 2
 FAR = np.int32(1 << 29)
 NATIVE_CHARS = 2_000
+VERSION = "normaliser"
 LONG_TOKENS = 40_000  # of both sides; a longer pair is traced by several tasks
 
 
@@ -367,15 +368,17 @@ def token_arrays(positioned: DataFrame, position: str, name: str, keys: Sequence
     return positioned.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["token"]).alias(name))
 
 
-def word_pairs(reference: DataFrame, words: DataFrame, tokenisation: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def word_pairs(
+    reference: DataFrame, words: DataFrame, tokenisation: str, spellings: Mapping[str, str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of token arrays per (item, variant) with the positioned tokens of both sides.
-    `tokenisation` is raw or norm; words carry (item_id, [variant], seq, start, end, text)."""
+    `tokenisation` is raw or norm, with the caller's `spellings`; words carry (item_id, [variant], seq, start, end, text)."""
 
     def tokens(df: DataFrame) -> DataFrame:
         if tokenisation == "raw":
             return df.withColumn("tokens", tokenize_raw("text"))
         # Settled: the numbering reads the tokens twice, and normalising is the dear part.
-        return settle(with_norm_tokens(df, "text", "tokens"))
+        return settle(with_norm_tokens(df, "text", "tokens", spellings))
 
     order = ["start", "end", "seq"]
     ref = positioned_tokens(tokens(reference), order, "tokens", "ref_at")
@@ -386,17 +389,26 @@ def word_pairs(reference: DataFrame, words: DataFrame, tokenisation: str) -> tup
     return pairs, ref, hyp
 
 
-def pooled_word_errors(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts summed, then the rate; never a mean of rates."""
+def versions_of(scores: DataFrame) -> list[str]:
+    """The column that keeps scores of different normalisers apart, for frames that carry it."""
+    return [VERSION] if VERSION in scores.columns else []
+
+
+def _pooled(grouped: GroupedData, *more: Column) -> DataFrame:
     names = ["n_ref", "n_hyp", "hits", "sub", "dele", "ins"]
-    pooled = scores.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("items"))
+    pooled = grouped.agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("items"), *more)
     return pooled.withColumn("wer", F.when(F.col("n_ref") > 0, (F.col("sub") + F.col("dele") + F.col("ins")).cast("double") / F.col("n_ref")))
 
 
+def pooled_word_errors(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counts summed, then the rate; never a mean of rates, nor of different normalisers."""
+    return _pooled(scores.groupBy(*dict.fromkeys([*by, *versions_of(scores)])))
+
+
 def pooled_with_subtotals(scores: DataFrame) -> DataFrame:
-    """The pooled report over (group, variant), group, and everything, in one pass."""
-    names = ["n_ref", "n_hyp", "hits", "sub", "dele", "ins"]
-    pooled = scores.rollup("group", "variant").agg(
-        *[F.sum(n).alias(n) for n in names], F.count("*").alias("items"), F.grouping_id().alias("level")
-    )
-    return pooled.withColumn("wer", F.when(F.col("n_ref") > 0, (F.col("sub") + F.col("dele") + F.col("ins")).cast("double") / F.col("n_ref")))
+    """The pooled report over (group, variant), group, and everything, in one pass; everything of
+    each normaliser apart where the scores carry it."""
+    version = versions_of(scores)
+    sets = [[*version, "group", "variant"], [*version, "group"], version]
+    grouped = scores.groupingSets([[F.col(c) for c in each] for each in sets], *sets[0])
+    return _pooled(grouped, F.grouping_id().alias("level"))
