@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -23,6 +24,7 @@ DIAGONAL, DELETE, INSERT = 0, 1, 2
 FAR = np.int32(1 << 29)
 NATIVE_CHARS = 2_000
 VERSION = "normaliser"
+KEPT_BITS = 1 << 27  # cells of a table whose rows of bits are kept whole
 LONG_TOKENS = 40_000  # of both sides; a longer pair is traced by several tasks
 
 
@@ -73,30 +75,83 @@ class Band:
         return np.minimum(row, FAR), choice
 
 
+class BitRows:
+    """The whole edit table by rows of bits: bit j - 1 of a row stands for token j of hyp. A row is two
+    integers (where its costs rise from left to right, where they fall), and a step to the next one is a
+    few operations on integers of len(hyp) bits, whatever the band would be."""
+
+    def __init__(self, hyp: Sequence[int]) -> None:
+        self.places: dict[int, int] = {}
+        for j, token in enumerate(hyp):
+            self.places.setdefault(token, []).append(j)
+        self.places = {token: _bits(at, len(hyp)) for token, at in self.places.items()}
+        self.m, self.every = len(hyp), (1 << len(hyp)) - 1
+
+    def first(self) -> tuple[int, int]:
+        return self.every, 0
+
+    def next(self, rises: int, falls: int, token: int) -> tuple[int, int, int, int]:
+        """The next row, where it costs what the row above does one column to the left, and where it costs
+        one more than the row above."""
+        match, every = self.places.get(token, 0), self.every
+        same = ((((match & rises) + rises) ^ rises) | match | falls) & every
+        up = falls | ((same | rises) ^ every)
+        right_up = (up << 1 | 1) & every
+        return (rises & same) << 1 & every | ((same | right_up) ^ every), right_up & same, same, up
+
+    def costs(self, rises: int, falls: int, i: int) -> np.ndarray:
+        """The costs of row i in columns 0 to m."""
+        steps = _unpacked(rises, self.m).astype(np.int32) - _unpacked(falls, self.m)
+        return np.concatenate([[i], i + np.cumsum(steps)]).astype(np.int32)
+
+
+def _bits(at: Sequence[int], size: int) -> int:
+    if len(at) < 16:
+        value = 0
+        for j in at:
+            value |= 1 << j
+        return value
+    flags = np.zeros(size, dtype=np.uint8)
+    flags[at] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _unpacked(value: int, size: int) -> np.ndarray:
+    packed = np.frombuffer(value.to_bytes(size + 7 >> 3, "little"), dtype=np.uint8)
+    return np.unpackbits(packed, count=size, bitorder="little")
+
+
 def fitted(ref: np.ndarray, hyp: np.ndarray, rows: Callable[[Band], int]) -> tuple[Band, dict[int, np.ndarray], int]:
     """The narrowest doubled band that is exact, every `rows`-th of its rows, and the distance."""
     n, m = len(ref), len(hyp)
-    slack = 16
-    while True:
-        slack = min(slack, n + m)
-        band = Band(ref, hyp, slack)
-        row, kept, every = band.first(), {}, rows(band)
-        for i in range(1, n + 1):
-            if (i - 1) % every == 0:
-                kept[i - 1] = row
-            row, _ = band.next(row, i)
-        distance = int(row[m - n + band.low])
-        # A path that leaves the band costs at least |n - m| + 2 (slack + 1).
-        if distance <= abs(n - m) + 2 * slack + 1 or slack >= n + m:
-            return band, kept, distance
+    found, slack = _distance_of(ref, hyp), 16
+    # A path that leaves the band costs at least |n - m| + 2 (slack + 1).
+    while found > abs(n - m) + 2 * slack + 1:
         slack *= 4
+    band = Band(ref, hyp, min(slack, n + m))
+    bits, every, kept = BitRows(hyp.tolist()), rows(band), {}
+    row = bits.first()
+    for i, token in enumerate(ref.tolist()):
+        if i % every == 0:
+            j = band.steps - band.low + i
+            kept[i] = np.where((j >= 0) & (j <= m), bits.costs(*row, i)[np.clip(j, 0, m)], FAR).astype(np.int32)
+        row = bits.next(*row, token)[:2]
+    return band, kept, found
+
+
+def _distance_of(ref: np.ndarray, hyp: np.ndarray) -> int:
+    bits = BitRows(hyp.tolist())
+    row = bits.first()
+    for token in ref.tolist():
+        row = bits.next(*row, token)[:2]
+    return len(ref) + row[0].bit_count() - row[1].bit_count()
 
 
 def distance(ref: Sequence[str], hyp: Sequence[str]) -> int:
     a, b = token_ids(ref, hyp)
     if len(a) == 0 or len(b) == 0:
         return len(a) + len(b)
-    return fitted(a, b, lambda band: len(a) + 1)[2]
+    return _distance_of(a, b)
 
 
 def common_ending(a: np.ndarray, b: np.ndarray) -> int:
@@ -108,30 +163,40 @@ def common_ending(a: np.ndarray, b: np.ndarray) -> int:
     return int(differs[0]) if len(differs) else limit
 
 
-def trace(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(choice, i, j) per step in reference order; i, j are -1 where the side is not consumed.
-
-    Choices are kept for one block of rows at a time: the forward pass keeps every k-th row of
-    costs and the walk back recomputes the block it is in, so memory is rows x band / k.
-    """
-    a, b = token_ids(ref, hyp)
+def traced(a: Sequence[int], b: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`trace` of token numbers. The rows of bits are kept for one block at a time: the forward pass keeps
+    the top row of each block, and the walk back works out the block that it is in once more."""
     n, m = len(a), len(b)
     same = common_ending(a, b)
     tail_i, tail_j = n - 1 - np.arange(same), m - 1 - np.arange(same)
     i, j = n - same, m - same
     kinds, at_i, at_j = [DIAGONAL] * same, tail_i.tolist(), tail_j.tolist()
     if i and j:
-        every = max(1, int(np.sqrt(i)))
-        band, kept, _ = fitted(a[:i], b[:j], lambda band: every)
-        block: dict[int, np.ndarray] = {}
+        ref, hyp = a[:i].tolist(), b[:j].tolist()
+        rows = BitRows(hyp)
+        every = i if i * j <= KEPT_BITS else max(1, int(np.sqrt(i)))
+        kept, row = {}, rows.first()
+        for r in range(i):
+            if r % every == 0:
+                kept[r] = row
+                if r + every >= i:
+                    break
+            row = rows.next(*row, ref[r])[:2]
+        top, block = i, []
         while i and j:
-            if i not in block:
+            if i <= top:
                 top = (i - 1) // every * every
-                row, block = kept[top], {}
-                for r in range(top + 1, min(top + every, band.ref.size) + 1):
-                    row, block[r] = band.next(row, r)
-            step = block[i][j - i + band.low]
-            kinds.append(int(step))
+                row, block = kept[top], []
+                for r in range(top, min(top + every, len(ref))):
+                    *row, diagonal, up = rows.next(*row, ref[r])
+                    block.append((diagonal, up))
+            diagonal, up = block[i - top - 1]
+            # Equal tokens and cells that cost more than the one diagonally before go there.
+            if ref[i - 1] == hyp[j - 1] or not diagonal >> j - 1 & 1:
+                step = DIAGONAL
+            else:
+                step = DELETE if up >> j - 1 & 1 else INSERT
+            kinds.append(step)
             at_i.append(i - 1 if step != INSERT else -1)
             at_j.append(j - 1 if step != DELETE else -1)
             i -= step != INSERT
@@ -142,6 +207,12 @@ def trace(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarra
     return np.array(kinds[::-1], dtype=np.int8), np.array(at_i[::-1], dtype=np.int64), np.array(at_j[::-1], dtype=np.int64)
 
 
+def trace(ref: Sequence[str], hyp: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(choice, i, j) per step in reference order; i, j are -1 where the side is not consumed. A
+    diagonal step goes before a deletion, that before an insertion."""
+    return traced(*token_ids(ref, hyp))
+
+
 def _chunks(equal: np.ndarray, anchor_run: int) -> np.ndarray:
     """Chunk number per step, -1 inside a run of at least anchor_run equal steps."""
     if not len(equal):
@@ -152,26 +223,51 @@ def _chunks(equal: np.ndarray, anchor_run: int) -> np.ndarray:
     return np.where(anchored, -1, np.cumsum(opened) - 1)
 
 
+OPS = ("op_seq", "kind", "ref_at", "hyp_at", "ref_token", "hyp_token", "chunk")
+KINDS = np.array(["equal", "sub", "del", "ins"], dtype=object)
+STEPS_A_BATCH = 1 << 16
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each list begins and ends among the values, and the values."""
+    lists = pa.concat_arrays([column])  # without an offset
+    return lists.offsets.to_numpy(), lists.values
+
+
 def _ops_kernel(keys: Sequence[str], anchor_run: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def steps_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        choice, i, j = traced(a, b)
+        both = choice == DIAGONAL
+        equal = np.zeros(len(choice), dtype=bool)
+        equal[both] = a[i[both]] == b[j[both]]
+        kind = np.where(choice == DELETE, 2, np.where(choice == INSERT, 3, np.where(equal, 0, 1)))
+        return kind, i, j, _chunks(equal, anchor_run)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pair in batch.to_dict("records"):
-                ref, hyp = np.asarray(pair["ref"], dtype=object), np.asarray(pair["hyp"], dtype=object)
-                kinds, i, j = trace(ref, hyp)
-                both = (i >= 0) & (j >= 0)
-                equal = np.zeros(len(kinds), dtype=bool)
-                equal[both] = ref[i[both]] == hyp[j[both]]
-                names = np.where(kinds == DELETE, "del", np.where(kinds == INSERT, "ins", np.where(equal, "equal", "sub")))
-                out = pd.DataFrame({key: [pair[key]] * len(kinds) for key in keys})
-                out["op_seq"] = np.arange(len(kinds))
-                out["kind"] = names.astype(object)
-                out["ref_at"] = pd.Series(i).where(i >= 0).astype("Int64")
-                out["hyp_at"] = pd.Series(j).where(j >= 0).astype("Int64")
-                out["ref_token"] = [ref[x] if x >= 0 else None for x in i]
-                out["hyp_token"] = [hyp[x] if x >= 0 else None for x in j]
-                chunk = _chunks(equal, anchor_run)
-                out["chunk"] = pd.Series(chunk).where(chunk >= 0).astype("Int64")
-                yield out
+            (ref_from, ref), (hyp_from, hyp) = (_listed(batch.column(c)) for c in ("ref", "hyp"))
+            codes = pa.concat_arrays([ref, hyp]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = len(ref)
+
+            def flushed(parts: list) -> pa.RecordBatch:
+                pair, seq, kind, i, j, chunk, at_ref, at_hyp = (np.concatenate(x) for x in zip(*parts))
+                number = lambda x: pa.array(x, mask=x < 0, type=pa.int64())
+                token = lambda values, at, x: values.take(pa.array(at, mask=x < 0, type=pa.int64()))
+                named = pa.array(KINDS).take(pa.array(kind))
+                columns = [*[batch.column(k).take(pa.array(pair)) for k in keys], pa.array(seq), named, number(i), number(j), token(ref, at_ref, i), token(hyp, at_hyp, j), number(chunk)]
+                return pa.RecordBatch.from_arrays(columns, names=[*keys, *OPS])
+
+            parts, size = [], 0
+            for p in range(batch.num_rows):
+                r, h = int(ref_from[p]), int(hyp_from[p])
+                kind, i, j, chunk = steps_of(codes[r : ref_from[p + 1]], codes[first + h : first + hyp_from[p + 1]])
+                parts.append((np.full(len(kind), p), np.arange(len(kind)), kind, i, j, chunk, i + r, j + h))
+                size += len(kind)
+                if size >= STEPS_A_BATCH:
+                    yield flushed(parts)
+                    parts, size = [], 0
+            if parts:
+                yield flushed(parts)
 
     return run
 
@@ -192,7 +288,7 @@ def edit_ops(pairs: DataFrame, keys: Sequence[str] = ("item_id", "variant"), anc
     )
     easy = (F.size("ref") == 0) | (F.size("hyp") == 0) | (F.col("ref") == F.col("hyp"))
     is_long = F.size("ref") + F.size("hyp") > long_tokens
-    hard = spread(pairs.where(~easy & ~is_long).select(*keys, "ref", "hyp"), *keys).mapInPandas(_ops_kernel(keys, anchor_run), schema)
+    hard = spread(pairs.where(~easy & ~is_long).select(*keys, "ref", "hyp"), *keys).mapInArrow(_ops_kernel(keys, anchor_run), schema)
     alone = F.when(F.size("ref") == 0, "ins").when(F.size("hyp") == 0, "del").otherwise("equal")
     longer = F.when(F.size("ref") == 0, F.col("hyp")).otherwise(F.col("ref"))
     steps = pairs.where(easy).select(*keys, F.size("ref").alias("n"), alone.alias("kind"), F.posexplode(longer).alias("at", "token"))

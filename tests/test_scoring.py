@@ -100,3 +100,33 @@ def test_fold_labels(spark):
     turns = segs(spark, [(1, 20.0 * i, 20.0 * i + 10 - i, f"s{i}") for i in range(8)])
     rows = tl.fold_labels(turns, 3).collect()
     assert {r.label for r in rows} == {"s0", "s1", "other"} and rows[0].found == 8 and "6 smallest" in rows[0].note
+
+
+def test_rows_of_bits_give_the_steps_of_the_full_table():
+    """Ties too, in one block of rows and in several."""
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        n, m = len(a), len(b)
+        table = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                table[i][j] = min(table[i - 1][j - 1] + (a[i - 1] != b[j - 1]), table[i - 1][j] + 1, table[i][j - 1] + 1)
+        bits = al.BitRows(b)
+        row, i, j, want = bits.first(), n, m, []
+        for k, token in enumerate(a):
+            assert bits.costs(*row, k).tolist() == table[k]
+            row = bits.next(*row, token)[:2]
+        while i or j:
+            if i and j and table[i][j] == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                want.append((al.DIAGONAL, i, j))
+            elif i and (not j or table[i][j] == table[i - 1][j] + 1):
+                i -= 1
+                want.append((al.DELETE, i, -1))
+            else:
+                j -= 1
+                want.append((al.INSERT, -1, j))
+        for al.KEPT_BITS in (1, 1 << 27):
+            assert list(zip(*(x.tolist() for x in al.trace(a, b)))) == want[::-1]
+        assert al.distance(a, b) == table[n][m]
