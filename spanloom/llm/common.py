@@ -23,7 +23,9 @@ CODEC = "zstd"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Settings under which Python tasks stay small."""
+    """Settings under which Python tasks stay small; broadcasts are left to the session's own thresholds."""
+    for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.unset(setting)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

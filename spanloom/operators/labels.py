@@ -32,7 +32,7 @@ def nearest_turn(words: DataFrame, turns: DataFrame) -> DataFrame:
     by_end = turns.groupBy("item_id", "end").agg(F.min(F.struct("start", "end", "label")).alias("turn"))
     by_start = turns.groupBy("item_id", "start").agg(F.min(F.struct("start", "end", "label")).alias("turn"))
     found = as_of(words, by_end, ["item_id"], "start", "end", F.col("turn"), "before")
-    found = found.withColumn("__rev", -F.col("end"))
+    found = settle(found.withColumn("__rev", -F.col("end")))
     found = as_of(found, by_start.withColumn("__rev", -F.col("start")), ["item_id"], "__rev", "__rev", F.col("turn"), "after")
     back, ahead = F.col("start") - F.col("before.end"), F.col("after.start") - F.col("end")
     options = F.filter(
@@ -49,7 +49,9 @@ def nearest_turn(words: DataFrame, turns: DataFrame) -> DataFrame:
 def label_words(words: DataFrame, turns: DataFrame, settings: LabelSettings = LabelSettings()) -> DataFrame:
     """`words` with `label`: by overlap, else the nearest turn within reach, else the previous
     labelled word's, else the next one's. Only a recording without turns stays unlabelled."""
-    matched = words.join(best_overlap(words, turns), ["item_id", "seq"], "left")
+    # A scan reads its input twice, so what scans and joins below read again is settled: otherwise
+    # the plan doubles with every step, and the driver holds all of it.
+    matched = settle(words.join(best_overlap(words, turns), ["item_id", "seq"], "left"))
     alone = nearest_turn(matched.where(F.col("label").isNull()).select("item_id", "seq", "start", "end"), turns)
     reached = alone.where(F.col("distance") <= settings.max_attach_s).select("item_id", "seq", F.col("near.label").alias("near_label"))
     # Read twice by the fill below.
@@ -122,7 +124,7 @@ def smooth_labels(words: DataFrame, segments: DataFrame, settings: LabelSettings
     itself, the outcome is: in every chain of adjoining candidates the 1st, 3rd, 5th, ... give way.
     """
     keys = ["item_id", "u_start", "u_end"]
-    placed = utterance_of(words, segments)
+    placed = settle(utterance_of(settle(words), segments))
     inside = placed.where(F.col("utterance").isNotNull()).withColumns({"u_start": F.col("utterance.start"), "u_end": F.col("utterance.end")})
     stepped = bucketed_scan(
         inside.drop("utterance"),
@@ -132,9 +134,9 @@ def smooth_labels(words: DataFrame, segments: DataFrame, settings: LabelSettings
         [Scan("__prev", "lag", F.struct("label")), Scan("__n", "sum_before", F.lit(1))],
     )
     starts = F.col("__prev").isNull() | ~F.col("__prev.label").eqNullSafe(F.col("label"))
-    marked = settle(stepped.withColumn("__run", F.when(starts, F.col("__n"))))
+    marked = settle(stepped.withColumn("__run", F.when(starts, F.col("__n"))).drop("__prev"))
     numbered = bucketed_scan(marked, keys, time_bucket("start"), WORD_ORDER, [Scan("__earlier", "last_before", F.col("__run"))])
-    numbered = numbered.withColumn("run", F.coalesce("__run", "__earlier")).drop("__prev", "__n", "__run", "__earlier")
+    numbered = settle(numbered.withColumn("run", F.coalesce("__run", "__earlier")).drop("__n", "__run", "__earlier"))
     runs = numbered.groupBy(*keys, "run").agg(
         F.first("label").alias("label"), F.count("*").alias("n"), F.min("start").alias("start"),
         F.max_by("end", F.struct(*WORD_ORDER)).alias("end"),
@@ -173,8 +175,9 @@ def _native_absorption(runs: DataFrame, keys: list[str], settings: LabelSettings
 def build_lines(words: DataFrame, settings: LabelSettings = LabelSettings()) -> DataFrame:
     """Lines (item_id, line_key, start, end, speaker, text, words): a new one at a change of
     label, after a long pause, and after `line_words` words."""
+    words = settle(words.select("item_id", "seq", "start", "end", "text", "label"))
     stepped = bucketed_scan(
-        words.select("item_id", "seq", "start", "end", "text", "label"),
+        words,
         ["item_id"],
         time_bucket("start"),
         WORD_ORDER,
@@ -185,7 +188,7 @@ def build_lines(words: DataFrame, settings: LabelSettings = LabelSettings()) ->
         | ~F.col("__prev.label").eqNullSafe(F.col("label"))
         | (F.col("start") - F.col("__prev.end") > settings.line_gap_s)
     )
-    marked = stepped.withColumn("__break", F.when(breaks, F.col("__n")))
+    marked = settle(stepped.withColumn("__break", F.when(breaks, F.col("__n"))).drop("__prev"))
     placed = bucketed_scan(marked, ["item_id"], time_bucket("start"), WORD_ORDER, [Scan("__open", "last_before", F.col("__break"))])
     opened = F.coalesce("__break", "__open")
     key = opened + F.floor((F.col("__n") - opened) / settings.line_words) * settings.line_words

@@ -16,11 +16,13 @@ def level_dbfs(samples: DataFrame, windows: DataFrame, rate: int, floor: float =
         F.greatest(F.bround(F.col("start") * rate).cast("bigint"), F.lit(0)).alias("lo"),
         F.bround(F.col("end") * rate).cast("bigint").alias("hi"),
     )
+    # Ten seconds a bucket at any rate: a window is compared with the samples of its own few seconds.
+    width = F.lit(min(SAMPLE_BUCKET, max(1, 10 * int(rate))))
     by_bucket = ranged.where(F.col("hi") > F.col("lo")).withColumn(
-        "__b", F.explode(F.sequence(F.floor(F.col("lo") / SAMPLE_BUCKET), F.floor((F.col("hi") - 1) / SAMPLE_BUCKET)))
+        "__b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))
     )
     energy = (
-        samples.withColumn("__b", F.floor(F.col("idx") / SAMPLE_BUCKET))
+        samples.withColumn("__b", F.floor(F.col("idx") / width))
         .join(by_bucket, ["item_id", "__b"])
         .where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
         .groupBy("item_id", "start", "end")

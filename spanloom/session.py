@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Lets small but CPU-heavy stages keep their tasks; large ones are past it anyway.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # Before a shuffle Spark knows the size of files only: a few megabytes of Parquet whose lists are
+    # exploded are hundreds in the driver. So a broadcast is decided by what was shuffled.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Keyed state of streams on disk, which `streaming.marks` needs.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

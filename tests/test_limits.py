@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from spanloom import session
 from spanloom.operators import catalog, timeline
+from spanloom.operators import series as se
+from spanloom.session import configure
 from spanloom.sources import annotations
 
 
@@ -75,3 +77,21 @@ def test_settled_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_folder(Session())
+
+
+def test_exploded_rows_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    """A small file may hold long lists: only what was shuffled tells how many rows come of it."""
+    configure(spark)
+    spark.range(50).selectExpr("id AS item_id", "sequence(1, 2000) AS tokens").write.parquet(f"{tmp_path}/t")
+    words = spark.read.parquet(f"{tmp_path}/t").select("item_id", F.explode("tokens").alias("seq"))
+    joined = words.join(words.withColumn("x", F.col("seq") + 1), ["item_id", "seq"])
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_levels_at_a_low_rate_compare_near_samples_only(spark):
+    """Ten samples a second: windows of one recording meet the samples of their own seconds."""
+    samples = spark.range(20_000).select(F.lit(1).alias("item_id"), F.col("id").alias("idx"), F.when(F.col("id") < 10_000, 0.1).otherwise(0.001).alias("value"))
+    windows = spark.range(190).select(F.lit(1).alias("item_id"), (F.col("id") * 10.0 + 3.0).alias("start"), (F.col("id") * 10.0 + 13.0).alias("end"))
+    levels = {r.start: r.level for r in se.level_dbfs(samples, windows, 10).collect()}
+    assert len(levels) == 190 and round(levels[3.0], 6) == -20.0 and round(levels[1893.0], 6) == -60.0
