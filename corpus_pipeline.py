@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import language, lines, mixing, pieces, shingles
+from spanloom.llm import language, lines, mixing, pieces, shingles, simhash
 from spanloom.llm.common import ready, settled
 from spanloom.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, TREE, with_domain
 
@@ -44,14 +44,24 @@ def numbered_rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words a shingle, similarity 0.8 or more),
-    that of the smallest doc_id; a null doc_id is larger than any other, and of rows that repeat one the
-    first stays. Texts without words, null and empty ones among them, are one group. An empty table
-    gives no rows."""
+    """One document of each group of near-duplicates, that of the smallest doc_id; a null doc_id is larger
+    than any other, and of rows that repeat one the first stays. Documents link by operator 10 (SimHash
+    fingerprints of at most four differing bits), or by an exact similarity of 0.8 or more of their
+    shingles of five words, which finds near copies that fingerprints hold apart; a group is what either
+    kind of link reaches. Texts without words, null and empty ones among them, are one group. An empty
+    table gives no rows."""
     numbered = numbered_rows(docs)
-    groups = shingles.shingle_groups(numbered.select("_row", "_doc.doc_id", "_doc.text"))
-    groups = groups.filter("_row = component_row").select(F.col("_row").alias("_stays"))
-    return numbered.join(groups, F.col("_row") == F.col("_stays"), "left_semi").select("_doc.*")
+    rows = numbered.select("_row", "_doc.doc_id", "_doc.text")
+    near, similar = simhash.simhash_groups(rows), shingles.shingle_groups(rows)
+    linked = near.select("_row", "component_row").unionByName(similar.select("_row", "component_row"))
+    members = settled(simhash.components(linked.filter("_row <> component_row").select(F.col("_row").alias("a"), F.col("component_row").alias("b"))), "near-members")
+    # Each row of a group but the smallest; the root itself has no row in `members`.
+    whole = members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    placed = settled(rows.select("_row", "doc_id").join(whole, F.col("_row") == F.col("node")).select("root", place.alias("place")), "near-places")
+    firsts = placed.groupBy("root").agg(F.min("place").alias("first"))
+    gone = placed.join(firsts, "root").filter("place._row <> first._row").select(F.col("place._row").alias("_gone"))
+    return numbered.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

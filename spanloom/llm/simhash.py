@@ -66,9 +66,10 @@ def _fingerprints(words: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, _row (the row's number as read), _print (the 64 bits as BIGINT) per row of `docs`."""
+    """doc_id, _row (the row's number as read, or as stored with it), _print (the 64 bits as BIGINT) per row of `docs`."""
     ready(docs.sparkSession)
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    numbered = docs.select("doc_id", row.alias("_row"), "text")
     return numbered.mapInArrow(_fingerprints(words, seed), "doc_id bigint, _row bigint, _print bigint")
 
 
@@ -243,7 +244,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """doc_id, _row, fingerprint (16 hex digits), component_id, component_row per row of `docs`
-    (doc_id, text). _row is the row's number as read, component_row that of the first row of component_id.
+    (doc_id, text, maybe _row). _row is the row's number as read unless the rows carry one, component_row
+    that of the first row of component_id.
 
     Rows link when their fingerprints differ in at most `max_bits` bits; component_id is the smallest
     doc_id that can be reached. Null texts and texts without words have fingerprint 0 and link like

@@ -67,3 +67,16 @@ def test_stages_on_null_empty_and_repeated_rows(spark):
     done = stage["sentencepiece"](spark, docs, FOLDER).collect()
     assert len(done) == len(rows) and all(r.round_trip for r in done if r.doc_id != 4)
     assert [r.n_ids for r in done if r.doc_id in (1, 2)] == [0, 0] and sum(r.doc_id == 3 for r in done) == 2
+
+
+def test_near_duplicates_by_fingerprints_too(spark):
+    """Word repeats that leave the fingerprint as it is, though fewer than 0.8 of all shingles are shared."""
+    base = " ".join(f"word{i % 40}" for i in range(400))
+    rows = [(1, base), (2, base + " one two three four five six seven eight nine ten eleven twelve"), (3, "quite another text of its own kind"), (4, base)]
+    schema = "doc_id long, text string"
+    docs = settled(spark.createDataFrame(rows, schema), "fingers")
+    near = {r.doc_id: r.component_id for r in cp.simhash.simhash_groups(docs).collect()}
+    similar = {r.doc_id: r.component_id for r in cp.shingles.shingle_groups(cp.numbered_rows(docs).select("_row", "_doc.doc_id", "_doc.text")).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 1} and similar == {1: 1, 2: 2, 3: 3, 4: 1}
+    stay = dict(cp.STAGES)["near_duplicates"](spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in stay.collect()) == [1, 3]
