@@ -73,14 +73,29 @@ def drop_asides(column: Column | str) -> Column:
     text = F.lower(_col(column))
     text = F.regexp_replace(text, r"[<\[][^>\]]*[>\]]", "")
     text = F.regexp_replace(text, r"\(([^)]+?)\)", "")
-    text = F.regexp_replace(text, rf"(?U)\b({'|'.join(FILLERS)})\b", "")
+    starts = "".join(sorted({f[0] for f in FILLERS}))
+    text = F.regexp_replace(text, rf"(?U)(?=[{starts}])(?:{'|'.join(map(_word_first, FILLERS))})\b", "")
     return F.regexp_replace(text, r"(?U)\s+'", "'")
 
 
+def _word_first(word: str) -> str:
+    """`word` where a word begins: letters are compared before boundaries, which are dear to find."""
+    return rf"{word}(?<=\b{word})"
+
+
+def _literal_first(pattern: str) -> str:
+    """A rewrite's pattern with the same matches, sought by its first letter."""
+    if not pattern.startswith(r"\b"):
+        return pattern
+    body = pattern.removeprefix(r"\b")
+    word = body.removesuffix(r"\b")
+    return _word_first(word) + body[len(word):]
+
+
 def expand_contractions(column: Column | str) -> Column:
     text = _col(column)
     for pattern, replacement in REWRITES:
-        text = F.regexp_replace(text, "(?U)" + pattern, replacement)
+        text = F.regexp_replace(text, "(?U)" + _literal_first(pattern), replacement)
     return text
 
 
