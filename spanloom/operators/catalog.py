@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import wording as wd
+from spanloom.session import settle
 from spanloom.operators.scans import Scan, bucketed_scan
 from spanloom.sources.digests import chain_digests
 
@@ -65,7 +66,8 @@ def group_parts(files: DataFrame, bucket_s: float = 86400.0) -> DataFrame:
     gap = (F.col("us") - F.col("prev.us")) / F.lit(1e6) - F.col("prev.duration_s")
     joins = F.coalesce((gap >= -JOIN_TOLERANCE_S) & (gap <= MAX_JOIN_GAP_S), F.lit(False))
     head = F.struct("n", "us", "name")
-    marked = stepped.withColumn("head", F.when(~joins, head))
+    # Read twice by the scan below.
+    marked = settle(stepped.withColumn("head", F.when(~joins, head)).drop("prev"))
     placed = bucketed_scan(marked, keys, bucket, order, [Scan("earlier", "last_before", F.col("head"))])
     first = F.coalesce("head", "earlier")
     chained = placed.withColumn("first", first).select(

@@ -17,6 +17,7 @@ from spanloom.operators.intervals import overlap_join, union_seconds
 from spanloom.operators.labels import UNLABELLED_NAME
 from spanloom.operators.review import ratio
 from spanloom.operators.scans import Scan, bucketed_scan, time_bucket
+from spanloom.session import settle
 
 WORD = "struct<s:double,e:double,w:string,src:string,mark:int>"
 LINE = f"struct<start:double,end:double,speaker:string,text:string,src:string,split_from:int,words:array<{WORD}>>"
@@ -242,7 +243,8 @@ def gap_context(marks: DataFrame, words: DataFrame, names: DataFrame | None = No
     asks = marks.select("item_id", F.col("span_start").alias("t"), F.lit(0).alias("flag"), "mark")
     both = rows.unionByName(asks, allowMissingColumns=True)
     at = Scan("at", "sum_before", F.when(F.col("flag") == 1, 1).otherwise(0))
-    placed = bucketed_scan(both, ["item_id"], time_bucket("t"), ["t", "flag", "seq"], [at])
+    # Read as words and as gaps by the join below.
+    placed = settle(bucketed_scan(both, ["item_id"], time_bucket("t"), ["t", "flag", "seq"], [at]))
     near = F.explode(F.sequence(F.greatest(F.col("at") - each_side - 1, F.lit(0)), F.col("at") + each_side))
     wanted = placed.where("flag = 0").select("item_id", "mark", F.col("at").alias("from"), near.alias("at"))
     found = wanted.join(placed.where("flag = 1").select("item_id", "at", "text", "label"), ["item_id", "at"])

@@ -18,6 +18,7 @@ from spanloom.operators.documents import LINE, MARK, RESOLUTION, recount
 from spanloom.operators.intervals import point_join
 from spanloom.operators.labels import line_text
 from spanloom.operators.scans import as_of
+from spanloom.session import settle
 
 NEAR = 1e-6
 
@@ -225,7 +226,8 @@ def infer_speakers(marks: DataFrame, lines: DataFrame) -> DataFrame:
     who = F.struct("speaker")
     by_end = lines.groupBy("item_id", "end").agg(F.min(F.struct("line", "speaker"))["speaker"].alias("speaker"))
     by_start = lines.groupBy("item_id", "start").agg(F.min(F.struct("line", "speaker"))["speaker"].alias("speaker"))
-    sided = as_of(asks.withColumn("t", F.col("span_start") + NEAR), by_end, ["item_id"], "t", "end", who, "before")
+    # Read twice by the second of these joins.
+    sided = settle(as_of(asks.withColumn("t", F.col("span_start") + NEAR), by_end, ["item_id"], "t", "end", who, "before"))
     sided = as_of(sided.withColumn("t", NEAR - F.col("span_end")), by_start.withColumn("r", -F.col("start")), ["item_id"], "t", "r", who, "after")
     common = F.when(F.col("before.speaker") == F.col("after.speaker"), F.col("before.speaker"))
     joined = sided.join(holder, ["item_id", "mark"], "left")
@@ -263,7 +265,6 @@ def resolutions_from_document(docs: DataFrame) -> DataFrame:
 def apply_sessions(docs: DataFrame, sessions: DataFrame) -> DataFrame:
     """Documents revised by their sessions; those without a fitting session keep what they record."""
     from spanloom.operators.documents import marks_of
-    from spanloom.session import settle
 
     entries = settle(valid_sessions(sessions, marks_of(docs)))
     mine = docs.join(entries.select("item_id").distinct(), "item_id", "left_semi")

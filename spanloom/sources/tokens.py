@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import overlap_join
 from spanloom.operators.scans import Scan, bucketed_scan
+from spanloom.session import settle
 
 FRAME_S = 0.08
 KEYS = ["item_id", "seg"]
@@ -23,16 +24,19 @@ def group_words(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     timed = timed.withColumns(
         {"time": F.coalesce("time", "__last", F.lit(0.0)), "__open": F.when(F.startswith("token", F.lit(" ")) | F.col("__prev").isNull(), F.col("pos"))}
     ).drop("__last", "__prev")
+    # Settled, as the words are below: a scan reads its input twice, and a task would hold the sorts of all of them.
+    timed = settle(timed)
     placed = bucketed_scan(timed, KEYS, bucket, ["pos"], [Scan("__from", "last_before", F.col("__open"))])
     end = F.col("time") + F.greatest(F.coalesce("duration", F.lit(FRAME_S)), F.lit(FRAME_S))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "")
     words = (
         placed.withColumn("word", F.coalesce("__open", "__from"))
         .groupBy(*KEYS, "word")
-        .agg(text.alias("text"), F.min_by("time", "pos").alias("start"), F.max(end).alias("own_end"), F.bool_or(F.col("duration").isNotNull()).alias("has"))
+        .agg(text.alias("text"), F.min_by("time", F.struct("pos", "time")).alias("start"), F.max(end).alias("own_end"), F.bool_or(F.col("duration").isNotNull()).alias("has"))
         .withColumn("text", F.regexp_replace("text", "^ ", ""))
         .where(F.col("text") != "")
     )
+    words = settle(words)
     known = tokens.groupBy(*KEYS).agg(F.bool_or(F.col("duration").isNotNull()).alias("with_durations"))
     following = bucketed_scan(words, KEYS, F.floor(F.col("word") / 4096), ["word"], [Scan("next", "lead", F.col("start"))])
     joined = following.join(known, KEYS).join(segments.select(*KEYS, F.col("end").alias("seg_end"), "offset"), KEYS)

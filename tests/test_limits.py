@@ -10,7 +10,7 @@ from spanloom import session
 from spanloom.operators import catalog, timeline
 from spanloom.operators import series as se
 from spanloom.session import configure
-from spanloom.sources import annotations
+from spanloom.sources import annotations, tokens
 
 
 def search(grid):
@@ -95,3 +95,12 @@ def test_levels_at_a_low_rate_compare_near_samples_only(spark):
     windows = spark.range(190).select(F.lit(1).alias("item_id"), (F.col("id") * 10.0 + 3.0).alias("start"), (F.col("id") * 10.0 + 13.0).alias("end"))
     levels = {r.start: r.level for r in se.level_dbfs(samples, windows, 10).collect()}
     assert len(levels) == 190 and round(levels[3.0], 6) == -20.0 and round(levels[1893.0], 6) == -60.0
+
+
+def test_tokens_that_repeat_a_place_start_at_the_earliest(spark):
+    rows = [(1, 0, 0, " so", t, 0.1) for t in (9.0, 2.0, 5.0)]
+    found = tokens.group_words(
+        spark.createDataFrame(rows, "item_id long, seg long, pos long, token string, time double, duration double").repartition(3, "time"),
+        spark.createDataFrame([(1, 0, 20.0, 0.0)], "item_id long, seg long, end double, offset double"),
+    )
+    assert [(r.seq, r.start) for r in found.collect()] == [(0, 2.0)]
