@@ -22,10 +22,14 @@ HOT = 256
 CODEC = "zstd"
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Settings under which Python tasks stay small; broadcasts are left to the session's own thresholds."""
+def ready(spark: SparkSession, broadcasts: bool = True) -> SparkSession:
+    """Settings under which Python tasks stay small; broadcasts are left to the session's own thresholds,
+    or made by no size at all, so that a job joins small tables as it does large ones."""
     for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
-        spark.conf.unset(setting)
+        if broadcasts:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, "-1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

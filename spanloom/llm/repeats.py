@@ -8,7 +8,8 @@ and strings can only be equal if their anchors' grams are.
 
 1. Anchor grams that occur once are left out: strings there are unique.
 2. Equal contexts are put together (their first occurrence keeps the bytes).
-3. Where one gram has several different contexts, these are suffix-sorted together (`suffixes`):
+3. Where one gram has several different contexts, these are cut to what they share, put together where
+   that makes them equal, and the rest are suffix-sorted together (`suffixes`):
    start positions whose suffixes agree in `length` bytes are neighbours in the order, and all but
    the earliest are repeats. Grams with more than `HOT_CONTEXTS` contexts, which no single task should
    sort, go by a 128-bit digest of each string in a group-by that is combined before the shuffle.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -35,8 +37,10 @@ from spanloom.llm.common import SLICE_BYTES, Tables, batch_of, partitions, piece
 from spanloom.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 100, 32
-HOT_CONTEXTS = 64
+HOT_CONTEXTS = 4096
+PASSES = 3  # in which all anchors meet
 SORT_BYTES = 32 << 10  # contexts of whole grams that are sorted together
+WHOLE = 1 << 16  # runs of whole contexts that are put out together
 STRETCH = 1 << 22  # bytes of a text whose anchors are found at a time
 ODD, ODD_2, MIX = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9
 
@@ -223,6 +227,7 @@ def _sorted_groups(length: int, gram_bytes: int, sort_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Hasher(ODD, 1 << 10)
         held: list[tuple[tuple, bytes]] = []
+        whole: list[list[int]] = []
         group: list[tuple[tuple, bytes]] = []
         size, gram = 0, None
 
@@ -236,18 +241,27 @@ def _sorted_groups(length: int, gram_bytes: int, sort_bytes: int):
         def close() -> int:
             if len(group) < 2:
                 return 0
-            kept = trimmed(group, found_gram(), length)
-            held.extend(kept)
-            return sum(len(data) + 1 for _, data in kept)
+            # What is equal after the cut is put together like equal contexts: the earliest is sorted.
+            first: dict[bytes, tuple] = {}
+            for place, data in sorted(trimmed(group, found_gram(), length)):
+                if first.setdefault(data, place) != place:
+                    whole.append([place[1], place[2], place[2] + len(data) - length])
+            if len(first) < 2:
+                return 0
+            held.extend((place, data) for data, place in first.items())
+            return sum(len(data) + 1 for data in first)
 
         def spans():
-            runs: list[list[int]] = []
-            for number, at in sorted(repeated_starts(held, length)):
+            runs, last = whole.copy(), None
+            for number, at in sorted(repeated_starts(held, length)) if held else []:
                 _, row, low = held[number][0]
-                if runs and runs[-1][0] == row and runs[-1][2] == low + at - 1 and runs[-1][3] == number:
+                if last == (number, at - 1):
                     runs[-1][2] = low + at
                 else:
-                    runs.append([row, low + at, low + at, number])
+                    runs.append([row, low + at, low + at])
+                last = number, at
+            held.clear()
+            whole.clear()
             return batch_of(SPANS, [r[0] for r in runs], [r[1] for r in runs], [r[2] for r in runs])
 
         for batch in batches:
@@ -255,15 +269,14 @@ def _sorted_groups(length: int, gram_bytes: int, sort_bytes: int):
                 if g != gram:
                     size += close()
                     group.clear()
-                    if size > sort_bytes:
+                    if size > sort_bytes or len(whole) > WHOLE:
                         yield spans()
-                        held.clear()
                         size = 0
                 gram = g
                 # A null doc_id is before all others.
                 group.append((((doc is not None, doc or 0), row, low), data))
         close()
-        if held:
+        if held or whole:
             yield spans()
 
     return run
@@ -318,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     """
     if not 0 < gram <= length:
         raise ValueError("a string must hold a gram")
-    ready(docs.sparkSession)
+    ready(docs.sparkSession, broadcasts=False)
     tables = Tables(docs.sparkSession)
     settle, drop = tables.settle, tables.drop
     # Stored with the texts: numbers derived again in a later job differ if the files are split otherwise.
@@ -327,9 +340,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     facts = settle(read.select("doc_id", "_row", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("_sha")), "text-facts")
     texts = read.select("text", "_row", F.col("doc_id").alias("_doc"))
     rows = settle(texts.mapInArrow(_anchor_rows(length, gram), "_gram bigint, _span bigint, _low int, _high int, _row bigint, _doc bigint"), "all-anchors")
-    shared = settle(rows.groupBy("_gram").count().filter("count > 1").select("_gram"), "shared-grams")
-    rows = settle(rows.join(shared, "_gram"), "anchors")
-    drop("all-anchors", "shared-grams")
+    # Pass by pass, so that only a part of all anchors is on its way at a time.
+    passes = []
+    for i in range(PASSES):
+        mine = rows.filter(F.pmod(F.col("_gram"), F.lit(PASSES)) == i)
+        shared = settle(mine.groupBy("_gram").count().filter("count > 1").select("_gram"), "shared-grams")
+        passes.append(settle(mine.join(shared, "_gram"), f"anchors-{i}"))
+        drop("shared-grams")
+    rows = reduce(DataFrame.unionByName, passes)
+    drop("all-anchors")
     squeezed = texts.select("text", "_row").mapInArrow(_squeezed, "_row bigint, _data binary")
     held = settle(squeezed.join(rows.select("_row").distinct(), "_row"), "candidate-texts")
     drop("numbered-texts")
@@ -341,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     firsts = spans.filter("_times > 1").select("_gram", "_span", "_first._row", "_first._low").toDF("_gram", "_span", "_first_row", "_first_low")
     later = rows.join(firsts, ["_gram", "_span"]).filter("_row <> _first_row OR _low <> _first_low").select("_row", "_low", "_high")
     later = settle(later, "later-contexts")
-    drop("anchors")
+    drop(*[f"anchors-{i}" for i in range(PASSES)])
 
     candidates = spans.join(several, "_gram").select("_gram", "_n", "_first.*")
     wanted = candidates.groupBy("_row", "_doc").agg(F.collect_list(F.struct("_gram", "_n", "_low", "_high")).alias("_wanted"))

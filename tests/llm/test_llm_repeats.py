@@ -84,3 +84,25 @@ def test_short_texts_do_not_change_hashes():
     hashers = [repeats.Hasher(base, 256) for base in (repeats.ODD, repeats.ODD_2)]
     short, long = (repeats.anchors(np.frombuffer(t, dtype=np.uint8), *hashers) for t in (b"short", bytes(range(200))))
     assert [np.concatenate(pair).dtype for pair in zip(short, long)] == [np.uint64, np.uint64, np.int64, np.int64]
+
+
+def test_contexts_that_are_equal_when_cut_are_not_sorted(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from spanloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "repeated_starts", None)
+    texts = [b"abcdGRAMefgh", b"xxcdGRAMefyy", b"wwcdGRAMefww"]
+    grams = repeats.Hasher(repeats.ODD, 64)
+    here, there = np.array([4]), np.array([8])
+    gram = int(grams.of(grams.sums(np.frombuffer(texts[0], dtype=np.uint8)), here, there).view(np.int64)[0])
+    rows = [pa.array([gram] * 3), pa.array([3, 1, 2]), pa.array([30, 10, 20]), pa.array([0, 5, 7], pa.int32()), pa.array(texts)]
+    found = list(repeats._sorted_groups(8, 4, 1)(iter([pa.RecordBatch.from_arrays(rows, names=["_gram", "_doc", "_row", "_low", "_bytes"])])))
+    assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == [(20, 9, 9), (30, 2, 2)]
+
+
+def test_small_tables_are_joined_like_large_ones(docs):
+    plan = remove_repeats(docs([(1, "a passage " * 20), (2, "a passage " * 20)]))
+    plan.collect()
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
