@@ -37,11 +37,15 @@ def document_fingerprints(spark, d):
     texts = docs.select("_bucket", "_row", F.explode(both).alias("_v")).select("_bucket", "_row", F.col("_v.edited").alias("_is_edited"), F.col("_v.about").alias("_about"), F.col("_v.text").alias("_text"))
     # Partitioned by _bucket, which is part of the keys: texts are not shuffled again.
     signed = fingerprints.signatures(texts, "_text", ["_bucket", "_row", "_is_edited", "_about"])
-    signed = settled(signed.select("_row", "_is_edited", "_about", "_signature"), "fingerprints")
-    own = signed.filter("_is_edited = 0").select("_row", "_about", F.col("_signature").alias("_own"))
-    edited = signed.filter("_is_edited = 1").select("_row", F.col("_signature").alias("_other"))
-    after = own.select(F.col("_row").alias("_next"), F.col("_own").alias("_after"))
-    rows = own.join(edited, "_row").withColumn("_next", F.col("_about.next")).join(after, "_next")
+    # Both signatures of a text lie where it does. A number is one of 32 bits.
+    both = [F.first(F.when(F.col("_is_edited") == k, F.transform("_signature", lambda v: (v - (1 << 31)).cast("int"))), ignorenulls=True).alias(c) for k, c in enumerate(("_own", "_other"))]
+    signed = signed.groupBy("_bucket", "_row").agg(F.first("_about", ignorenulls=True).alias("_about"), *both)
+    signed = settled(signed.drop("_bucket"), "fingerprints")
+    # Joined alike at any size.
+    after = signed.select(F.col("_row").alias("_next"), F.col("_own").alias("_after")).hint("merge")
+    rows = signed.withColumn("_next", F.col("_about.next")).join(after, "_next")
+    plain = {c: F.transform(c, lambda v: v.cast("bigint") + (1 << 31)) for c in ("_own", "_other", "_after")}
+    rows = rows.withColumns(plain)
     return rows.select(
         F.col("_about.doc_id").alias("doc_id"),
         F.col("_about.n_chars").alias("n_chars"),

@@ -68,3 +68,10 @@ def test_query(spark):
     for i, text in docs:
         by_text.setdefault(text, set()).add(got[i].fingerprint)
     assert all(len(prints) == 1 for prints in by_text.values())
+
+
+def test_one_join_at_any_size(spark):
+    found = R.queries["op2_fingerprints"](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
