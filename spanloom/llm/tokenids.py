@@ -31,7 +31,8 @@ from spanloom.llm.common import batch_of, partitions, pieces, ready, strings
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
+ASKED = 1 << 14  # words that the library is asked for at a time: its answers are large
 SLICE = 2 << 20
 # A space between two characters that are no white space always begins a token of its own word.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -105,16 +106,28 @@ class WordEncoder:
 
         self.library = Tokenizer.from_str(content)
         self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        # A run of letters is not cut further: no search for the words in it.
-        self.letters = Tokenizer.from_str(content)
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # A run of letters is not cut further: no search for the words in it. One library serves both ways.
+        self.usual, self.whole = self.library.pre_tokenizer, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}  # by word, without the space before it
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
-    @staticmethod
-    def _all(library, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+    def _all(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), ASKED):
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words[i : i + ASKED], add_special_tokens=False)]
+        return out
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        self.library.pre_tokenizer = self.whole
+        try:
+            return self._all(words)
+        finally:
+            self.library.pre_tokenizer = self.usual
+
+    def forget(self) -> None:
+        for known in (self.known, self.stems, self.tails):
+            known.clear()
 
     def cut(self, text: str) -> list[str]:
         if any(token in text for token in self.added):
@@ -126,7 +139,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         stems = [word.rstrip(PUNCTUATION) for word in words]
         letters = list({stem for stem in stems if stem.isalpha()} - self.stems.keys())
-        self.stems.update(zip(letters, self._all(self.letters, [" " + stem for stem in letters])))
+        self.stems.update(zip(letters, self._letters([" " + stem for stem in letters])))
         ids, tails, others = self.stems.get, self.tails, []
         for word, stem in zip(words, stems):
             body = ids(stem)
@@ -137,18 +150,17 @@ class WordEncoder:
             else:
                 tail = word[len(stem) :]
                 if tail not in tails:
-                    tails[tail] = self._all(self.library, [tail])[0]
+                    tails[tail] = self._all([tail])[0]
                 self.known[word] = body + tails[tail]
-        self.known.update(zip(others, self._all(self.library, [" " + word for word in others])))
+        self.known.update(zip(others, self._all([" " + word for word in others])))
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         cut = [self.cut(text) for text in texts]
-        heads = self._all(self.library, [words[0] for words in cut])
+        heads = self._all([words[0] for words in cut])
         every = set().union(*(words[1:] for words in cut)) if cut else set()
         new = every - self.known.keys()
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear(), self.stems.clear()
-            self.tails.clear()
+            self.forget()
             new = every
         self._learn(list(new))
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -170,16 +182,21 @@ def _segments(content: str, end_id: int, limit: int):
             row = {"part": part, "segment": number, "n_ids": len(ids), "doc_ids": doc_ids, "doc_tokens": [len(f) for f in found], "levels": pack(ids)}
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT)
 
-        for batch in pieces(batches, "text", SLICE):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(strings(batch, "text"), end_id)):
-                if found and size + len(ids) > limit:
-                    yield segment()
-                    doc_ids, found, size, number = [], [], 0, number + 1
-                doc_ids.append(doc_id)
-                found.append(ids)
-                size += len(ids)
-        if found:
-            yield segment()
+        try:
+            for batch in pieces(batches, "text", SLICE):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(strings(batch, "text"), end_id)):
+                    if found and size + len(ids) > limit:
+                        yield segment()
+                        doc_ids, found, size, number = [], [], 0, number + 1
+                    doc_ids.append(doc_id)
+                    found.append(ids)
+                    size += len(ids)
+            if found:
+                yield segment()
+        finally:
+            # The worker goes on to other tasks; what a task leaves in cycles must not stay in it.
+            encoder.forget()
+            gc.enable()
 
     return run
 

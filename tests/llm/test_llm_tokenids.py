@@ -62,3 +62,23 @@ def test_edges(spark, docs):
     rows = [(5, "five five"), (1, None), (2, ""), (2, ""), (None, "none"), (9, "word " * 5000), (-3, "x"), (4, "end <|endoftext|> of text"), (6, "<|endoftext|>")]
     check(spark, rows, docs(rows), 100)
     check(spark, [], docs([]), 100)
+
+
+def test_the_library_is_asked_for_few_words_at_a_time(monkeypatch):
+    class Asked:
+        def __init__(self, library):
+            self.library, self.pre_tokenizer, self.most = library, library.pre_tokenizer, 0
+
+        def encode_batch_fast(self, words, **options):
+            self.most = max(self.most, len(words))
+            self.library.pre_tokenizer = self.pre_tokenizer
+            return self.library.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(tokenids, "ASKED", 4)
+    encoder = tokenids.WordEncoder(open(PATH, encoding="utf-8").read())
+    encoder.library = Asked(encoder.library)
+    texts = [" ".join(f"word{chr(97 + i)} {i}x, tail{chr(97 + i)}." for i in range(20)), *["x y"] * 9]
+    assert [f.tolist() for f in encoder.encode(texts, 2)] == [ids_of(t) for t in texts]
+    assert encoder.library.most == 4 and encoder.known
+    encoder.forget()
+    assert not (encoder.known or encoder.stems or encoder.tails)
