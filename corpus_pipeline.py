@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import language, lines, mixing, pieces, shingles, simhash
-from spanloom.llm.common import ready, settled
+from spanloom.llm.common import Tables, passing, ready, settled
 from spanloom.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, TREE, with_domain
 
 # Text whose best language still needs a phrase for every two bytes is in none of the languages.
@@ -102,8 +102,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`; each stage's result is written to the shared folder and read
-    again as the next one's documents."""
-    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    again as the next one's documents. When it is whole, the tables that it was made of go."""
+    docs, tables = ready(spark).read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name)
+        before = list(tables.paths)
+        with passing(spark):
+            docs = tables.settle(stage(spark, docs, sf_dir), name)
+        tables.drop(*before)
     return STAGES[-1][1](spark, docs, sf_dir)

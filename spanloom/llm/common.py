@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,10 +43,31 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet to the shared checkpoint folder and read back: later steps read
     it instead of computing it again, and a lost executor costs only the tasks after it."""
     path = scratch(df.sparkSession, name)
+    for paths in _PASSING[-1:]:
+        paths.append(path)
     df.write.parquet(path, compression=CODEC)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that `settled` writes inside go at the end: whatever is made of them must be whole by then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Tables:
     """Settled tables of one run by name, dropped as soon as the tables made of them are whole."""
 
@@ -61,10 +83,8 @@ class Tables:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        context = self.spark.sparkContext
         for name in names:
-            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.paths.pop(name))
 
 
 def partitions(spark: SparkSession) -> int:

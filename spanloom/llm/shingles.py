@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from spanloom.llm.simhash import components
 
 WORDS, SHARE, SEED = 5, (4, 5), 42
 PART = 25
+PASSES = 3  # in which the shingles of all prefixes meet
 FIRST = 4  # shared shingles of a node in the first round
 SAMPLE = 4_000  # documents that common shingles are sought in, about
 COMMON, COMMON_LEAST = 1 << 16, 8  # how many are put last, and their least count in the sample
@@ -121,9 +123,9 @@ def _similar(share: tuple[int, int]):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], tables: Tables, name: str) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+    """Those of the pairs (a, b) that link. Joined alike at any size, as the two joins of entries below."""
     left, right = sets.toDF("a", "_left"), sets.toDF("b", "_right")
-    joined = tables.settle(pairs, f"{name}-pairs").join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
+    joined = tables.settle(pairs, f"{name}-pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "_left", "_right")
     links = tables.settle(joined.mapInArrow(_similar(share), "a bigint, b bigint"), f"{name}-links")
     tables.drop(f"{name}-pairs")
     return links
@@ -177,18 +179,22 @@ def shingle_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     prefixes = settle(prefixes.join(owners, ["_node", "_row"], "left_semi").select("_node", "_row", "_n", "_prefix"), "node-prefixes")
     drop("shingle-prefixes")
 
-    shared = prefixes.select(F.explode("_prefix").alias("_gram")).groupBy("_gram").count().filter("count > 1").select("_gram")
-    shared = settle(shared, "shared-shingles")
-    entries = prefixes.select("_node", "_row", "_n", F.posexplode("_prefix").alias("_pos", "_gram")).join(shared, "_gram", "left_semi")
-    entries = settle(entries, "shared-entries")
-    drop("node-prefixes", "shared-shingles")
+    # Pass by pass, so that only a part of the prefixes' shingles is on its way at a time.
+    every, passes = prefixes.select("_node", "_row", "_n", F.posexplode("_prefix").alias("_pos", "_gram")), []
+    for i in range(PASSES):
+        mine = every.filter(F.pmod(F.col("_gram"), F.lit(PASSES)) == i)
+        shared = settle(mine.groupBy("_gram").count().filter("count > 1").select("_gram"), "shared-shingles")
+        passes.append(settle(mine.join(shared.hint("merge"), "_gram", "left_semi"), f"shared-entries-{i}"))
+        drop("shared-shingles")
+    entries = reduce(DataFrame.unionByName, passes)
+    drop("node-prefixes")
     # A set of n links with sets of n * share at least.
     enough = _least_shared(F.ceil(F.col("_n") * share[0] / share[1]))
     busy = entries.groupBy("_row", "_node", "_n").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= enough)
     busy = settle(busy.select("_row", "_node"), "busy-nodes")
     entries = entries.join(busy.select("_node"), "_node", "left_semi").select("_gram", "_node", "_n", "_pos")
     entries = settle(entries, "shingle-entries")
-    drop("shared-entries")
+    drop(*[f"shared-entries-{i}" for i in range(PASSES)])
     sets = docs.select("_row", "text").join(busy, "_row").select("_node", "text").mapInArrow(_sets(words), "_node bigint, _set binary")
     sets = settle(sets, "shingle-sets")
     # By hash, so that near copies choose the same ones.
@@ -205,7 +211,7 @@ def shingle_groups(docs: DataFrame, words: int = WORDS, share: tuple[int, int] =
     rooted = settle(entries.join(settle(roots, "shingle-roots"), "_node").select("_gram", "_node", "_n", "_pos", "_root"), "rooted-entries")
     drop("shingle-entries", "shingle-roots", "busy-nodes")
     mixed = rooted.groupBy("_gram").agg(F.min("_root").alias("low"), F.max("_root").alias("high")).filter("low <> high").select("_gram")
-    still = settle(rooted.join(settle(mixed, "open-shingles"), "_gram", "left_semi"), "open-entries")
+    still = settle(rooted.join(settle(mixed, "open-shingles").hint("merge"), "_gram", "left_semi"), "open-entries")
     drop("rooted-entries", "open-shingles")
     links = links.unionByName(_linked(candidates(still, share), sets, share, tables, "second"))
     drop("open-entries", "shingle-sets")
