@@ -15,6 +15,7 @@ the order of the ids.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import string
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,14 @@ from spanloom.llm.common import batch_of, partitions, pieces, ready, strings
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 ASKED = 1 << 14  # words that the library is asked for at a time: its answers are large
-SLICE = 2 << 20
+SLICE = 4 << 20
 # A space between two characters that are no white space always begins a token of its own word.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-# A text without any of these, and without a space at its ends, has such a space in every space.
+# White space of a text without any of these, and without white space at its ends, is single spaces and line ends.
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-UNEVEN = ["  ", " \n", "\n ", *SPACES]
+UNEVEN = ["  ", " \n", "\n ", "\n\n", *SPACES]
 PUNCTUATION = string.punctuation
 
 LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
@@ -96,7 +98,9 @@ def token_at(levels: list[dict[str, bytes]], place: int) -> int:
 
 
 class WordEncoder:
-    """A byte-level BPE of the tokenizers library, asked once per word: a text is cut before spaces
+    """A byte-level BPE of the tokenizers library, asked once per word. A text whose white space is single
+    spaces and line ends, each between two other characters, is cut at all of them: a line end is a word
+    of its own there, and what follows it begins without a space. Other texts are cut before spaces
     between two characters that are no white space, where a new word begins in any case. A word of
     letters and the ASCII punctuation behind it are words of their own to the tokenizer, so they are
     asked for one by one. A text that holds an added token of the tokenizer goes to it whole."""
@@ -108,8 +112,9 @@ class WordEncoder:
         self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         # A run of letters is not cut further: no search for the words in it. One library serves both ways.
         self.usual, self.whole = self.library.pre_tokenizer, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}  # by word, without the space before it
-        self.stems: dict[str, bytes] = {}
+        self.line = self._all(["\n"])[0]
+        self.stems: dict[str, bytes] = {}  # with the space before them, if there is one
+        self.known: dict[str, bytes] = {}  # words that are not letters and punctuation
         self.tails: dict[str, bytes] = {}
 
     def _all(self, words: list[str]) -> list[bytes]:
@@ -126,52 +131,74 @@ class WordEncoder:
             self.library.pre_tokenizer = self.usual
 
     def forget(self) -> None:
-        for known in (self.known, self.stems, self.tails):
+        for known in (self.stems, self.known, self.tails):
             known.clear()
 
+    def even(self, text: str) -> bool:
+        if text[:1].isspace() or text[-1:].isspace() or any(rare in text for rare in UNEVEN):
+            return False
+        return not any(token in text for token in self.added)
+
     def cut(self, text: str) -> list[str]:
-        if any(token in text for token in self.added):
-            return [text]
-        if text[:1] == " " or text[-1:] == " " or any(rare in text for rare in UNEVEN):
-            return CUT.split(text)
-        return text.split(" ")
+        return [text] if any(token in text for token in self.added) else CUT.split(text)
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, a space before them where the text has one."""
         stems = [word.rstrip(PUNCTUATION) for word in words]
-        letters = list({stem for stem in stems if stem.isalpha()} - self.stems.keys())
-        self.stems.update(zip(letters, self._letters([" " + stem for stem in letters])))
-        ids, tails, others = self.stems.get, self.tails, []
-        for word, stem in zip(words, stems):
-            body = ids(stem)
-            if body is None:
-                others.append(word)
-            elif len(stem) == len(word):
-                self.known[word] = body
-            else:
-                tail = word[len(stem) :]
-                if tail not in tails:
-                    tails[tail] = self._all([tail])[0]
-                self.known[word] = body + tails[tail]
-        self.known.update(zip(others, self._all([" " + word for word in others])))
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        ends = [word[len(stem) :] for word, stem in zip(words, stems)]
+        if len(self.stems) + len(self.known) + len(words) > KNOWN_WORDS:
+            self.forget()
+        new = set(stems) - self.stems.keys()
+        letters = [stem for stem in new if stem.removeprefix(" ").isalpha()]
+        new.difference_update(letters)
+        others = [word for word, stem in zip(words, stems) if stem in new and word not in self.known]
+        self.stems.update(zip(letters, self._letters(letters)))
+        self.known.update(zip(others, self._all(others)))
+        tails = list(set(ends) - self.tails.keys())
+        self.tails.update(zip(tails, self._all(tails)))
+        found, tails = map(self.stems.get, stems), self.tails
+        return [self.known[word] if ids is None else ids + tails[end] if end else ids for word, end, ids in zip(words, ends, found)]
+
+    def _even(self, texts: list[str], end: np.ndarray) -> list[np.ndarray]:
+        rows = pa.array([("\n" + text).replace("\n", " \n")[1:] for text in texts], type=pa.large_string())
+        lists = pc.split_pattern(rows, " ")
+        words = lists.flatten().dictionary_encode()
+        distinct, place = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        heads = [word[0] == "\n" for word in distinct]
+        found = self._ids([word[1:] if head else " " + word for word, head in zip(distinct, heads)])
+        found = [self.line + ids if head else ids for ids, head in zip(found, heads)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        starts, counts = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(starts[place] - ends + counts, counts) + np.arange(ends[-1])]
+        # The line end before a text is not its own.
+        last = ends[lists.offsets.to_numpy()[1:] - 1].tolist()
+        skip = len(self.line) >> 2
+        return [np.concatenate([ids[a + skip : b], end]) for a, b in zip([0, *last], last)]
+
+    def _uneven(self, texts: list[str], end: np.ndarray) -> list[np.ndarray]:
         cut = [self.cut(text) for text in texts]
         heads = self._all([words[0] for words in cut])
-        every = set().union(*(words[1:] for words in cut)) if cut else set()
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.forget()
-            new = every
-        self._learn(list(new))
-        end = np.array([end_id], dtype="<u4").tobytes()
-        find = self.known.__getitem__
-        return [np.frombuffer(b"".join([head, *map(find, words[1:]), end]), dtype="<u4") for head, words in zip(heads, cut)]
+        words = list(set().union(*(words[1:] for words in cut)))
+        find = dict(zip(words, self._ids([" " + word for word in words]))).__getitem__
+        return [np.frombuffer(b"".join([head, *map(find, words[1:]), end.tobytes()]), dtype="<u4") for head, words in zip(heads, cut)]
+
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        end = np.array([end_id], dtype="<u4")
+        even = [self.even(text) for text in texts]
+        sides = {}
+        for kind, method in ((True, self._even), (False, self._uneven)):
+            mine = [text for text, e in zip(texts, even) if e is kind]
+            sides[kind] = iter(method(mine, end) if mine else [])
+        return [next(sides[e]) for e in even]
 
 
 def _segments(content: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        # A task has one core: threads of the library's own double the CPU time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.disable()  # nothing here makes cycles, and going through the tables of words takes long
         encoder = WordEncoder(content)
         part, number = TaskContext.get().partitionId(), 0

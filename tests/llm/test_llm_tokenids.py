@@ -82,3 +82,37 @@ def test_the_library_is_asked_for_few_words_at_a_time(monkeypatch):
     assert encoder.library.most == 4 and encoder.known
     encoder.forget()
     assert not (encoder.known or encoder.stems or encoder.tails)
+
+
+def test_words_around_line_ends_are_asked_for_alone(monkeypatch):
+    class Asked:
+        def __init__(self, library):
+            self.library, self.pre_tokenizer, self.words = library, library.pre_tokenizer, []
+
+        def encode_batch_fast(self, words, **options):
+            self.words += words
+            self.library.pre_tokenizer = self.pre_tokenizer
+            return self.library.encode_batch_fast(words, **options)
+
+    encoder = tokenids.WordEncoder(open(PATH, encoding="utf-8").read())
+    encoder.library = Asked(encoder.library)
+    texts = ["One two.\nThree two,\nfour", "Three\ntwo. four", "\nfour two", "four\n\ntwo", "'s\n's x", "4\nfour\n.", "", "\n"]
+    assert [f.tolist() for f in encoder.encode(texts[:2], 2)] == [ids_of(t) for t in texts[:2]]
+    assert sorted(encoder.library.words) == sorted(["One", " two", "Three", "four", " four", "two", "", ".", ","])
+    assert [f.tolist() for f in encoder.encode(texts, 2)] == [ids_of(t) for t in texts]
+
+
+def test_a_task_uses_one_thread_of_the_library(monkeypatch):
+    import os
+
+    import pyspark
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("Part", (), {"partitionId": staticmethod(lambda: 0)})
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    list(tokenids._segments(open(PATH, encoding="utf-8").read(), 2, 10)(iter(())))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
