@@ -37,8 +37,11 @@ WORDS, SHARE, SEED = 5, (4, 5), 42
 PART = 25
 PASSES = 3  # in which the shingles of all prefixes meet
 FIRST = 4  # shared shingles of a node in the first round
-SAMPLE = 4_000  # documents that common shingles are sought in, about
-COMMON, COMMON_LEAST = 1 << 16, 8  # how many are put last, and their least count in the sample
+SAMPLE = 4_000  # documents that common shingles are sought in at least, about
+SAMPLE_SHARE = 8  # and one in so many of larger tables
+# How many are put last, and their least count in the sample: with a sample that grows with the table, a
+# shingle that about 64 documents share is common in a table of any size, up to the bound of the list.
+COMMON, COMMON_LEAST = 1 << 20, 8
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -78,12 +81,14 @@ def _grams(words: int):
 
 
 def common_shingles(docs: DataFrame, words: int, sample: int) -> np.ndarray:
-    """The shingles that are frequent in a sample of `docs`: a bounded list, sorted."""
-    every = max(1, docs.count() // sample)
+    """The shingles that are frequent in a sample of `docs`: a bounded list, sorted. The sample is a share of
+    the table: one of a fixed size would count as rare what more and more documents share, and those meet
+    in pairs."""
+    every = min(SAMPLE_SHARE, max(1, docs.count() // sample))
     rows = docs.filter(F.pmod(F.xxhash64("text", "_row"), F.lit(every)) == 0).select("text")
     counts = rows.mapInArrow(_grams(words), "_gram bigint").groupBy("_gram").count().filter(F.col("count") >= COMMON_LEAST)
-    found = [row["_gram"] for row in counts.orderBy(F.desc("count"), "_gram").limit(COMMON).collect()]
-    return np.array(sorted(found), dtype=np.int64)
+    found = counts.orderBy(F.desc("count"), "_gram").limit(COMMON).select("_gram").toArrow()
+    return np.sort(found.column("_gram").to_numpy()).astype(np.int64)
 
 
 def _prefixes(words: int, share: tuple[int, int], common):

@@ -103,3 +103,16 @@ def test_a_common_passage_makes_few_candidates(spark):
     df = settled(spark.createDataFrame([(i, i, t) for i, t in rows], "_row bigint, doc_id bigint, text string"), "texts")
     got = {r.doc_id: r.component_id for r in shingles.shingle_groups(df).collect()}
     assert got == {i: 2000 if i == 2001 else i for i, _ in rows}
+
+
+def test_what_many_documents_share_is_common_in_tables_of_any_size(spark, monkeypatch):
+    """Forty passages, each in 80 of 3,200 texts: a sample of 100 texts holds each of them two or three times."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    passages = [" ".join(word() for _ in range(5)) for _ in range(40)]
+    rows = [(i, i, f"{' '.join(word() for _ in range(12))} {passages[i % 40]}") for i in range(3200)]
+    docs = spark.createDataFrame(rows, "_row bigint, doc_id bigint, text string")
+    monkeypatch.setattr(shingles, "COMMON_LEAST", 4)
+    found = set(shingles.common_shingles(docs, 5, 100).tolist())
+    wanted = {int(shingles.shingle_set(p)[0]) for p in passages}
+    assert len(wanted & found) >= 36 and len(found) <= 200
