@@ -52,6 +52,10 @@ _NUMBERISH = r"(?U)\d|(?:^|\s)(?:" + "|".join(sorted(spoken.ROLES)) + r")(?:\s|$
 _NON_ASCII = r"[^\x00-\x7F]"
 _REWRITABLE = r"(?U)'|\b(?:" + "|".join(p.strip("\\b") for p, _ in REWRITES if "'" not in p) + r")\b"
 _ASCII_SYMBOLS = r"[\p{M}\p{S}\p{P}&&[^.%$¢€£]]"
+# A word of ASCII letters with at most one mark behind it loses the mark and its capitals and nothing
+# else, unless it is one of these.
+_SINGLE_WORD = r"^[A-Za-z]+[.,!?;:]?\z"
+_NOT_PLAIN = sorted({*FILLERS, *(p.removeprefix(r"\b").removesuffix(r"\b") for p, _ in REWRITES if "'" not in p), *spoken.ROLES})
 
 
 def _col(column: Column | str) -> Column:
@@ -143,10 +147,14 @@ def normalized(df: DataFrame, column: str, out: str, spellings: Mapping[str, str
     """`df` with `out`, the normal form of `column`.
 
     Each step is a column of its own: a column read more than once is computed once, and the 49
-    rewrites run only on texts that hold an apostrophe or one of their words.
+    rewrites run only on texts that hold an apostrophe or one of their words. Single plain words, which
+    are most rows of a table of words, take none of the steps (NULL goes through them).
     """
-    first, rewritten, plain, needs, spoken_form = (f"__{out}{i}" for i in range(5))
-    df = df.withColumn(first, drop_asides(column))
+    first, rewritten, plain, needs, spoken_form, quick = (f"__{out}{i}" for i in range(6))
+    word = F.rtrim(F.lower(column), F.lit(".,!?;:"))
+    single = F.lit(False) if spellings else F.col(column).rlike(_SINGLE_WORD) & ~word.isin(_NOT_PLAIN)
+    df = df.withColumn(quick, F.when(single, word))
+    df = df.withColumn(first, drop_asides(F.when(F.col(quick).isNull(), F.col(column))))
     df = df.withColumn(
         rewritten,
         join_digits(F.when(F.col(first).rlike(_REWRITABLE), expand_contractions(first)).otherwise(F.col(first))),
@@ -155,8 +163,8 @@ def normalized(df: DataFrame, column: str, out: str, spellings: Mapping[str, str
     df = df.withColumn(needs, F.col(rewritten).rlike(_NON_ASCII) | F.col(plain).rlike(_NUMBERISH))
     df = df.withColumn(spoken_form, spoken.folded_numbers(F.when(F.col(needs), F.col(rewritten))))
     chosen = F.when(F.col(needs), F.col(spoken_form)).otherwise(F.col(plain))
-    df = df.withColumn(out, final_symbols(standardize_spellings(chosen, spellings)))
-    return df.drop(first, rewritten, plain, needs, spoken_form)
+    df = df.withColumn(out, F.coalesce(quick, final_symbols(standardize_spellings(chosen, spellings))))
+    return df.drop(first, rewritten, plain, needs, spoken_form, quick)
 
 
 def with_norm_tokens(df: DataFrame, column: str, out: str, spellings: Mapping[str, str] | None = None) -> DataFrame:

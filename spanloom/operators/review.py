@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import ReviewSettings
@@ -14,7 +14,7 @@ from spanloom.operators.intervals import (
     union_seconds,
     union_spans,
 )
-from spanloom.operators.scans import Scan, bucketed_scan, numbered, time_bucket
+from spanloom.operators.scans import numbered, time_bucket
 from spanloom.session import settle
 
 # Word times come from decimal seconds; length and border tests carry this tolerance.
@@ -22,6 +22,8 @@ TOLERANCE = 1e-9
 
 SPAN = ["item_id", "span_start", "span_end"]
 
+CHUNK = 4096  # positions of words by which buckets and probes meet
+
 
 def silent_spans(published: DataFrame, items: DataFrame) -> DataFrame:
     """Stretches of [0, audio_s] no published word covers, leading and trailing ones included."""
@@ -58,7 +60,8 @@ def targeted_check(published: DataFrame, speech: DataFrame, items: DataFrame, se
 
 def border_words(spans: DataFrame, published: DataFrame, detector: DataFrame) -> DataFrame:
     """For every span (with `n`, the words inside): the last n words of each source ending
-    before it and the first n starting after it, as arrays of normal forms in time order."""
+    before it and the first n starting after it, as arrays of normal forms in time order. A probe takes
+    them from its own time bucket; only what is left comes from buckets beside it, by a join."""
     words = published.select("item_id", F.lit("p").alias("source"), "seq", "start", "end", "text").unionByName(
         detector.select("item_id", F.lit("d").alias("source"), "seq", "start", "end", "text")
     )
@@ -78,26 +81,50 @@ def border_words(spans: DataFrame, published: DataFrame, detector: DataFrame) ->
             )
         ]
     )
-    asks = spans.select(*SPAN, "n", F.inline(probes))
-    both = rows.unionByName(asks, allowMissingColumns=True)
+    asks = spans.select("item_id", F.struct("span_start", "span_end", F.col("n").cast("long").alias("n")).alias("ask"), F.inline(probes))
     keys = ["item_id", "source", "side"]
-    at = Scan("at", "sum_before", F.when(F.col("flag") == 0, 1).otherwise(0))
-    # Read as words and as probes by the join below.
-    placed = settle(bucketed_scan(both, keys, time_bucket("t"), ["t", "flag", "u", "seq"], [at]))
-    first = F.when(F.col("side") == "b", F.greatest(F.col("at") - F.col("n"), F.lit(0))).otherwise(F.col("at"))
-    last = F.when(F.col("side") == "b", F.col("at") - 1).otherwise(F.col("at") + F.col("n") - 1)
-    wanted = (
-        placed.where(F.col("flag") != 0)
-        .withColumns({"first": first, "last": last})
-        .where(F.col("last") >= F.col("first"))
-        .select(*keys, "span_start", "span_end", F.explode(F.sequence("first", "last")).alias("at"))
-    )
-    found = wanted.join(placed.where(F.col("flag") == 0).select(*keys, "at", "text"), [*keys, "at"])
+    both = rows.unionByName(asks, allowMissingColumns=True).withColumn("__b", time_bucket("t")).where(F.col("__b").isNotNull())
+    # A row per bucket: its words in order, and its probes with the number of its words before each.
+    entry = F.struct("t", "flag", "u", "seq", "text", "ask")
+    blocks = both.groupBy(*keys, "__b").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    asked = F.filter(F.transform("all", lambda x, i: F.struct(x["ask"].alias("ask"), i.alias("i"))), lambda x: x["ask"].isNotNull())
+    texts = F.transform(F.filter("all", lambda x: x["ask"].isNull()), lambda x: x["text"])
+    blocks = blocks.select(*keys, "__b", asked.alias("asked"), texts.alias("texts"))
+    blocks = settle(blocks.withColumn("asked", F.transform("asked", lambda x, j: F.struct(x["ask"].alias("ask"), (x["i"] - j).alias("at")))))
+    before = F.col("side") == "b"
+
+    def taken(x: Column) -> Column:
+        """The words of a probe's own bucket among its n, and how many are left to its neighbours."""
+        n, at = x["ask"]["n"], x["at"]
+        here = F.least(n, F.when(before, at).otherwise(F.size("texts") - at)).cast("int")
+        own = F.slice("texts", F.when(before, at - here).otherwise(at) + 1, here)
+        return F.struct(x["ask"]["span_start"].alias("span_start"), x["ask"]["span_end"].alias("span_end"), own.alias("own"), (n - here).alias("left"))
+
+    near = blocks.select(*keys, "__b", F.inline(F.transform("asked", taken)))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # Of the buckets only their sizes go through the window.
+    sizes = blocks.select(*keys, "__b", F.size("texts").cast("long").alias("size"))
+    sizes = sizes.withColumn("from", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    far = near.where(F.col("left") > 0).drop("own").join(sizes, [*keys, "__b"])
+    first = F.when(before, F.greatest(F.col("from") - F.col("left"), F.lit(0))).otherwise(F.col("from") + F.col("size"))
+    last = F.when(before, F.col("from") - 1).otherwise(F.col("from") + F.col("size") + F.col("left") - 1)
+    far = far.select(*keys, "span_start", "span_end", first.alias("first"), last.alias("last")).where(F.col("last") >= F.col("first"))
+    chunk = lambda c: F.floor(c / CHUNK)
+    far = far.withColumn("chunk", F.explode(F.sequence(chunk(F.col("first")), chunk(F.col("last")))))
+    end = F.col("from") + F.col("size")
+    met = sizes.where(F.col("size") > 0).withColumn("chunk", F.explode(F.sequence(chunk(F.col("from")), chunk(end - 1))))
+    begin = F.greatest("first", "from")
+    # A probe and a bucket meet in the chunk of their first common word.
+    met = far.join(met, [*keys, "chunk"]).where((F.col("first") < end) & (F.col("from") <= F.col("last")) & (F.col("chunk") == chunk(begin)))
+    met = met.join(blocks.select(*keys, "__b", "texts"), [*keys, "__b"])
+    piece = F.slice("texts", (begin - F.col("from") + 1).cast("int"), (F.least(F.col("last") + 1, end) - begin).cast("int"))
+    pieces = near.drop("left").unionByName(met.select(*keys, "__b", "span_start", "span_end", piece.alias("own")))
+    found = pieces.select(*keys, "__b", "span_start", "span_end", F.posexplode("own").alias("at", "text"))
     found = normalized(found, "text", "norm")
 
     def side(source: str, which: str, name: str) -> Column:
-        here = F.when((F.col("source") == source) & (F.col("side") == which), F.struct("at", "norm"))
-        return F.transform(F.array_sort(F.collect_list(here)), lambda x: x["norm"]).alias(name)
+        here = F.when((F.col("source") == source) & (F.col("side") == which), F.struct("__b", "at", "norm"))
+        return F.transform(F.sort_array(F.collect_list(here)), lambda x: x["norm"]).alias(name)
 
     return found.groupBy(*SPAN).agg(
         side("p", "b", "before"), side("p", "a", "after"), side("d", "b", "d_before"), side("d", "a", "d_after")
@@ -151,7 +178,7 @@ def candidate_spans(published: DataFrame, detector: DataFrame, items: DataFrame,
     filled = (
         normalized(pairs, "text", "norm")
         .groupBy(*SPAN)
-        .agg(F.array_sort(F.collect_list(word)).alias("words"))
+        .agg(F.sort_array(F.collect_list(word)).alias("words"))
         .where(F.size("words") >= settings.min_detector_words)
     )
     if settings.min_detector_words == 0:

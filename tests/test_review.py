@@ -192,3 +192,51 @@ def test_as_of(spark):
     rows = spark.createDataFrame([(1, 1.0, "a"), (1, 1.0, "b"), (1, 3.0, "c")], "item_id long, start double, v string")
     got = as_of(probes, rows, ["item_id"], "t", "start", F.col("v"), "hit", tie=F.col("v"))
     assert [(r.t, r.hit) for r in got.orderBy("t").collect()] == [(0.5, None), (1.0, "b"), (5000.0, "c")]
+
+
+def borders_plainly(spans, published, detector):
+    tol, out = rv.TOLERANCE, {}
+    for item, s, e, n in spans:
+        sides = []
+        for source in (published, detector):
+            mine = [w for w in source if w[0] == item]
+            ended = [w for w in sorted(mine, key=lambda w: (w[3], w[2], w[4])) if w[3] <= s + tol]
+            after = [w for w in sorted(mine, key=lambda w: (w[2], w[3], w[4])) if w[2] >= e - tol]
+            sides += [[w[1] for w in ended[max(0, len(ended) - n):]], [w[1] for w in after[:n]]]
+        if any(sides):
+            out[(item, s, e)] = tuple(sides)
+    return out
+
+
+def test_border_words_come_from_blocks_of_buckets(spark, monkeypatch):
+    """Also from buckets far away and over several position chunks; no table has a row a word."""
+    rng = random.Random(8)
+    sources = []
+    for _ in range(2):
+        rows = []
+        for item in (1, 2):
+            for seq in range(400):
+                s = round(rng.choice([rng.uniform(0, 700), rng.uniform(3000, 9000), 1200.0]), 2)
+                rows.append((item, "qz" + chr(97 + rng.randrange(26)) + "x", s, round(s + rng.choice([0.2, 0.4, 50.0]), 2), seq))
+        sources.append(rows)
+    spans = []
+    for item in (1, 2, 3):
+        for _ in range(25):
+            s = round(rng.uniform(0, 9000), 2)
+            spans.append((item, s, round(s + rng.uniform(1, 300), 2), rng.choice([1, 3, 40, 300])))
+    schema = "item_id long, text string, start double, end double, seq long"
+    p, d = (spark.createDataFrame(rows, schema) for rows in sources)
+    asked = spark.createDataFrame(spans, "item_id long, span_start double, span_end double, n int")
+    sizes, settle = [], rv.settle
+
+    def counted(df):
+        out = settle(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rv, "settle", counted)
+    for chunk in (rv.CHUNK, 7):
+        monkeypatch.setattr(rv, "CHUNK", chunk, raising=False)
+        got = {(r.item_id, r.span_start, r.span_end): (r.before, r.after, r.d_before, r.d_after) for r in rv.border_words(asked, p, d).collect()}
+        assert got == borders_plainly(spans, *sources)
+    assert max(sizes) < 800

@@ -93,3 +93,16 @@ def test_spellings_are_the_callers(spark):
     table = spark.createDataFrame([("harbour", "harbor")], "word string, respelled string")
     assert t.respell(df, "text", table, ["id"]).first().text == "the harbor of x"
     assert t.normaliser_version() != t.normaliser_version({"harbour": "harbor"})
+
+
+def test_single_plain_words_take_no_rewrites(spark):
+    """They read as before; a word that some step knows, or another sign, goes through all steps."""
+    marks = ("", ".", ",", "!", "?", ";", ":")
+    known = [w.upper() + m for w in t._NOT_PLAIN for m in marks]
+    plain = ["Word" + m for m in marks] + ["a", "ZZ.", "umm,", "tens"]
+    odd = ["word\n", "it's", "a.b", "Café.", "word..", "x1", "", " ", ".", "K"]
+    df = spark.createDataFrame([(x,) for x in [*known, *plain, *odd]] + [(None,)], "text string")
+    quick = t.normalized(df, "text", "norm")
+    # With a spelling table every text goes through all steps; this one changes nothing.
+    slow = t.normalized(df, "text", "norm", {"nosuchword": "nosuchword"})
+    assert sorted(map(str, quick.collect())) == sorted(map(str, slow.collect()))
