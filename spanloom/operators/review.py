@@ -229,7 +229,9 @@ def ratio(numerator: Column, denominator: Column, otherwise: Column | None = Non
 
 def evaluate_review(marks: DataFrame, published: DataFrame, reference: DataFrame, items: DataFrame) -> DataFrame:
     """One row per item: counts, precision, recall, and the audio the marks ask to hear."""
-    dropped = dropped_words(published, reference)
+    # Few rows next to the words, and read again by the joins below.
+    marks = settle(marks)
+    dropped = settle(dropped_words(published, reference).select("item_id", "seq", "start", "end"))
     zero = F.lit(0).cast("bigint")
 
     def measure(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -240,3 +240,13 @@ def test_border_words_come_from_blocks_of_buckets(spark, monkeypatch):
         got = {(r.item_id, r.span_start, r.span_end): (r.before, r.after, r.d_before, r.d_after) for r in rv.border_words(asked, p, d).collect()}
         assert got == borders_plainly(spans, *sources)
     assert max(sizes) < 800
+
+
+def test_evaluation_settles_what_it_reads_again(spark, monkeypatch):
+    settled, settle = [], rv.settle
+    monkeypatch.setattr(rv, "settle", lambda df: settled.append(df.columns) or settle(df))
+    ref = words(spark, [("a", 0, 1), ("b", 4, 5), ("c", 8, 9)])
+    marks = spark.createDataFrame([(1, 3.0, 6.0, 3.5, 5.5)], "item_id long, start double, end double, span_start double, span_end double")
+    row = rv.evaluate_review(marks, words(spark, [("a", 0, 1)]), ref, items(spark, (1, 10))).collect()[0]
+    assert (row.marks, row.marks_on_speech, row.dropped_words, row.dropped_covered, row.audio_to_review_s) == (1, 1, 2, 1, 3.0)
+    assert sum("span_start" in c for c in settled) == 1 and sum("seq" in c for c in settled) == 1
