@@ -155,3 +155,43 @@ def test_arriving_parts(spark, tmp_path):
     stream = feed(spark, tmp_path / "in", rows, schema)
     drain(lv.arriving_parts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
     assert sorted(r.parts for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_words_of_a_batch_are_taken_as_lists(monkeypatch):
+    """A row of a frame costs several times the work on it, so the processor goes through none."""
+    import pandas as pd
+    from spanloom.config import ReviewSettings
+
+    class State(dict):
+        value = None
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+        iterator = lambda self: iter(list(self.items()))
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            super().clear()
+            self.value = None
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: State()
+
+    monkeypatch.delattr(pd.DataFrame, "itertuples")
+    columns = ["kind", "source", "seq", "text", "start", "end", "audio_s", "shown", "norm"]
+    said = [("word", "publisher", n, f"p{n}", 2.0 * n, 2.0 * n + 0.5, None, f"p{n}", f"p{n}") for n in range(600)]
+    heard = [("word", "detector", 2 * n + k, "d", 2.0 * n + 0.6 + k * 0.5, 2.0 * n + 0.9 + k * 0.5, None, "d", f"d{n}{k}") for n in range(600) for k in (0, 1)]
+    other = [("word", "elsewhere", 0, "x", 0.0, 1.0, None, "x", "x")]
+    one = mk.MarkProcessor(ReviewSettings())
+    one.init(Handle())
+    rows = [*said, *heard, *other]
+    random.Random(3).shuffle(rows)
+    out = []
+    for batch in (rows, [("word", "publisher", 7, "late", 5.0, 5.5, None, "late", "late"), ("close", None, None, None, None, None, 1201.0, None, None)]):
+        for frame in one.handleInputRows((1,), iter([pd.DataFrame(batch, columns=columns)]), None):
+            out += [dict(zip(frame.columns, values)) for values in frame.to_numpy().tolist()]
+    marks = [r for r in out if r["kind"] == "mark"]
+    assert sorted(r["span_start"] for r in marks) == [2.0 * n + 0.5 for n in range(600)] and {r["detector_words"] for r in marks} == {2}
+    assert [(r["source"], r["seq"], r["text"]) for r in out if r["kind"] == "late"] == [("publisher", 7, "late")]
