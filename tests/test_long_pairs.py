@@ -90,3 +90,13 @@ def test_quantiles_like_the_plain_function(spark):
     shares = (0.0, 0.3, 0.5, 0.9, 1.0)
     plain = df.where("x IS NOT NULL").groupBy("k").agg(F.count("*"), *[F.percentile("x", F.lit(s)) for s in shares])
     assert sorted(map(tuple, al.exact_quantiles(df, "x", shares, ["k"]).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_pairs_of_a_long_meeting_are_traced_in_one_piece(spark, monkeypatch):
+    """Rows of bits trace some 70,000 tokens in a second or two; blocks of the banded table take longer."""
+    monkeypatch.setattr(la, "long_edit_ops", None)
+    ref = [f"w{n % 977}" for n in range(21_000)]
+    hyp = [t for n, t in enumerate(ref) if n % 500]
+    pairs = spark.createDataFrame([(1, "v", ref, hyp)], "item_id long, variant string, ref array<string>, hyp array<string>")
+    got = {r.kind: r.n for r in al.edit_ops(pairs).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert got == {"equal": len(hyp), "del": len(ref) - len(hyp)}
