@@ -46,6 +46,9 @@ class _Words:
     def __getitem__(self, at: int) -> Word:
         return self.block(at // BLOCK)[at % BLOCK]
 
+    def append(self, word: Word) -> None:
+        self.extend([word])
+
     def extend(self, words: list[Word]) -> None:
         at = 0
         while at < len(words):
