@@ -83,8 +83,11 @@ def split_rows(text: Column | str, limit: int = 42) -> Column:
     text = _c(text)
     n = F.length(text)
     middle = F.floor(n / 2).cast("int")
-    spaces = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i + 1, F.lit(1)) == " ")
-    cut = F.array_min(F.transform(spaces, lambda i: F.struct(F.abs(i - middle).alias("d"), i.alias("i"))))["i"]
+    # The last space up to the middle and the first one from there on (0-based, NULL for none).
+    back = F.locate(" ", F.reverse(F.substring(text, F.lit(1), middle + 1)))
+    before = F.when(back > 0, middle + 1 - back)
+    after = F.nullif(F.position(F.lit(" "), text, middle + 1), F.lit(0)) - 1
+    cut = F.when(before.isNull() | (after - middle < middle - before), after).otherwise(before)
     halves = F.concat(F.rtrim(F.substring(text, F.lit(1), cut)), F.lit("\n"), F.ltrim(F.substring(text, cut + 2, n)))
     return F.when((n > limit) & F.contains(text, F.lit(" ")), halves).otherwise(text)
 

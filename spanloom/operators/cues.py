@@ -2,75 +2,81 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from spanloom.config import CueSettings
 from spanloom.functions import wording as wd
+from spanloom.operators.align import _listed
 from spanloom.operators.labels import UNLABELLED_NAME
 from spanloom.operators.scans import Scan, bucketed_scan, time_bucket
+from spanloom.session import settle
 
 SCENE_CUE_KINDS = ("music", "noise", "sound")
 LISTENER = "listener"
 HEARD = "heard on review"
-
-
-def _measured(words: Column) -> Column:
-    """Words with their length plus a space and the running sum of it within the line."""
-    sized = F.transform(words, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.trim(w["w"]).alias("w"), (F.length(F.trim(w["w"])) + 1).alias("len")))
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<struct<s:double,e:double,w:string,len:int,cum:int>>").alias("out"))
-    grown = F.aggregate(
-        sized,
-        start,
-        lambda a, w: F.struct(
-            (a["sum"] + w["len"]).alias("sum"),
-            F.concat(a["out"], F.array(F.struct(w["s"].alias("s"), w["e"].alias("e"), w["w"].alias("w"), w["len"].alias("len"), (a["sum"] + w["len"]).alias("cum")))).alias("out"),
-        ),
-    )
-    return grown["out"]
-
-
-def _first(c: Column) -> Column:
-    return F.element_at(c, 1)
-
-
-def _last(c: Column) -> Column:
-    return F.element_at(c, -1)
-
-
-def _chars(c: Column) -> Column:
-    return _last(c)["cum"] - _first(c)["cum"] + _first(c)["len"]
+UNKNOWN_PASSES = 7
+
+
+def _cut_places(settings: CueSettings):
+    """Where the chunks of each line begin (1-based): all lines of a batch are halved at once, by the
+    sums of the words' sizes over the whole batch."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def places(sizes: pa.Array, starts: pa.Array, ends: pa.Array, prefixes: pa.Array) -> pa.Array:
+        (bounds, sizes), (_, starts), (_, ends) = map(_listed, (sizes, starts, ends))
+        numbers, known = (lambda x: x.to_numpy(zero_copy_only=False)), (lambda x: x.is_valid().to_numpy(zero_copy_only=False))
+        timed_start, timed_end, prefixed = map(known, (starts, ends, prefixes))
+        starts, ends, prefixes = numbers(starts), numbers(ends), numbers(prefixes.fill_null(0))
+        total = np.concatenate([[0], np.cumsum(numbers(sizes), dtype=np.int64)])
+        line = np.flatnonzero(np.diff(bounds))
+        begin, end = bounds[line].astype(np.int64), bounds[line + 1].astype(np.int64)
+        opens = np.zeros(len(sizes), dtype=bool)
+        opens[begin] = True
+        for count in itertools.count():
+            with np.errstate(invalid="ignore"):
+                timed, wide = timed_start[begin] & timed_end[end - 1], ~(ends[end - 1] - starts[begin] <= settings.max_seconds)
+            long = prefixed[line] & (prefixes[line] + total[end] - total[begin] - 1 > settings.max_chars) | timed & wide
+            several = end - begin > 1
+            left = several & (long | ~timed | ~prefixed[line])
+            if count == UNKNOWN_PASSES:
+                going = np.zeros(len(bounds), dtype=bool)
+                going[line[several & long]] = True
+                left &= going[line]
+            begin, end, line = begin[left], end[left], line[left]
+            if not len(line):
+                break
+            # Twice the middle, so that it is whole; the boundary before it wins a tie.
+            middle = total[begin] + total[end]
+            at = np.searchsorted(2 * total, middle)
+            lower, upper = np.maximum(at - 1, begin + 1), np.minimum(at, end - 1)
+            at = np.where(middle - 2 * total[lower] <= 2 * total[upper] - middle, lower, upper)
+            opens[at] = True
+            begin, end, line = np.concatenate([begin, at]), np.concatenate([at, end]), np.concatenate([line, line])
+        cuts = np.flatnonzero(opens)
+        line = np.searchsorted(bounds, cuts, side="right") - 1
+        sums = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(bounds) - 1))])
+        return pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pa.array(cuts - bounds[line] + 1, pa.int32()))
+
+    return places
 
 
 def balanced_chunks(lines: DataFrame, settings: CueSettings = CueSettings()) -> DataFrame:
     """`lines` (with words and prefix) with `chunks`: the words halved at the boundary nearest the
-    middle by characters, until each chunk fits or is one word."""
-    prefix = F.length("prefix")
-
-    def done(c: Column) -> Column:
-        fits = (prefix + _chars(c) - 1 <= settings.max_chars) & (_last(c)["e"] - _first(c)["s"] <= settings.max_seconds)
-        return (F.size(c) <= 1) | fits
-
-    def halves(c: Column) -> Column:
-        before = _first(c)["cum"] - _first(c)["len"]
-        middle = _chars(c) / 2.0
-        spots = F.transform(
-            F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda w, i: F.struct(F.abs(w["cum"] - before - middle).alias("d"), (i + 1).alias("i"))
-        )
-        at = F.array_min(spots)["i"]
-        return F.array(F.slice(c, F.lit(1), at), F.slice(c, at + 1, F.size(c) - at))
-
-    def once(chunks: Column) -> Column:
-        return F.flatten(F.transform(chunks, lambda c: F.when(done(c), F.array(c)).otherwise(halves(c))))
-
-    def passes(chunks: Column, count: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), count), chunks, lambda acc, _: once(acc))
-
-    df = lines.withColumn("__words", _measured(F.filter("words", lambda w: F.trim(w["w"]) != ""))).where(F.size("__words") > 0)
-    # Halving settles in a few passes; only a line with very uneven words needs one per word.
-    df = df.withColumn("__quick", F.when(done(F.col("__words")), F.array("__words")).otherwise(passes(F.array("__words"), F.lit(7))))
-    rest = F.exists("__quick", lambda c: ~done(c))
-    return df.withColumn("chunks", F.when(rest, passes(F.col("__quick"), F.size("__words"))).otherwise(F.col("__quick"))).drop("__words", "__quick")
+    middle by characters, until each chunk fits or is one word. Chunks of unknown length (no times, no
+    prefix) are halved too, in seven passes unless the line has one that is known to be too long."""
+    spoken = lines.where(F.exists("words", lambda w: F.trim(w["w"]) != ""))
+    kept = F.filter("words", lambda w: F.trim(w["w"]) != "")
+    sized = F.transform(kept, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.trim(w["w"]).alias("w"), (F.length(F.trim(w["w"])) + 1).alias("len")))
+    df = spoken.withColumn("__words", sized)
+    df = df.withColumn("__at", _cut_places(settings)(F.col("__words.len"), F.col("__words.s"), F.col("__words.e"), F.length("prefix")))
+    upto = lambda i: F.coalesce(F.get("__at", i + 1), F.size("__words") + 1)
+    return df.withColumn("chunks", F.transform("__at", lambda at, i: F.slice("__words", at, upto(i) - at))).drop("__words", "__at")
 
 
 def build_cues(lines: DataFrame, scenes: DataFrame, names: DataFrame, settings: CueSettings = CueSettings()) -> DataFrame:
@@ -80,17 +86,19 @@ def build_cues(lines: DataFrame, scenes: DataFrame, names: DataFrame, settings:
     if "src" in lines.columns:
         shown = F.when(F.col("src") == LISTENER, F.concat(shown, F.lit(f" ({HEARD})"))).otherwise(shown)
     chunked = balanced_chunks(named.withColumn("prefix", F.concat(shown, F.lit(": "))), settings)
-    each = chunked.select("item_id", "prefix", F.explode("chunks").alias("c"))
+    # Every line has a chunk; for a plain explode Spark would add a filter that makes the chunks once more.
+    each = chunked.select("item_id", "prefix", F.explode_outer("chunks").alias("c"))
     spoken = each.select(
-        "item_id", _first(F.col("c"))["s"].alias("start"), _last(F.col("c"))["e"].alias("end"),
-        wd.split_rows(F.concat("prefix", F.array_join(F.transform("c", lambda w: w["w"]), " ")), settings.row_chars).alias("text"),
-    )
+        "item_id", F.element_at("c", 1)["s"].alias("start"), F.element_at("c", -1)["e"].alias("end"),
+        F.concat("prefix", F.array_join("c.w", " ")).alias("text"),
+    ).withColumn("text", wd.split_rows("text", settings.row_chars))
     heard = scenes.where(F.col("kind").isin(*SCENE_CUE_KINDS) & (F.col("end") - F.col("start") >= settings.min_scene_s)).select(
         "item_id", "start", "end", wd.scene_tag().alias("text")
     )
     order = ["start", "end", "text"]
+    # Settled: the scan reads the cues twice.
     cues = bucketed_scan(
-        spoken.unionByName(heard), ["item_id"], time_bucket("start"), order,
+        settle(spoken.unionByName(heard)), ["item_id"], time_bucket("start"), order,
         [Scan("__next", "lead", F.col("start")), Scan("cue", "sum_before", F.lit(1))],
     )
     longer = F.greatest(F.col("end"), F.col("start") + settings.min_seconds)

@@ -131,6 +131,37 @@ def test_balanced_chunks(spark):
         assert [[w.w for w in c] for c in r.chunks] == [[w[2] for w in c] for c in want]
 
 
+def test_chunks_of_unknown_times(spark):
+    """Words without times are halved in seven passes; one chunk that is too long takes the line further."""
+    rows = [
+        (0, "a: ", [word(None, None, "ab")] * 60), (1, "a: ", [word(None, None, "ab")] * 300), (2, "a: ", [word(None, None, "ab"), word(1.0, 2.0, " ")]),
+        (3, "a: ", [word(None, None, "x" * 40)] * 300), (4, "a: ", [word(0.0, 1.0, " ")]), (5, "a: ", []),
+        (6, None, [word(0.0, 1.0, "ab")] * 3),
+    ]
+    df = spark.createDataFrame(rows, f"item_id int, prefix string, words array<{dc.WORD}>")
+    got = {r.item_id: [len(c) for c in r.chunks] for r in cu.balanced_chunks(df).collect()}
+    assert got == {0: [1] * 60, 1: got[1], 2: [1], 3: [1] * 300, 6: [1] * 3}
+    assert len(got[1]) == 128 and sum(got[1]) == 300
+
+
+def test_cues_are_cut_once(spark):
+    """The scan over the cues reads a settled table: it reads its input twice, and cutting lines is the dear part."""
+    doc = document(spark)
+    cues = cu.build_cues(dc.lines_of(doc), dc.scenes_of(doc), dc.speaker_names(doc))
+    plan = cues._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunks" not in plan and "lambda" not in plan
+    lines = dc.lines_of(doc).withColumn("prefix", F.lit("a: "))
+    chunks = cu.balanced_chunks(lines).select(F.explode_outer("chunks").alias("c"))
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_split_rows_takes_the_first_of_two_spaces(spark):
+    texts = ["a" * 20 + " " + "b" * 3 + " " + "c" * 20, "é" * 50 + " b", "a " + "b" * 50, "a" * 10 + "  " + "b" * 40, "x" * 43, "a" * 21 + " " + "b" * 21]
+    assert values(spark, texts, "x string", wd.split_rows("x")) == [
+        "a" * 20 + "\n" + "bbb " + "c" * 20, "é" * 50 + "\nb", "a\n" + "b" * 50, "a" * 10 + "\n" + "b" * 40, "x" * 43, "a" * 21 + "\n" + "b" * 21,
+    ]
+
+
 def test_sessions(spark):
     marks = dc.marks_of(document(spark))
     short = decide(spark, [("open", "", None)] * 2)
