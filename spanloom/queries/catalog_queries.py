@@ -20,7 +20,7 @@ from spanloom.operators import timeline as tl
 from spanloom.plans import report as rp
 from spanloom.queries import Registry
 from spanloom.queries.review_queries import EVALUATION, MARKS
-from spanloom.queries.scoring_queries import LINES, scene_pass
+from spanloom.queries.scoring_queries import LINES, lines_of, scene_pass
 from spanloom.session import scratch, settle
 from spanloom.sources import annotations as an
 from spanloom.sources import digests as dg
@@ -365,7 +365,7 @@ def documents(spark, d):
 
 
 def built_documents(spark, d):
-    lines = settle(lb.build_lines(lb.label_words(fx.published(spark, d), fx.turns(spark, d))))
+    lines = settle(lines_of(spark, d))
     marks = settle(rv.build_review(fx.published(spark, d), fx.detector(spark, d), fx.items(spark, d)))
     scenes = settle(scene_pass(spark, d)[0])
     facts = fx.items(spark, d).withColumns(
