@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
 from spanloom.operators import align as al
 from spanloom.operators import timeline as tl
+from spanloom.plans import report as rp
 
 
 def brute(ref, hyp):
@@ -130,3 +132,22 @@ def test_rows_of_bits_give_the_steps_of_the_full_table():
         for al.KEPT_BITS in (1, 1 << 27):
             assert list(zip(*(x.tolist() for x in al.trace(a, b)))) == want[::-1]
         assert al.distance(a, b) == table[n][m]
+
+
+def test_scores_read_settled_tokens(spark):
+    """Recall reads the positions of the reference's tokens that the pairs were made of; they are not counted again."""
+    said = [(1, i, i * 1.0, i + 0.5, w, "ab"[i % 2]) for i, w in enumerate(["one", "Two.", "three", "don't"])]
+    reference = spark.createDataFrame(said, "item_id long, seq long, start double, end double, text string, speaker string")
+    words = reference.drop("speaker").withColumn("variant", F.lit("publisher")).where("seq <> 2")
+    scores = rp.transcript_scores(reference, words)
+    plan = scores["recall"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "__from" not in plan
+    assert sorted((r.speaker, r.n_tokens, r.recovered) for r in scores["recall"].collect()) == [("a", 2, 1), ("b", 3, 3)]
+    assert [(r.n, r.median_abs_s) for r in scores["timing"].collect()] == [(3, 0.0)]
+
+
+def test_words_without_white_space(spark):
+    """Texts that are one word are not split; every other text is, at any white space."""
+    texts = ["", " ", "one", "a b", "a  b", "a\u0085b c", "  two words ", "é", None, "\t", "it's\tso\n"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(tx.tokenize_raw("x")).collect()]
+    assert got == [[], [], ["one"], ["a", "b"], ["a", "b"], ["a", "b", "c"], ["two", "words"], ["é"], None, [], ["it's", "so"]]
